@@ -66,9 +66,10 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     """Interpolated quantiles per group, exact for groups of any size.
 
     A sketch brackets each quantile; only the distinct values inside the brackets are ordered. No
-    task holds a group: sketches and counts are merged from partial aggregates.
+    task holds a group: sketches and counts are merged from partial aggregates. The bracket is five
+    times the sketch's rank error; groups too small for that margin are ordered whole.
     """
-    eps = 2.0 / ACCURACY
+    eps = 5.0 / ACCURACY
     names, k = list(probs), len(probs)
     edges = [max(0.0, p - eps) for p in probs.values()] + [min(1.0, p + eps) for p in probs.values()]
     present = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
@@ -77,13 +78,14 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
         F.count("*").alias("_total"),
         F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), ACCURACY).alias("_e"),
     )
+    small = F.col("_total") <= ACCURACY
     brackets = F.array(
         *[
             F.struct(
                 F.lit(i).alias("q"),
                 (F.lit(p) * (F.col("_total") - 1)).alias("h"),
-                F.get("_e", F.lit(i)).alias("lo"),
-                F.get("_e", F.lit(i + k)).alias("hi"),
+                F.when(small, F.lit(float("-inf"))).otherwise(F.get("_e", F.lit(i))).alias("lo"),
+                F.when(small, F.lit(float("inf"))).otherwise(F.get("_e", F.lit(i + k))).alias("hi"),
             )
             for i, p in enumerate(probs.values())
         ]
