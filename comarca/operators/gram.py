@@ -249,7 +249,7 @@ def fe_table(
 ) -> DataFrame:
     """One row per group with coefficients, covariance and sizes.
 
-    Columns: group..., n, units, periods, beta, vcov (flattened k x k), m, r2_within. ``cov`` is
+    Columns: group..., n, units, periods, beta, vcov and inv (flattened k x k), m, r2_within. ``cov`` is
     ``cluster`` (by unit, CR1 with the unit dummies not counted), ``hc`` or ``driscoll-kraay``.
     """
     if cov not in ("cluster", "hc", "driscoll-kraay"):
@@ -301,6 +301,7 @@ def fe_table(
         "periods",
         "beta",
         F.transform("_v", lambda v: v * factor).alias("vcov"),
+        "inv",
         "m",
         r2.alias("r2_within"),
     )
@@ -329,21 +330,38 @@ def fe_fit(df: DataFrame, y: str, xs: list[str], **options) -> DataFrame:
     return terms(fe_table(df, y, xs, **options), xs, options.get("group"))
 
 
+@F.pandas_udf(T.ArrayType(VECTOR))
+def _loads(cc: pd.Series, ct: pd.Series) -> pd.Series:
+    """Loads of every target on the controls; NULL when the controls are collinear."""
+    out = []
+    for flat, targets in zip(cc, ct, strict=True):
+        rhs = np.array([np.asarray(t, float) for t in targets])
+        m = _symmetric(np.asarray(flat, float), rhs.shape[1])
+        scale = np.sqrt(np.clip(np.diag(m), 0, None))
+        good = np.all(np.isfinite(m)) and np.all(scale > 0)
+        if good:
+            unit = m / np.outer(scale, scale)
+            good = np.linalg.eigvalsh(unit).min() > RIDGE
+        out.append((rhs @ (np.linalg.inv(unit) / np.outer(scale, scale))).tolist() if good else None)
+    return pd.Series(out)
+
+
 def partial_out(df: DataFrame, targets: list[str], controls: list[str], group: list[str] | None = None) -> DataFrame:
     """Residualise already demeaned ``targets`` on demeaned ``controls`` (Frisch-Waugh-Lovell)."""
     if not controls:
         return df
     g = list(group or [])
     base, g2 = (df, g) if g else (df.withColumn("_g", F.lit(0)), ["_g"])
-    out, k = base, len(controls)
-    loads = None
-    for i, t in enumerate(targets):
-        cols = [t, *controls]
-        sums = base.groupBy(*g2).agg(F.array(*[F.sum(F.col(cols[a]) * F.col(cols[b])) for a, b in pairs(k + 1)]).alias("m"))
-        one = sums.select(*g2, _solve("m")["beta"].alias(f"_b{i}"))
-        loads = one if loads is None else loads.join(one, g2)
-    out = base.join(loads, g2)
+    k = len(controls)
+    sums = base.groupBy(*g2).agg(
+        F.array(*[F.sum(F.col(controls[a]) * F.col(controls[b])) for a, b in pairs(k)]).alias("_cc"),
+        F.array(*[F.array(*[F.sum(F.col(t) * F.col(c)) for c in controls]) for t in targets]).alias("_ct"),
+    )
+    out = base.join(sums.select(*g2, _loads("_cc", "_ct").alias("_b")), g2)
     out = out.withColumns(
-        {t: F.col(t) - total([F.col(f"_b{i}")[j] * F.col(c) for j, c in enumerate(controls)]) for i, t in enumerate(targets)}
-    ).drop(*[f"_b{i}" for i in range(len(targets))])
+        {
+            t: F.col(t) - total([F.col("_b")[i][j] * F.col(c) for j, c in enumerate(controls)])
+            for i, t in enumerate(targets)
+        }
+    ).drop("_b")
     return out if group else out.drop("_g")
