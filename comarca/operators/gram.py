@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from comarca.session import settle
+
 VECTOR = T.ArrayType(T.DoubleType())
 RIDGE = 1e-10  # relative size below which a pivot counts as zero
 
@@ -44,13 +46,28 @@ def _symmetric(flat, k: int) -> np.ndarray:
     return m
 
 
-def _weight(weight: str | None) -> Column:
-    return F.col(weight).cast("double") if weight else F.lit(1.0)
+def _keys(group: list[str], *more: str) -> str:
+    return ", ".join([*group, *more])
+
+
+def _products(cols: list[str], weight: str | None = None, tag: str = "") -> str:
+    """SQL for the array of summed products of every pair of ``cols``."""
+    w = f"{weight} * " if weight else ""
+    return "array(" + ", ".join(f"sum({w}{tag}{cols[i]} * {tag}{cols[j]})" for i, j in pairs(len(cols))) + ")"
+
+
+def _sums(column: str, size: int) -> str:
+    return "array(" + ", ".join(f"sum({column}[{i}])" for i in range(size)) + ")"
+
+
+def _outer(column: str, size: int) -> str:
+    return "array(" + ", ".join(f"sum({column}[{i}] * {column}[{j}])" for i, j in pairs(size)) + ")"
 
 
 def unit_demean(df: DataFrame, cols: list[str], unit: str, group: list[str]) -> DataFrame:
-    w = Window.partitionBy(*group, unit)
-    return df.withColumns({c: F.col(c) - F.avg(c).over(w) for c in cols})
+    rest = [c for c in df.columns if c not in cols]
+    over = f"over (partition by {_keys(group, unit)})"
+    return df.selectExpr(*rest, *[f"{c} - avg({c}) {over} as {c}" for c in cols])
 
 
 def period_equations(df: DataFrame, cols: list[str], unit: str, time: str, group: list[str], weight: str | None):
@@ -59,29 +76,24 @@ def period_equations(df: DataFrame, cols: list[str], unit: str, time: str, group
     Units with the same observed periods share one row of the normal matrix, so a balanced panel
     contributes a single pattern however many units it has.
     """
-    w = _weight(weight)
+    w = weight or "1.0D"
     sums = (
         df.groupBy(*group, time)
-        .agg(F.array(*[F.sum(w * F.col(c)) for c in cols]).alias("_s"))
+        .agg(F.expr("array(" + ", ".join(f"sum({w} * {c})" for c in cols) + ") as s"))
         .groupBy(*group)
-        .agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), F.col("_s").alias("s")))).alias("_sums"))
+        .agg(F.expr(f"sort_array(collect_list(struct({time} as t, s))) as _sums"))
     )
-    patterns = (
+    normal = (
         df.groupBy(*group, unit)
-        .agg(F.sort_array(F.collect_set(time)).alias("_times"), F.first(w).alias("_w"))
+        .agg(F.expr(f"sort_array(collect_set({time})) as _times"), F.expr(f"first(cast({w} as double)) as _w"))
         .groupBy(*group, "_times")
-        .agg(F.sum("_w").alias("_w"))
-    )
-    share = F.col("_w") / F.size("_times")
-    cells = patterns.select(*group, "_times", "_w", share.alias("_share"), F.explode("_times").alias("_a")).select(
-        *group, "_a", "_w", "_share", F.explode("_times").alias("_b")
-    )
-    value = F.when(F.col("_a") == F.col("_b"), F.col("_w") - F.col("_share")).otherwise(-F.col("_share"))
-    normal = (
-        cells.groupBy(*group, "_a", "_b")
-        .agg(F.sum(value).alias("_v"))
+        .agg(F.expr("sum(_w) as _w"))
+        .selectExpr(*group, "_times", "_w", "explode(_times) as a")
+        .selectExpr(*group, "a", "_w", "size(_times) as _n", "explode(_times) as b")
+        .groupBy(*group, "a", "b")
+        .agg(F.expr("sum(if(a = b, _w, 0.0D) - _w / _n) as v"))
         .groupBy(*group)
-        .agg(F.collect_list(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"), F.col("_v").alias("v"))).alias("_cells"))
+        .agg(F.expr("collect_list(struct(a, b, v)) as _cells"))
     )
     return sums.join(normal, group)
 
@@ -108,30 +120,37 @@ def two_way(
     group: list[str] | None = None,
     time_effects: bool = True,
     weight: str | None = None,
+    keep_within: bool = False,
 ) -> DataFrame:
-    """``cols`` replaced by their deviations from unit (and period) effects. Exact for any panel."""
+    """``cols`` replaced by their deviations from unit (and period) effects. Exact for any panel.
+
+    With ``keep_within`` the deviations from the unit means alone stay beside them as ``_u_<col>``.
+    """
     g = list(group or [])
     if not g:
         df, g = df.withColumn("_g", F.lit(0)), ["_g"]
     dev = unit_demean(df, cols, unit, g)
-    if time_effects:
-        eq = period_equations(dev, cols, unit, time, g, weight)
-        effects = eq.select(
-            *g, F.inline(F.arrays_zip(F.col("_sums.t").alias("_t"), _period_effects("_sums", "_cells").alias("_e")))
-        ).toDF(*g, time, "_e")
-        w = Window.partitionBy(*g, unit)
-        dev = dev.join(effects, [*g, time])
-        dev = dev.withColumns(
-            {c: F.col(c) - F.col("_e")[i] + F.avg(F.col("_e")[i]).over(w) for i, c in enumerate(cols)}
-        ).drop("_e")
-    return dev if group else dev.drop("_g")
-
-
-def unit_blocks(df: DataFrame, cols: list[str], unit: str, group: list[str], weight: str | None = None) -> DataFrame:
+    rest = [c for c in dev.columns if c not in cols and not (c == "_g" and not group)]
+    within = [f"{c} as _u_{c}" for c in cols] if keep_within else []
+    if not time_effects:
+        return dev.selectExpr(*rest, *cols, *within)
+    eq = period_equations(dev, cols, unit, time, g, weight)
+    effects = eq.select(
+        *g, F.inline(F.arrays_zip(F.col("_sums.t").alias("_t"), _period_effects("_sums", "_cells").alias("_e")))
+    ).toDF(*g, time, "_e")
+    over = f"over (partition by {_keys(g, unit)})"
+    out = [f"{c} - _e[{i}] + avg(_e[{i}]) {over} as {c}" for i, c in enumerate(cols)]
+    return dev.join(effects, [*g, time]).selectExpr(*rest, *out, *within)
+
+
+def unit_blocks(
+    df: DataFrame, cols: list[str], unit: str, group: list[str], weight: str | None = None, keep_within: bool = False
+) -> DataFrame:
     """(group, unit, n, m): the upper triangle of each unit's cross-product matrix of ``cols``."""
-    w = _weight(weight)
-    sums = [F.sum(w * F.col(cols[i]) * F.col(cols[j])) for i, j in pairs(len(cols))]
-    return df.groupBy(*group, unit).agg(F.count("*").alias("n"), F.array(*sums).alias("m"))
+    aggs = ["count(*) as n", f"{_products(cols, weight)} as m"]
+    if keep_within:
+        aggs.append(f"{_products(cols, weight, '_u_')} as u")
+    return df.groupBy(*group, unit).agg(*[F.expr(a) for a in aggs])
 
 
 @F.pandas_udf(T.StructType([T.StructField("beta", VECTOR), T.StructField("inv", VECTOR)]))
@@ -171,67 +190,63 @@ def _sandwich(inv: pd.Series, meat: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _sum_arrays(col: str, size: int) -> Column:
-    return F.array(*[F.sum(F.col(col)[i]) for i in range(size)])
-
-
-def solve_groups(blocks: DataFrame, group: list[str], k: int) -> DataFrame:
+def solve_groups(blocks: DataFrame, group: list[str], k: int, keep_within: bool = False) -> DataFrame:
     """(group, n, units, m, beta, inv) from unit blocks of [y, x1..xk]."""
-    sums = blocks.groupBy(*group).agg(
-        F.sum("n").alias("n"), F.count("*").alias("units"), _sum_arrays("m", len(pairs(k + 1))).alias("m")
-    )
-    return sums.withColumn("_s", _solve("m")).select(*group, "n", "units", "m", "_s.beta", "_s.inv")
+    size = len(pairs(k + 1))
+    aggs = ["sum(n) as n", "count(*) as units", f"{_sums('m', size)} as m"]
+    if keep_within:
+        aggs.append(f"{_sums('u', size)} as u")
+    sums = blocks.groupBy(*group).agg(*[F.expr(a) for a in aggs])
+    extra = ["u"] if keep_within else []
+    return sums.withColumn("_s", _solve("m")).selectExpr(*group, "n", "units", "m", *extra, "_s.beta", "_s.inv")
 
 
-def _score(k: int) -> Column:
-    """Unit score X'e from the unit block and the group's coefficients."""
+def _score(k: int) -> str:
+    """SQL of the unit score X'e from the unit block and the group's coefficients."""
     at = {p: i for i, p in enumerate(pairs(k + 1))}
-
-    def xx(j: int, l: int) -> Column:
-        return F.col("m")[at[(min(j, l) + 1, max(j, l) + 1)]]
-
-    return F.array(
-        *[F.col("m")[at[(0, j + 1)]] - total([xx(j, l) * F.col("beta")[l] for l in range(k)]) for j in range(k)]
-    )
-
-
-def _outer_sum(col: str, k: int) -> Column:
-    return F.array(*[F.sum(F.col(col)[i] * F.col(col)[j]) for i, j in pairs(k)])
+    rows = [
+        f"m[{at[(0, j + 1)]}] - ("
+        + " + ".join(f"m[{at[(min(j, i) + 1, max(j, i) + 1)]}] * beta[{i}]" for i in range(k))
+        + ")"
+        for j in range(k)
+    ]
+    return "array(" + ", ".join(rows) + ")"
 
 
 def cluster_meat(blocks: DataFrame, fits: DataFrame, group: list[str], k: int) -> DataFrame:
-    scores = blocks.join(fits.select(*group, "beta"), group).select(*group, _score(k).alias("_sc"))
-    return scores.groupBy(*group).agg(_outer_sum("_sc", k).alias("meat"))
+    scores = blocks.join(fits.select(*group, "beta"), group).selectExpr(*group, f"{_score(k)} as _sc")
+    return scores.groupBy(*group).agg(F.expr(f"{_outer('_sc', k)} as meat"))
 
 
-def _row_scores(dev: DataFrame, fits: DataFrame, y: str, xs: list[str], group: list[str], w: Column) -> DataFrame:
-    e = F.col(y) - total([F.col(x) * F.col("beta")[i] for i, x in enumerate(xs)])
-    return dev.join(fits.select(*group, "beta"), group).withColumn("_sc", F.array(*[w * F.col(x) * e for x in xs]))
+def _row_scores(dev: DataFrame, fits: DataFrame, y: str, xs: list[str], group: list[str], weight: str | None) -> DataFrame:
+    w = f"{weight} * " if weight else ""
+    e = f"({y} - (" + " + ".join(f"{x} * beta[{i}]" for i, x in enumerate(xs)) + "))"
+    scores = "array(" + ", ".join(f"{w}{x} * {e}" for x in xs) + ") as _sc"
+    return dev.join(fits.select(*group, "beta"), group).selectExpr("*", scores)
 
 
 def hc_meat(dev, fits, y, xs, group, weight=None) -> DataFrame:
-    rows = _row_scores(dev, fits, y, xs, group, _weight(weight))
-    return rows.groupBy(*group).agg(_outer_sum("_sc", len(xs)).alias("meat"))
+    rows = _row_scores(dev, fits, y, xs, group, weight)
+    return rows.groupBy(*group).agg(F.expr(f"{_outer('_sc', len(xs))} as meat"))
 
 
 def driscoll_kraay_meat(dev, fits, y, xs, group, time, bandwidth: int, weight=None) -> DataFrame:
     """Bartlett-weighted products of the period score sums. The period table has one row per period."""
     k = len(xs)
-    rows = _row_scores(dev, fits, y, xs, group, _weight(weight))
-    per = rows.groupBy(*group, time).agg(_sum_arrays("_sc", k).alias("_sc"))
+    rows = _row_scores(dev, fits, y, xs, group, weight)
+    per = rows.groupBy(*group, time).agg(F.expr(f"{_sums('_sc', k)} as _sc"))
     w = Window.partitionBy(*group).orderBy(time)
     lags = [F.lag("_sc", lag).over(w).alias(f"_l{lag}") for lag in range(1, bandwidth + 1)]
     table = per.select(*group, "_sc", *lags)
 
-    def cell(i: int, j: int) -> Column:
-        out = F.col("_sc")[i] * F.col("_sc")[j]
+    def cell(i: int, j: int) -> str:
+        parts = [f"_sc[{i}] * _sc[{j}]"]
         for lag in range(1, bandwidth + 1):
-            past = F.col(f"_l{lag}")
-            both = F.col("_sc")[i] * past[j] + past[i] * F.col("_sc")[j]
-            out = out + F.lit(1 - lag / (bandwidth + 1)) * F.coalesce(both, F.lit(0.0))
-        return F.sum(out)
+            share = 1 - lag / (bandwidth + 1)
+            parts.append(f"{share!r}D * coalesce(_sc[{i}] * _l{lag}[{j}] + _l{lag}[{i}] * _sc[{j}], 0.0D)")
+        return "sum(" + " + ".join(parts) + ")"
 
-    return table.groupBy(*group).agg(F.array(*[cell(i, j) for i, j in pairs(k)]).alias("meat"))
+    return table.groupBy(*group).agg(F.expr("array(" + ", ".join(cell(i, j) for i, j in pairs(k)) + ") as meat"))
 
 
 def fe_table(
@@ -258,52 +273,44 @@ def fe_table(
     base = df if g else df.withColumn("_g", F.lit(0))
     g = g or ["_g"]
     k, cols = len(xs), [y, *xs]
-    within = {c: f"_u_{c}" for c in cols}
     start = base.select(*g, unit, time, *cols, *([weight] if weight else [])).dropna(subset=cols)
-    start = unit_demean(start, cols, unit, g).withColumns({u: F.col(c) for c, u in within.items()})
-    dev = two_way(start, cols, unit=unit, time=time, group=g, time_effects=time_effects, weight=weight)
-    blocks = unit_blocks(dev, cols, unit, g, weight)
-    fits = solve_groups(blocks, g, k)
-
-    w = _weight(weight)
-    u_sums = F.array(*[F.sum(w * F.col(within[cols[i]]) * F.col(within[cols[j]])) for i, j in pairs(k + 1)])
-    side = start.groupBy(*g).agg(F.count_distinct(time).alias("periods"), u_sums.alias("_u"))
+    dev = two_way(
+        start, cols, unit=unit, time=time, group=g, time_effects=time_effects, weight=weight, keep_within=True
+    )
+    if cov != "cluster":
+        dev = settle(dev, "deviations")  # read twice: for the products and for the row scores
+    # One row per unit from here on. Written once: the fit and its covariance both read it.
+    blocks = settle(unit_blocks(dev, cols, unit, g, weight, keep_within=True), "blocks")
+    fits = solve_groups(blocks, g, k, keep_within=True)
     if cov == "cluster":
         meat = cluster_meat(blocks, fits, g, k)
     elif cov == "hc":
         meat = hc_meat(dev, fits, y, xs, g, weight)
     else:
         meat = driscoll_kraay_meat(dev, fits, y, xs, g, time, 1 if bandwidth is None else bandwidth, weight)
-    out = fits.join(side, g).join(meat, g)
+    periods = start.groupBy(*g).agg(F.expr(f"count(distinct {time}) as periods"))
 
-    n, units, periods = F.col("n"), F.col("units"), F.col("periods")
-    slopes = F.lit(k) + (periods if time_effects else F.lit(1))  # regressors, constant, period dummies
+    slopes = f"({k} + {'periods' if time_effects else '1'})"  # regressors, constant, period dummies
     if cov == "cluster":
-        factor = units / (units - 1) * (n - 1) / F.greatest(n - slopes, F.lit(1))
+        factor = f"units / (units - 1) * (n - 1) / greatest(n - {slopes}, 1)"
     else:
-        factor = n / F.greatest(n - slopes - (units - 1), F.lit(1))
-    factor = F.when(units > 1, factor)
+        factor = f"n / greatest(n - {slopes} - (units - 1), 1)"
     at = {p: i for i, p in enumerate(pairs(k + 1))}
-    fitted = total([F.col("beta")[j] * F.col("_u")[at[(0, j + 1)]] for j in range(k)])
-    square = total(
-        [
-            F.col("beta")[i] * F.col("beta")[j] * F.col("_u")[at[(min(i, j) + 1, max(i, j) + 1)]]
-            for i in range(k)
-            for j in range(k)
-        ]
+    fitted = " + ".join(f"beta[{j}] * u[{at[(0, j + 1)]}]" for j in range(k))
+    square = " + ".join(
+        f"beta[{i}] * beta[{j}] * u[{at[(min(i, j) + 1, max(i, j) + 1)]}]" for i in range(k) for j in range(k)
     )
-    yy = F.col("_u")[0]
-    r2 = F.when(yy > 0, 1 - (yy - 2 * fitted + square) / yy)
-    out = out.withColumn("_v", _sandwich("inv", "meat")).select(
+    out = fits.join(meat, g).join(periods, g).withColumn("_v", _sandwich("inv", "meat"))
+    out = out.selectExpr(
         *g,
         "n",
         "units",
         "periods",
         "beta",
-        F.transform("_v", lambda v: v * factor).alias("vcov"),
+        f"transform(_v, v -> v * if(units > 1, {factor}, null)) as vcov",
         "inv",
         "m",
-        r2.alias("r2_within"),
+        f"if(u[0] > 0, ((2 * ({fitted})) - ({square})) / u[0], null) as r2_within",
     )
     return out if group else out.drop("_g")
 
@@ -311,18 +318,9 @@ def fe_table(
 def terms(fits: DataFrame, xs: list[str], group: list[str] | None = None) -> DataFrame:
     """One row per coefficient: term, coef, se, t and the sizes of its fit."""
     k = len(xs)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(x).alias("term"),
-                F.col("beta")[i].alias("coef"),
-                F.sqrt(F.col("vcov")[i * k + i]).alias("se"),
-            )
-            for i, x in enumerate(xs)
-        ]
-    )
-    out = fits.select(*(group or []), "n", "units", "periods", "r2_within", F.inline(rows))
-    return out.withColumn("t", F.when(F.col("se") > 0, F.col("coef") / F.col("se")))
+    rows = ", ".join(f"struct('{x}' as term, beta[{i}] as coef, sqrt(vcov[{i * k + i}]) as se)" for i, x in enumerate(xs))
+    out = fits.selectExpr(*(group or []), "n", "units", "periods", "r2_within", f"inline(array({rows}))")
+    return out.selectExpr("*", "if(se > 0, coef / se, null) as t")
 
 
 def fe_fit(df: DataFrame, y: str, xs: list[str], **options) -> DataFrame:
@@ -352,16 +350,12 @@ def partial_out(df: DataFrame, targets: list[str], controls: list[str], group: l
         return df
     g = list(group or [])
     base, g2 = (df, g) if g else (df.withColumn("_g", F.lit(0)), ["_g"])
-    k = len(controls)
-    sums = base.groupBy(*g2).agg(
-        F.array(*[F.sum(F.col(controls[a]) * F.col(controls[b])) for a, b in pairs(k)]).alias("_cc"),
-        F.array(*[F.array(*[F.sum(F.col(t) * F.col(c)) for c in controls]) for t in targets]).alias("_ct"),
-    )
-    out = base.join(sums.select(*g2, _loads("_cc", "_ct").alias("_b")), g2)
-    out = out.withColumns(
-        {
-            t: F.col(t) - total([F.col("_b")[i][j] * F.col(c) for j, c in enumerate(controls)])
-            for i, t in enumerate(targets)
-        }
-    ).drop("_b")
+    cross = ", ".join("array(" + ", ".join(f"sum({t} * {c})" for c in controls) + ")" for t in targets)
+    sums = base.groupBy(*g2).agg(F.expr(f"{_products(controls)} as _cc"), F.expr(f"array({cross}) as _ct"))
+    fixed = [c for c in base.columns if c not in targets]
+    cleaned = [
+        f"{t} - (" + " + ".join(f"_b[{i}][{j}] * {c}" for j, c in enumerate(controls)) + f") as {t}"
+        for i, t in enumerate(targets)
+    ]
+    out = base.join(sums.select(*g2, _loads("_cc", "_ct").alias("_b")), g2).selectExpr(*fixed, *cleaned)
     return out if group else out.drop("_g")

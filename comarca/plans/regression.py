@@ -356,7 +356,7 @@ _TRAJ = """select r, a.unit, p.year, q.x, p.y from
     join (select r, unit as donor, row_number() over (partition by r order by md5('11|' || r::varchar || '|' || unit::varchar)) as k
           from reps, (select distinct unit from panel)) b using (r, k)
     join panel p on p.unit = a.unit join panel q on q.unit = b.donor and q.year = p.year"""
-_YEARLY = """select r, a.unit, a.year, b.x, p.y from
+_YEARLY = """select a.r, a.unit, a.year, b.x, p.y from
     (select r, unit, year, row_number() over (partition by r, year order by unit) as k from reps, panel) a
     join (select r, year, x, row_number() over (partition by r, year order by md5('11|' || r::varchar || '|' || year::varchar || '|' || unit::varchar)) as k
           from reps, panel) b on a.r = b.r and a.year = b.year and a.k = b.k
@@ -733,7 +733,7 @@ def lead_test(spark, d):
 @query(
     "trim",
     with_ctes("panel")
-    + """, q as (select quantile_cont(y, 0.01) as lo, quantile_cont(y, 0.99) as hi from panel) select unit, year, y from panel, q where y between lo and hi""",
+    + """, cut as (select quantile_cont(y, 0.01) as lo, quantile_cont(y, 0.99) as hi from panel) select unit, year, y from panel, cut where y between lo and hi""",
     y=9,
 )
 def trim(spark, d):
@@ -744,7 +744,7 @@ def trim(spark, d):
 @query(
     "winsorize",
     with_ctes("panel")
-    + """, q as (select quantile_cont(y, 0.05) as lo, quantile_cont(y, 0.95) as hi from panel) select unit, year, least(greatest(y, lo), hi) as y from panel, q""",
+    + """, cut as (select quantile_cont(y, 0.05) as lo, quantile_cont(y, 0.95) as hi from panel) select unit, year, least(greatest(y, lo), hi) as y from panel, cut""",
     y=9,
 )
 def winsorize(spark, d):
