@@ -10,11 +10,14 @@ from pyspark.sql import types as T
 
 from comarca.functions.tails import chi2_sf, normal_cdf
 from comarca.operators.gram import (
+    _sandwich,
     _symmetric,
+    cluster_meat,
     fe_table,
     pairs,
     partial_out,
     period_equations,
+    solve_groups,
     total,
     two_way,
     unit_blocks,
@@ -109,15 +112,13 @@ def cce_pooled(df: DataFrame, y: str, x: str, controls: list[str] | None = None)
     wide = sample.join(means, "year")
     dev = unit_demean(wide, [*cols, "_my", "_mx"], "unit", [])
     # The same residualisation as for controls, with the unit as the group.
-    clean = partial_out(dev, cols, ["_my", "_mx"], group=["unit"]).withColumn("_g", F.lit(0))
-    from comarca.operators.gram import cluster_meat, solve_groups
-
-    kept = settle(clean.dropna(subset=cols), "cce")
+    clean = partial_out(dev, cols, ["_my", "_mx"], group=["unit"]).dropna(subset=cols).withColumn("_g", F.lit(0))
     k = len(cols) - 1
-    blocks = unit_blocks(kept, cols, "unit", ["_g"])
+    blocks = settle(unit_blocks(clean, cols, "unit", ["_g"]), "cce")
     fits = solve_groups(blocks, ["_g"], k)
     meat = cluster_meat(blocks, fits, ["_g"], k)
-    return fits.join(meat, "_g")
+    se = F.sqrt(F.get(_sandwich("inv", "meat"), F.lit(0)) * F.col("units") / (F.col("units") - 1))
+    return fits.join(meat, "_g").select(F.col("beta")[0].alias("coef"), se.alias("se"), "n", "units")
 
 
 def event_dummies(df: DataFrame, exposure: str, years: list[int], reference: int) -> tuple[DataFrame, list[str]]:

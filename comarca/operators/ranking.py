@@ -82,33 +82,33 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     brackets = F.array(
         *[
             F.struct(
-                F.lit(i).alias("q"),
-                (F.lit(p) * (F.col("_total") - 1)).alias("h"),
-                F.when(small, F.lit(float("-inf"))).otherwise(F.get("_e", F.lit(i))).alias("lo"),
-                F.when(small, F.lit(float("inf"))).otherwise(F.get("_e", F.lit(i + k))).alias("hi"),
+                F.lit(i).alias("_q"),
+                (F.lit(p) * (F.col("_total") - 1)).alias("_h"),
+                F.when(small, F.lit(float("-inf"))).otherwise(F.get("_e", F.lit(i))).alias("_lo"),
+                F.when(small, F.lit(float("inf"))).otherwise(F.get("_e", F.lit(i + k))).alias("_hi"),
             )
             for i, p in enumerate(probs.values())
         ]
     )
     located = attach(counts, sketch.select(*by, brackets.alias("_b")), by)
     below = located.groupBy(*by).agg(
-        F.array(*[F.sum(F.when(F.col("_v") < F.col("_b")[i]["lo"], F.col("_n")).otherwise(0)) for i in range(k)]).alias(
+        F.array(*[F.sum(F.when(F.col("_v") < F.col("_b")[i]["_lo"], F.col("_n")).otherwise(0)) for i in range(k)]).alias(
             "_below"
         )
     )
     inside = located.select(
-        *by, "_v", "_n", F.inline(F.filter("_b", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"])))
+        *by, "_v", "_n", F.inline(F.filter("_b", lambda b: (F.col("_v") >= b["_lo"]) & (F.col("_v") <= b["_hi"])))
     )
-    w = Window.partitionBy(*by, "q").orderBy("_v")
+    w = Window.partitionBy(*by, "_q").orderBy("_v")
     ordered = attach(inside.withColumn("_upto", F.sum("_n").over(w)), below, by)
-    end = F.get("_below", F.col("q")) + F.col("_upto")  # ranks up to and including this value
-    picked = ordered.groupBy(*by, "q").agg(
-        F.min(F.when(end > F.floor("h"), F.col("_v"))).alias("_v0"),
-        F.min(F.when(end > F.ceil("h"), F.col("_v"))).alias("_v1"),
-        F.first(F.col("h") - F.floor("h")).alias("_f"),
+    end = F.get("_below", F.col("_q")) + F.col("_upto")  # ranks up to and including this value
+    picked = ordered.groupBy(*by, "_q").agg(
+        F.min(F.when(end > F.floor("_h"), F.col("_v"))).alias("_v0"),
+        F.min(F.when(end > F.ceil("_h"), F.col("_v"))).alias("_v1"),
+        F.first(F.col("_h") - F.floor("_h")).alias("_f"),
     )
     value_at = F.col("_v0") + F.col("_f") * (F.col("_v1") - F.col("_v0"))
-    return picked.groupBy(*by).agg(*[F.max(F.when(F.col("q") == i, value_at)).alias(n) for i, n in enumerate(names)])
+    return picked.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == i, value_at)).alias(n) for i, n in enumerate(names)])
 
 
 def top_and_bottom(df: DataFrame, order: list[Column], reverse: list[Column], top: int, bottom: int) -> tuple:

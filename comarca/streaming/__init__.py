@@ -1 +1 @@
-
+"""Incremental counterparts of the batch operators, on Structured Streaming."""
