@@ -170,11 +170,13 @@ def pesaran_cd(e: DataFrame, value: str = "e", min_common: int = 3) -> DataFrame
     shape = rows.groupBy("unit").agg(F.sort_array(F.collect_set("year")).alias("p"))
     base = settle(rows.join(shape, "unit").select("unit", "year", F.col(value).alias("v"), "p"), "cd")
     kinds = settle(base.select("p").distinct(), "patterns")
+    seen = kinds.select("p", F.explode("p").alias("year"))
     meets = (
-        kinds.alias("a")
-        .join(kinds.select(F.col("p").alias("q")).alias("b"), F.size(F.array_intersect("p", "q")) >= min_common)
+        seen.join(seen.select(F.col("p").alias("q"), "year"), "year")
         .filter(F.array_join("p", ",") <= F.array_join("q", ","))
-        .select("p", "q", F.array_intersect("p", "q").alias("c"))
+        .groupBy("p", "q")
+        .agg(F.sort_array(F.collect_list("year")).alias("c"))
+        .filter(F.size("c") >= min_common)
     )
     meets = settle(meets, "meets")
     uses = meets.select("p", "c").unionByName(meets.select(F.col("q").alias("p"), "c")).distinct()

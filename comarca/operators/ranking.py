@@ -10,13 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+MIN_RANGES = 64
 ACCURACY = 10_000
+SLICES = 1024
 
 
-def range_offsets(df: DataFrame, value: str, weight: str, by: list[str] | None = None, ranges: int = RANGES):
-    """(rows with ``_range``, offsets): the range of each row and the weight before each range."""
+def range_offsets(df: DataFrame, value: str, weight: str, by: list[str] | None = None):
+    """(rows with ``_range``, offsets): the range of each row and the weight before each range.
+
+    There are at least as many ranges as the session has shuffle partitions.
+    """
     by = by or []
+    ranges = max(MIN_RANGES, min(ACCURACY // 4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     kind = dict(df.dtypes)[value]
     if kind in ("string", "date") or kind.startswith("timestamp"):
@@ -99,9 +104,21 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     inside = located.select(
         *by, "_v", "_n", F.inline(F.filter("_b", lambda b: (F.col("_v") >= b["_lo"]) & (F.col("_v") <= b["_hi"])))
     )
-    w = Window.partitionBy(*by, "_q").orderBy("_v")
-    ordered = attach(inside.withColumn("_upto", F.sum("_n").over(w)), below, by)
-    end = F.get("_below", F.col("_q")) + F.col("_upto")  # ranks up to and including this value
+    # Equal-width slices of each bracket: only the slices that hold the wanted ranks are ordered.
+    width = F.col("_hi") - F.col("_lo")
+    slot = F.when((width > 0) & (width < F.lit(float("inf"))), F.least(F.floor((F.col("_v") - F.col("_lo")) / width * SLICES), F.lit(SLICES - 1)))
+    sliced = inside.withColumn("_slice", F.coalesce(slot, F.lit(0)))
+    before = Window.partitionBy(*by, "_q").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = attach(sliced.groupBy(*by, "_q", "_slice").agg(F.sum("_n").alias("_in"), F.first("_h").alias("_rank")), below, by)
+    start = F.get("_below", F.col("_q")) + F.coalesce(F.sum("_in").over(before), F.lit(0))
+    wanted = (
+        sizes.withColumn("_start", start)
+        .filter((F.col("_start") <= F.ceil("_rank")) & (F.col("_start") + F.col("_in") > F.floor("_rank")))
+        .select(*by, "_q", "_slice", "_start")
+    )
+    w = Window.partitionBy(*by, "_q", "_slice").orderBy("_v")
+    ordered = sliced.join(wanted, [*by, "_q", "_slice"]).withColumn("_upto", F.sum("_n").over(w))
+    end = F.col("_start") + F.col("_upto")  # ranks up to and including this value
     picked = ordered.groupBy(*by, "_q").agg(
         F.min(F.when(end > F.floor("_h"), F.col("_v"))).alias("_v0"),
         F.min(F.when(end > F.ceil("_h"), F.col("_v"))).alias("_v1"),

@@ -53,6 +53,22 @@ def chain_levels(df: DataFrame, growth_pct: str, base: str, keys: list[str], tim
     return df.withColumn("level", F.col(base) * F.exp(F.sum(F.log1p(F.col(growth_pct) / 100.0)).over(w)))
 
 
+def running_index(df: DataFrame, unit: str, order: list[str], bucket: Column, name: str) -> DataFrame:
+    """1..n counter of each unit's rows in time order.
+
+    The count is cut by a coarse time ``bucket``: a row's number is the size of the unit's earlier
+    buckets plus its number inside the bucket, so a unit with very many rows spans many tasks.
+    """
+    keyed = df.withColumn("_b", bucket)
+    before = Window.partitionBy(unit).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy(unit, "_b").agg(F.count("*").alias("_n"))
+    offsets = sizes.select(unit, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy(unit, "_b").orderBy(*order))
+    return keyed.withColumn("_r", inside).join(offsets, [unit, "_b"]).withColumn(
+        name, (F.col("_off") + F.col("_r")).cast("int")
+    ).drop("_b", "_r", "_off")
+
+
 def holm(df: DataFrame, p: str, family: list[str], order: list[str]) -> DataFrame:
     """Holm step-down p values inside each family of contrasts (a few dozen rows each)."""
     w = Window.partitionBy(*family).orderBy(p, *order)

@@ -120,8 +120,9 @@ def pre_trends(spark, d):
     for block, keep in (("before", lambda a: a < 1998), ("after", lambda a: a > 1998)):
         tested = [n for n in names if keep(years[n])]
         rest = [n for n in names if n not in tested]
+        prep = I.prepare(p, "y", tested, rest)
         for weights in ("rademacher", "webb"):
-            r = I.wald_test(I.run_replicas(p, "y", tested, rest, replicas=199, weights=weights))
+            r = I.wald_test(I.replicate(prep, replicas=199, weights=weights))
             rows.append((block, weights, r["q"], r["f"], r["df2"], r["p_f"], r["p_bootstrap"]))
     return spark.createDataFrame(
         rows, "block string, weights string, q int, f double, df2 int, p_f double, p_bootstrap double"

@@ -295,7 +295,7 @@ def widen_observed(spark, d):
 def layout_by_period(spark, d):
     path = scratch(spark, "layout")
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    I.layout_by_period(lines, path, "l_shipdate", "quarter", ["l_suppkey", "l_orderkey"], 8)
+    I.layout_by_period(lines, path, "l_shipdate", "quarter", ["l_suppkey", "l_orderkey"])
     read = spark.read.schema(
         "l_orderkey long, l_suppkey long, l_shipdate timestamp_ntz, l_extendedprice double, period date"
     ).parquet(path)

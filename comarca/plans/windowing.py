@@ -143,8 +143,10 @@ def cum_deflator(spark, d):
     "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as t_idx from orders",
 )
 def running_index(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("t_idx"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    month = F.date_trunc("month", "o_orderdate")
+    out = W.running_index(o, "o_custkey", ["o_orderdate", "o_orderkey"], month, "t_idx")
+    return out.select("o_custkey", "o_orderkey", "t_idx")
 
 
 _SPEND = "spend as (select o_custkey as member, sum(o_totalprice) as amount from orders group by 1)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comarca.functions.numeric import clean_double, is_distinct
@@ -49,12 +49,12 @@ def year_partition(day: Column) -> Column:
 def write_partitioned(df: DataFrame, path: str, day_col: str, only_changed: bool = False) -> None:
     """Replace a source, one partition per year; rows without a readable date get their own.
 
-    Rows are spread over years *and* a hash of the row before writing, so a year that holds a third
-    of the data is written by many tasks. With ``only_changed`` the years absent from ``df`` survive.
+    Rows are rebalanced by year before writing: AQE merges small years into one task and splits a year
+    that holds a third of the data into as many as its size needs. With ``only_changed`` the years
+    absent from ``df`` survive.
     """
     keyed = df.withColumn("anio", year_partition(F.col(day_col)))
-    spread = keyed.repartition(F.col("anio"), F.pmod(F.xxhash64(*df.columns), F.lit(8)))
-    writer = spread.write.mode("overwrite").partitionBy("anio")
+    writer = keyed.hint("rebalance", F.col("anio")).write.mode("overwrite").partitionBy("anio")
     writer.option("partitionOverwriteMode", "dynamic" if only_changed else "static").parquet(path)
 
 
@@ -146,19 +146,24 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) -
 
 
 def snapshot_as_of(df: DataFrame, keys: list[str], order: str, at: Column) -> DataFrame:
-    """The state of each key at a past moment: its newest row not later than ``at``."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return df.filter(F.col(order) <= at).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """The state of each key at a past moment: its newest row not later than ``at``.
+
+    An aggregation, not a window: a key with a long history is reduced map-side.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    newest = df.filter(F.col(order) <= at).groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_s"))
+    return newest.select(*keys, "_s.*")
 
 
-def layout_by_period(df: DataFrame, path: str, day_col: str, grain: str, cluster: list[str], files: int) -> None:
+def layout_by_period(df: DataFrame, path: str, day_col: str, grain: str, cluster: list[str]) -> None:
     """Write partitioned by period bucket and clustered by keys inside each file.
 
-    The range split is over (period, keys), so a heavy period spans several files.
+    The range split is over (period, keys), so a heavy period spans several files; their number
+    follows the session's shuffle partitions.
     """
     bucketed = df.withColumn("period", F.to_date(F.date_trunc(grain, F.col(day_col))))
     (
-        bucketed.repartitionByRange(files, "period", *cluster)
+        bucketed.repartitionByRange("period", *cluster)
         .sortWithinPartitions("period", *cluster)
         .write.mode("overwrite")
         .partitionBy("period")
