@@ -27,7 +27,7 @@ def zero_to_null(names: list[str]) -> dict[str, Column]:
 
 def clean_double(value: Column) -> Column:
     """Text to double: decimal comma accepted, unreadable text and NaN become NULL."""
-    number = F.regexp_replace(value.cast("string"), ",", ".").try_cast("double")
+    number = F.replace(value.cast("string"), F.lit(","), F.lit(".")).try_cast("double")
     return F.when(~F.isnan(number), number)
 
 

@@ -18,9 +18,17 @@ def last_quarter(value: Column, quarter: Column) -> Column:
 
 
 def annualize_wide(
-    quarterly: DataFrame, keys: list[str], flows: list[str], stocks: list[str], quarter: str = "quarter"
+    quarterly: DataFrame,
+    keys: list[str],
+    flows: list[str],
+    stocks: list[str] | None = None,
+    quarter: str = "quarter",
+    counted_stocks: list[str] | None = None,
 ) -> DataFrame:
-    """Annual values from one row per (keys, quarter): flows are summed, stocks read at year end.
+    """Annual values from rows per (keys, quarter): flows are summed, stocks read at year end.
+
+    With several rows per quarter a stock may be the number of rows in the last one
+    (``counted_stocks``); it is NULL when that quarter is missing.
 
     The quarters seen travel as a bit mask, so no distinct count (and no second shuffle) is needed.
     """
@@ -28,7 +36,9 @@ def annualize_wide(
     seen = F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), q - 1)))
     aggs = [seen.cast("long").alias("quarters")]
     aggs += [F.when(seen == QUARTERS, F.sum(c)).alias(c) for c in flows]
-    aggs += [last_quarter(F.col(c), q).alias(c) for c in stocks]
+    aggs += [last_quarter(F.col(c), q).alias(c) for c in stocks or []]
+    at_end = F.count_if(q == QUARTERS)
+    aggs += [F.when(at_end > 0, at_end).alias(c) for c in counted_stocks or []]
     return quarterly.groupBy(*keys).agg(*aggs)
 
 

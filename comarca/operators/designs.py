@@ -13,6 +13,7 @@ from comarca.operators.gram import (
     _sandwich,
     _symmetric,
     cluster_meat,
+    equations,
     fe_table,
     pairs,
     partial_out,
@@ -44,12 +45,8 @@ def leave_one_out(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     k = len(xs)
     dev = settle(unit_demean(df.select("unit", "year", *cols).dropna(subset=cols), cols, "unit", []), "leave")
     eq = period_equations(dev.withColumn("_g", F.lit(0)), cols, "unit", "year", ["_g"], None).first()
-    times = [r["t"] for r in eq["_sums"]]
+    times, normal, sums = equations(eq["_cells"])
     at = {t: i for i, t in enumerate(times)}
-    sums = np.array([r["s"] for r in eq["_sums"]], float)
-    normal = np.zeros((len(times), len(times)))
-    for c in eq["_cells"]:
-        normal[at[c["a"]], at[c["b"]]] = c["v"]
     flat = dev.agg(F.array(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in pairs(k + 1)])).first()[0]
     gram = _symmetric(flat, k + 1)
 

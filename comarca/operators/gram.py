@@ -71,17 +71,17 @@ def unit_demean(df: DataFrame, cols: list[str], unit: str, group: list[str]) ->
 
 
 def period_equations(df: DataFrame, cols: list[str], unit: str, time: str, group: list[str], weight: str | None):
-    """Per group: the periods, their normal matrix and their cross products with unit-demeaned ``cols``.
+    """(group, _cells): the period normal equations of each group as cells.
 
-    Units with the same observed periods share one row of the normal matrix, so a balanced panel
-    contributes a single pattern however many units it has.
+    A cell (a, b, v, null) is an entry of the periods x periods matrix, a cell (a, null, null, s) holds
+    the cross products of period a with the unit-demeaned ``cols``. Units with the same observed periods
+    share one pattern, so a balanced panel contributes a single one however many units it has.
     """
     w = weight or "1.0D"
     sums = (
         df.groupBy(*group, time)
         .agg(F.expr("array(" + ", ".join(f"sum({w} * {c})" for c in cols) + ") as s"))
-        .groupBy(*group)
-        .agg(F.expr(f"sort_array(collect_list(struct({time} as t, s))) as _sums"))
+        .selectExpr(*group, f"{time} as a", f"cast(null as {dict(df.dtypes)[time]}) as b", "cast(null as double) as v", "s")
     )
     normal = (
         df.groupBy(*group, unit)
@@ -92,22 +92,31 @@ def period_equations(df: DataFrame, cols: list[str], unit: str, time: str, group
         .selectExpr(*group, "a", "_w", "size(_times) as _n", "explode(_times) as b")
         .groupBy(*group, "a", "b")
         .agg(F.expr("sum(if(a = b, _w, 0.0D) - _w / _n) as v"))
-        .groupBy(*group)
-        .agg(F.expr("collect_list(struct(a, b, v)) as _cells"))
+        .selectExpr(*group, "a", "b", "v", "cast(null as array<double>) as s")
     )
-    return sums.join(normal, group)
+    return sums.unionByName(normal).groupBy(*group).agg(F.expr("collect_list(struct(a, b, v, s)) as _cells"))
 
 
-@F.pandas_udf(T.ArrayType(VECTOR))
-def _period_effects(sums: pd.Series, cells: pd.Series) -> pd.Series:
+def equations(cells) -> tuple[list, np.ndarray, np.ndarray]:
+    """(periods, normal matrix, right-hand sides) of one group's cells."""
+    right = {c["a"]: np.asarray(c["s"], float) for c in cells if c["s"] is not None}
+    times = sorted(right)
+    at = {t: i for i, t in enumerate(times)}
+    m = np.zeros((len(times), len(times)))
+    for c in cells:
+        if c["s"] is None:
+            m[at[c["a"]], at[c["b"]]] = c["v"]
+    return times, m, np.array([right[t] for t in times])
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("t", T.LongType()), T.StructField("e", VECTOR)])))
+def _period_effects(cells: pd.Series) -> pd.Series:
+    """The effect of every period on every column, one row per group."""
     out = []
-    for s, c in zip(sums, cells, strict=True):
-        at = {r["t"]: i for i, r in enumerate(s)}
-        m = np.zeros((len(at), len(at)))
-        for r in c:
-            m[at[r["a"]], at[r["b"]]] = r["v"]
-        rhs = np.array([np.asarray(r["s"], float) for r in s])
-        out.append((np.linalg.pinv(m, rcond=1e-12) @ rhs).tolist())
+    for c in cells:
+        times, m, rhs = equations(c)
+        effects = np.linalg.pinv(m, rcond=1e-12) @ rhs
+        out.append([{"t": int(t), "e": e.tolist()} for t, e in zip(times, effects, strict=True)])
     return pd.Series(out)
 
 
@@ -124,7 +133,8 @@ def two_way(
 ) -> DataFrame:
     """``cols`` replaced by their deviations from unit (and period) effects. Exact for any panel.
 
-    With ``keep_within`` the deviations from the unit means alone stay beside them as ``_u_<col>``.
+    With ``keep_within`` the deviations from the unit means alone stay beside them as ``_u_<col>``, and
+    the number of periods of the group as ``_periods``.
     """
     g = list(group or [])
     if not g:
@@ -132,12 +142,15 @@ def two_way(
     dev = unit_demean(df, cols, unit, g)
     rest = [c for c in dev.columns if c not in cols and not (c == "_g" and not group)]
     within = [f"{c} as _u_{c}" for c in cols] if keep_within else []
+    if keep_within and time_effects:
+        within.append("_periods")
     if not time_effects:
         return dev.selectExpr(*rest, *cols, *within)
     eq = period_equations(dev, cols, unit, time, g, weight)
-    effects = eq.select(
-        *g, F.inline(F.arrays_zip(F.col("_sums.t").alias("_t"), _period_effects("_sums", "_cells").alias("_e")))
-    ).toDF(*g, time, "_e")
+    solved = eq.select(*g, _period_effects("_cells").alias("_p"))
+    effects = solved.selectExpr(*g, "size(_p) as _periods", "inline(_p)").selectExpr(
+        *g, f"cast(t as {dict(dev.dtypes)[time]}) as {time}", "e as _e", "_periods"
+    )
     over = f"over (partition by {_keys(g, unit)})"
     out = [f"{c} - _e[{i}] + avg(_e[{i}]) {over} as {c}" for i, c in enumerate(cols)]
     return dev.join(effects, [*g, time]).selectExpr(*rest, *out, *within)
@@ -150,6 +163,8 @@ def unit_blocks(
     aggs = ["count(*) as n", f"{_products(cols, weight)} as m"]
     if keep_within:
         aggs.append(f"{_products(cols, weight, '_u_')} as u")
+    if "_periods" in df.columns:
+        aggs.append("first(_periods) as periods")
     return df.groupBy(*group, unit).agg(*[F.expr(a) for a in aggs])
 
 
@@ -194,10 +209,13 @@ def solve_groups(blocks: DataFrame, group: list[str], k: int, keep_within: bool
     """(group, n, units, m, beta, inv) from unit blocks of [y, x1..xk]."""
     size = len(pairs(k + 1))
     aggs = ["sum(n) as n", "count(*) as units", f"{_sums('m', size)} as m"]
+    extra = ["u"] if keep_within else []
     if keep_within:
         aggs.append(f"{_sums('u', size)} as u")
+    if "periods" in blocks.columns:
+        aggs.append("first(periods) as periods")
+        extra.append("periods")
     sums = blocks.groupBy(*group).agg(*[F.expr(a) for a in aggs])
-    extra = ["u"] if keep_within else []
     return sums.withColumn("_s", _solve("m")).selectExpr(*group, "n", "units", "m", *extra, "_s.beta", "_s.inv")
 
 
@@ -288,7 +306,8 @@ def fe_table(
         meat = hc_meat(dev, fits, y, xs, g, weight)
     else:
         meat = driscoll_kraay_meat(dev, fits, y, xs, g, time, 1 if bandwidth is None else bandwidth, weight)
-    periods = start.groupBy(*g).agg(F.expr(f"count(distinct {time}) as periods"))
+    if not time_effects:
+        fits = fits.join(start.groupBy(*g).agg(F.expr(f"count(distinct {time}) as periods")), g)
 
     slopes = f"({k} + {'periods' if time_effects else '1'})"  # regressors, constant, period dummies
     if cov == "cluster":
@@ -300,12 +319,12 @@ def fe_table(
     square = " + ".join(
         f"beta[{i}] * beta[{j}] * u[{at[(min(i, j) + 1, max(i, j) + 1)]}]" for i in range(k) for j in range(k)
     )
-    out = fits.join(meat, g).join(periods, g).withColumn("_v", _sandwich("inv", "meat"))
+    out = fits.join(meat, g).withColumn("_v", _sandwich("inv", "meat"))
     out = out.selectExpr(
         *g,
         "n",
         "units",
-        "periods",
+        "cast(periods as bigint) as periods",
         "beta",
         f"transform(_v, v -> v * if(units > 1, {factor}, null)) as vcov",
         "inv",
