@@ -342,8 +342,8 @@ def export_year_matrix(spark, d):
     with_ctes("annual")
     + """select unit, year, amount, null::double as width, false as projected from annual where year <= 2000
     union all select unit, year + 1, amount * 1.02, amount * 0.1, true from annual where year = 2000 and amount is not null""",
-    amount=2,
-    width=2,
+    amount=4,
+    width=3,
 )
 def attach_projection(spark, d):
     a = annual(spark, d).select("unit", "year", "amount").filter("year <= 2000")
@@ -380,7 +380,7 @@ _VINTAGE = """v1 as (select unit, year, quarter, amount from q),
     + f""", {_VINTAGE} select unit, year, quarter, v1.amount as old_value, v2.amount as new_value
     from v1 full join v2 using (unit, year, quarter) where v1.amount is distinct from v2.amount""",
     old_value=2,
-    new_value=2,
+    new_value=4,
 )
 def snapshot_diff(spark, d):
     v1 = quarterly(spark, d).select("unit", "year", "quarter", "amount")
