@@ -7,8 +7,12 @@ beyond the threshold the same join runs as a shuffle join.
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,11 +26,35 @@ SETTINGS = {
 }
 
 
+#: Applications whose executors have the package already.
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, which may start in a folder without it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="comarca-")  # on the driver, whose file server reads it until the end
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "comarca.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for where, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(where, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(home)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings every query relies on. Cluster sizing is left to the cluster."""
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
