@@ -39,7 +39,7 @@ def numbered(df: DataFrame, by: str, order: list[str], rank: str, rows_per_bucke
     held = settle(df.withColumn("_spread", F.monotonically_increasing_id()), "numbered")
     buckets = max(8, math.ceil(held.count() / rows_per_bucket))
     held = held.withColumn("_bucket", F.pmod(F.xxhash64("_spread"), F.lit(buckets)).cast("int")).drop("_spread")
-    before = Window.partitionBy("_by").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_by").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     counts = held.groupBy(F.col(by).alias("_by"), F.col("_bucket").alias("_at")).agg(F.count("*").alias("_n"))
     firsts = counts.select("_by", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(*order))

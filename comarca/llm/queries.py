@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from comarca.llm import language, line_dedup, sharding
+from comarca.llm import (
+    decontaminate,
+    html_text,
+    language,
+    line_dedup,
+    packing,
+    preference,
+    sharding,
+    topk,
+    toxicity,
+)
 from comarca.session import configure
 
 
@@ -17,12 +27,21 @@ def _configured(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: _configured(run)
     for name, run in {
+        "op1_packing": packing.op1_packing,
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op3_html_text": html_text.op3_html_text,
+        "op4_decontamination": decontaminate.op4_decontamination,
+        "op6_topk": topk.op6_topk,
         "op7_sharding": sharding.op7_sharding,
         "op8_language": language.op8_language,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_preference": preference.op10_preference,
     }.items()
 }
 
 ORACLES: dict[str, str] = {
+    "op4_decontamination": decontaminate.SQL,
+    "op6_topk": topk.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op10_preference": preference.SQL,
 }
