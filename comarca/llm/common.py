@@ -12,6 +12,7 @@ from comarca.session import settle
 #: Rows and bytes of one Arrow batch handed to Python; whole texts of any length fit one by one.
 ARROW_ROWS = 1000
 ARROW_BYTES = 16 << 20
+SENT_IDS = 2_000_000
 
 
 def arrow_batches(spark: SparkSession) -> None:
@@ -29,6 +30,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is not among ids; rows with a null key stay.
+
+    The ids are sent to the tasks up to SENT_IDS of them, and joined by shuffle beyond.
+    """
+    gone = settle(ids.select(F.col(key).alias("_gone")).where("_gone is not null").distinct(), "gone")
+    sent = F.broadcast(gone) if gone.count() <= SENT_IDS else gone
+    return docs.join(sent, F.col(key) == F.col("_gone"), "left_anti")
+
+
 def numbered(df: DataFrame, by: str, order: list[str], rank: str, rows_per_bucket: int = 20_000) -> DataFrame:
     """Add a gapless rank from 0 within each value of `by`.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from comarca.llm import (
     decontaminate,
     html_text,
+    jaccard_join,
     language,
     line_dedup,
     packing,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_html_text": html_text.op3_html_text,
         "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_topk": topk.op6_topk,
         "op7_sharding": sharding.op7_sharding,
         "op8_language": language.op8_language,
@@ -41,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_decontamination": decontaminate.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
     "op6_topk": topk.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op10_preference": preference.SQL,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comarca.llm import language, line_dedup
+from comarca.llm import decontaminate, jaccard_join, language, line_dedup, packing
+from comarca.llm.common import without
 from comarca.session import configure, settle
 
 
@@ -26,9 +27,40 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that near-duplicate links connect, the one with the smallest doc_id.
+
+    Repeated rows of that document count as copies too. Rows without a doc_id can't be told apart and stay.
+    """
+    configure(spark)
+    groups = settle(jaccard_join.join(docs), "groups")
+    kept = without(docs, groups.where("doc_id <> component_id"))
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not repeated.take(1):
+        return kept
+    named, bare = kept.where("doc_id is not null"), kept.where("doc_id is null")
+    return named.dropDuplicates(["doc_id"]).unionByName(bare)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    configure(spark)
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, found.where("contaminated"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of what is left, placed in sequences."""
+    configure(spark)
+    return packing.pack(docs)
+
+
 STAGES = [
     ("language", keep_language),
     ("line_dedup", drop_lines),
+    ("ngram_join", one_of_each),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
 ]
 
 #: Compression and packing have no SQL form.
