@@ -135,14 +135,4 @@ def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
-    return _each(lambda x: 2 * (1 - normal_cdf(abs(x))), z)
-
-
-@F.pandas_udf(T.DoubleType())
-def f_upper(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return _each(lambda x, a, b: f_sf(x, a, b) if b > 0 else None, f, d1, d2)
-
-
-@F.pandas_udf(T.DoubleType())
-def chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
-    return _each(lambda v, d: chi2_sf(v, d) if d > 0 else None, x, df)
+    return _each(lambda x: math.erfc(abs(x) / math.sqrt(2)), z)

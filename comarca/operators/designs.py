@@ -130,7 +130,7 @@ def standardized(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.withColumn("_st", stats).withColumn(name, (F.col(column) - F.col("_st.m")) / F.col("_st.s")).drop("_st")
 
 
-def moran(z: DataFrame, edges: DataFrame, *, value: str = "z", replicas: int = 99, seed: int = 13) -> DataFrame:
+def moran(z: DataFrame, edges: DataFrame, *, value: str = "z", replicas: int = 999, seed: int = 13) -> DataFrame:
     """(year, i, p, n): spatial autocorrelation with permutation inference.
 
     ``z`` has (unit, year, value); ``edges`` has (unit, neighbour, weight). Values are permuted among
@@ -310,9 +310,3 @@ def hausman(df: DataFrame, y: str, xs: list[str]) -> dict:
     v = np.array(row["vcov"]).reshape(k, k) - re["vcov"][:k, :k]
     stat = float(gap @ np.linalg.pinv(v) @ gap)
     return {"chi2": stat, "df": k, "p": chi2_sf(stat, k) if stat > 0 else 1.0, "n": int(row["n"]), "valid": False}
-
-
-def two_sided_normal(z: float) -> float:
-    return 2 * (1 - normal_cdf(abs(z)))
-
-

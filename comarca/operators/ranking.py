@@ -1,8 +1,8 @@
 """Ranks and exact quantiles of whole tables without a single-task sort.
 
-Values are first collapsed to distinct values with counts. Approximate quantiles (a bounded sketch)
-cut them into ranges; inside a range an ordinary window works, and the ranges are linked by their
-counts. The results are exact: the sketch only decides where the cuts fall.
+Rows are cut into ranges of their keys; inside a range an ordinary window works, and the ranges are linked
+by their counts. Quantiles order only the rows near the wanted rank. The results are exact: samples and
+sketches only decide where the cuts fall.
 """
 
 from __future__ import annotations
@@ -10,34 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MIN_RANGES = 64
+from comarca.session import settle
+
+MIN_RANGES = 16
 ACCURACY = 10_000
 SLICES = 1024
 
 
 def range_offsets(df: DataFrame, value: str, weight: str, by: list[str] | None = None):
-    """(rows with ``_range``, offsets): the range of each row and the weight before each range.
+    """(rows with ``_range``, offsets): the range of each row and the weight before each range of its group.
 
-    There are at least as many ranges as the session has shuffle partitions.
+    The ranges are Spark's own, cut from a sample of the whole keys of any type; rows with equal keys share
+    one. They are written once, since a second sample would cut elsewhere.
     """
     by = by or []
-    ranges = max(MIN_RANGES, min(ACCURACY // 4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    kind = dict(df.dtypes)[value]
-    if kind in ("string", "date") or kind.startswith("timestamp"):
-        cut_on = F.xxhash64(value) if kind == "string" else F.unix_date(F.to_date(value)).cast("double")
-    else:
-        cut_on = F.col(value).cast("double")
-    if kind == "string":
-        # Text has no numeric quantiles: its first characters give an order-preserving number.
-        pad = F.rpad(F.substring(F.col(value), 1, 6), 6, "\0")
-        cut_on = F.conv(F.hex(F.substring(F.encode(pad, "utf-8"), 1, 6)), 16, 10).cast("double")
-    keyed = df.withColumn("_cut", cut_on)
-    bounds = keyed.groupBy(*by).agg(F.percentile_approx("_cut", probs, ACCURACY).alias("_bounds"))
-    located = (keyed.join(bounds, by) if by else keyed.withColumn("_bounds", bounds.scalar())).withColumn(
-        "_range", F.size(F.filter("_bounds", lambda b: b < F.col("_cut")))
-    )
-    ranged = located.drop("_bounds", "_cut")
+    ranges = max(MIN_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = df.repartitionByRange(ranges, *by, value)
+    ranged = settle(spread.withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy(*by, "_range").agg(F.sum(weight).alias("_in"))
     w = Window.partitionBy(*by, F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "_range", F.coalesce(F.sum("_in").over(w), F.lit(0)).alias("_before"))
@@ -70,39 +59,53 @@ def attach(df: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Interpolated quantiles per group, exact for groups of any size.
 
-    A sketch brackets each quantile; only the distinct values inside the brackets are ordered. No
-    task holds a group: sketches and counts are merged from partial aggregates. The bracket is five
-    times the sketch's rank error; groups too small for that margin are ordered whole.
+    A sketch brackets each quantile, by five times its rank error. Counts merged from partial aggregates say
+    how many rows lie below and inside a bracket; one that misses a wanted rank, as in a group of few rows, is
+    opened to that side. Only rows inside the brackets are grouped and ordered: no task holds a group.
     """
     eps = 5.0 / ACCURACY
     names, k = list(probs), len(probs)
     edges = [max(0.0, p - eps) for p in probs.values()] + [min(1.0, p + eps) for p in probs.values()]
     present = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    counts = present.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
-    sketch = present.groupBy(*by).agg(
-        F.count("*").alias("_total"),
-        F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), ACCURACY).alias("_e"),
-    )
-    small = F.col("_total") <= ACCURACY
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("_q"),
-                (F.lit(p) * (F.col("_total") - 1)).alias("_h"),
-                F.when(small, F.lit(float("-inf"))).otherwise(F.get("_e", F.lit(i))).alias("_lo"),
-                F.when(small, F.lit(float("inf"))).otherwise(F.get("_e", F.lit(i + k))).alias("_hi"),
-            )
-            for i, p in enumerate(probs.values())
-        ]
+    sketch = settle(
+        present.groupBy(*by).agg(
+            F.count("*").alias("_total"),
+            F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), ACCURACY).alias("_e"),
+        ),
+        "sketch",
     )
-    located = attach(counts, sketch.select(*by, brackets.alias("_b")), by)
-    below = located.groupBy(*by).agg(
-        F.array(*[F.sum(F.when(F.col("_v") < F.col("_b")[i]["_lo"], F.col("_n")).otherwise(0)) for i in range(k)]).alias(
-            "_below"
+    v, e = F.col("_v"), F.col("_e")
+    counts = (
+        attach(present, sketch, by)
+        .groupBy(*by)
+        .agg(
+            F.first("_total").alias("_total"),
+            F.first("_e").alias("_e"),
+            F.array(*[F.count_if(v < e[i]) for i in range(k)]).alias("_under"),
+            F.array(*[F.count_if((v >= e[i]) & (v <= e[i + k])) for i in range(k)]).alias("_held"),
         )
     )
-    inside = located.select(
-        *by, "_v", "_n", F.inline(F.filter("_b", lambda b: (F.col("_v") >= b["_lo"]) & (F.col("_v") <= b["_hi"])))
+
+    def bracket(i: int, p: float) -> Column:
+        rank = F.lit(p) * (F.col("_total") - 1)
+        low = F.col("_under")[i] <= F.floor(rank)
+        high = F.col("_under")[i] + F.col("_held")[i] > F.ceil(rank)
+        return F.struct(
+            F.lit(i).alias("_q"),
+            rank.alias("_h"),
+            F.when(low, e[i]).otherwise(F.lit(float("-inf"))).alias("_lo"),
+            F.when(high, e[i + k]).otherwise(F.lit(float("inf"))).alias("_hi"),
+            F.when(low, F.col("_under")[i]).otherwise(0).alias("_out"),
+        )
+
+    brackets = F.array(*[bracket(i, p) for i, p in enumerate(probs.values())])
+    held = settle(counts.select(*by, brackets.alias("_b")), "brackets")
+    below = held.select(*by, F.transform("_b", lambda b: b["_out"]).alias("_below"))
+    located = attach(present, held, by)
+    inside = (
+        located.select(*by, "_v", F.inline(F.filter("_b", lambda b: (v >= b["_lo"]) & (v <= b["_hi"]))))
+        .groupBy(*by, "_q", "_h", "_lo", "_hi", "_v")
+        .agg(F.count("*").alias("_n"))
     )
     # Equal-width slices of each bracket: only the slices that hold the wanted ranks are ordered.
     width = F.col("_hi") - F.col("_lo")

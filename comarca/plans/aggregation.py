@@ -65,9 +65,8 @@ def _long(spark, d):
     amount=2,
 )
 def group_by_all(spark, d):
-    moves(spark, d).createOrReplaceTempView("comarca_moves")
     return spark.sql(
-        "select unit, year, status, sum(amount) as amount, count(*) as n from comarca_moves group by all"
+        "select unit, year, status, sum(amount) as amount, count(*) as n from {rows} group by all", rows=moves(spark, d)
     )
 
 
@@ -75,24 +74,26 @@ def group_by_all(spark, d):
     "pivot_conditional",
     with_ctes("moves")
     + """select unit, year, sum(amount) filter (where priority = '1-URGENT') as urgent, sum(amount) filter (where priority = '2-HIGH') as high,
-    sum(amount) filter (where priority = '3-MEDIUM') as medium, sum(amount) filter (where priority = '5-LOW') as low
-    from moves where priority in ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') group by 1, 2""",
+    sum(amount) filter (where priority = '3-MEDIUM') as medium, sum(amount) filter (where priority = '5-LOW') as low,
+    sum(amount) filter (where priority not in ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')) as other from moves group by 1, 2""",
     urgent=2,
     high=2,
     medium=2,
     low=2,
+    other=2,
 )
 def pivot_conditional(spark, d):
-    """The column list comes from a metadata table, so the pivot needs no discovery job."""
+    """The named columns come from a metadata table, so the pivot needs no discovery job; the rest is one column."""
     heads = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]
+    named = F.when(F.col("priority").isin(heads), F.col("priority")).when(F.col("priority").isNotNull(), "other")
     wide = (
         moves(spark, d)
-        .filter(F.col("priority").isin(heads))
+        .withColumn("priority", named)
         .groupBy("unit", "year")
-        .pivot("priority", heads)
+        .pivot("priority", [*heads, "other"])
         .agg(F.sum("amount"))
     )
-    return wide.toDF("unit", "year", "urgent", "high", "medium", "low")
+    return wide.toDF("unit", "year", "urgent", "high", "medium", "low", "other")
 
 
 @query(
@@ -297,12 +298,12 @@ def column_profile(spark, d):
         (F.col("year") * 7.0).alias("yearly"),
     )
     long = wide.unpivot(["unit", "year"], PROFILED, "column", "v")
-    # A unit has at most a few values a year, so its distinct values fit one small array.
-    cells = long.groupBy("column", "unit", "year").agg(F.collect_set("v").alias("_vs"))
-    per_year = cells.groupBy("column", "unit").agg(
-        F.max(F.size("_vs")).alias("_most"), F.size(F.array_distinct(F.flatten(F.collect_list("_vs")))).alias("_own")
-    )
-    kinds = per_year.groupBy("column").agg(F.max("_most").alias("_most"), F.max("_own").alias("_own"))
+    per_year = long.groupBy("column", "unit", "year").agg(F.countDistinct("v").alias("_k"))
+    per_unit = long.groupBy("column", "unit").agg(F.countDistinct("v").alias("_k"))
+    kinds = (
+        per_year.groupBy("column").agg(F.max("_k").alias("_most"))
+        .join(per_unit.groupBy("column").agg(F.max("_k").alias("_own")), "column")
+    )
     glob = long.groupBy("column").agg(
         F.countDistinct("v").alias("n_distinct"), F.min("v").alias("low"), F.max("v").alias("high")
     )

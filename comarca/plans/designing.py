@@ -122,7 +122,7 @@ def pre_trends(spark, d):
         rest = [n for n in names if n not in tested]
         prep = I.prepare(p, "y", tested, rest)
         for weights in ("rademacher", "webb"):
-            r = I.wald_test(I.replicate(prep, replicas=199, weights=weights))
+            r = I.wald_test(I.replicate(prep, replicas=999, weights=weights))
             rows.append((block, weights, r["q"], r["f"], r["df2"], r["p_f"], r["p_bootstrap"]))
     return spark.createDataFrame(
         rows, "block string, weights string, q int, f double, df2 int, p_f double, p_bootstrap double"
@@ -198,8 +198,8 @@ def _moran_sql() -> str:
         "ss": "select what, year, sum(v * v) as ss, count(*) as n from dz group by 1, 2",
         "ob": "select a.what, a.year, sum(weight * a.v * b.v) as c from ed join dz a on a.unit = ed.unit join dz b on b.unit = ed.neighbour and b.year = a.year and b.what = a.what group by 1, 2",
         "oi": "select what, year, c / ss as i, n from ob join ss using (what, year)",
-        "pk": "select r, what, year, unit, row_number() over (partition by r, what, year order by unit) as k from dz, (select unnest(range(1, 100)) as r)",
-        "dk": "select r, what, year, v, row_number() over (partition by r, what, year order by md5('13|' || r::varchar || '|' || year::varchar || '|' || unit::varchar)) as k from dz, (select unnest(range(1, 100)) as r)",
+        "pk": "select r, what, year, unit, row_number() over (partition by r, what, year order by unit) as k from dz, (select unnest(range(1, 1000)) as r)",
+        "dk": "select r, what, year, v, row_number() over (partition by r, what, year order by md5('13|' || r::varchar || '|' || year::varchar || '|' || unit::varchar)) as k from dz, (select unnest(range(1, 1000)) as r)",
         "pz": "select pk.r, pk.what, pk.year, pk.unit, dk.v from pk join dk on dk.r = pk.r and dk.what = pk.what and dk.year = pk.year and dk.k = pk.k",
         "nul": "select a.r, a.what, a.year, sum(weight * a.v * b.v) as c from ed join pz a on a.unit = ed.unit join pz b on b.unit = ed.neighbour and b.year = a.year and b.what = a.what and b.r = a.r group by 1, 2, 3",
     }

@@ -67,3 +67,13 @@ def t_two_sided_sql(t: str, df: str) -> str:
         f"1 - sin(atan(abs({t}) / sqrt({df}))) * list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) "
         f"* pow(cos(atan(abs({t}) / sqrt({df}))), 2 * k) for k in range(0, ({df})::bigint // 2)])"
     )
+
+
+def t_975_sql(df: str) -> str:
+    """The 0.975 quantile of Student's t, expanded in powers of 1 / df from the normal quantile."""
+    z = "1.959963984540054::double"
+    return (
+        f"({z} + (pow({z}, 3) + {z}) / (4 * {df}) + (5 * pow({z}, 5) + 16 * pow({z}, 3) + 3 * {z}) / (96 * pow({df}, 2)) "
+        f"+ (3 * pow({z}, 7) + 19 * pow({z}, 5) + 17 * pow({z}, 3) - 15 * {z}) / (384 * pow({df}, 3)) "
+        f"+ (79 * pow({z}, 9) + 776 * pow({z}, 7) + 1482 * pow({z}, 5) - 1920 * pow({z}, 3) - 945 * {z}) / (92160 * pow({df}, 4)))"
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import Window
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from comarca.operators import forecast as P
@@ -15,7 +15,6 @@ from comarca.plans.catalog import query
 from comarca.session import settle
 
 # Fixed values of the analogue: period numbers, horizon, declared outliers and the anchor paths.
-LAST_T = 26  # 2001Q2, the last complete quarter; period 1 is 1995Q1
 HORIZON = 3
 FIRST_ORIGIN = 19
 OUTLIERS = [13, 14]
@@ -34,20 +33,36 @@ ANCHOR_CUT = "2001-01-10"
 Z80 = "1.2815515655446004"
 
 
+@cache
+def _last_quarter(application: str, d: str) -> int:
+    spark = SparkSession.active()
+    after = F.date_add(F.max(F.to_date("o_orderdate")), 1)
+    row = table(spark, d, "orders").agg(((F.year(after) - 1995) * 4 + F.quarter(after) - 1).alias("t")).first()
+    return int(row["t"] or 0)
+
+
+def last_quarter(spark, d) -> int:
+    """The last quarter that the orders cover to its end; period 1 is 1995Q1."""
+    return _last_quarter(spark.sparkContext.applicationId, d)
+
+
+_LAST = "(select (year(a) - 1995) * 4 + quarter(a) - 1 from (select max(o_orderdate)::date + 1 as a from orders))"
+
+
 def levels(spark, d):
     t = (F.col("year") - 1995) * 4 + F.col("quarter")
     q = quarterly(spark, d).select("unit", t.cast("int").alias("t"), F.col("amount").alias("level"))
-    return q.filter(F.col("t") <= LAST_T).withColumn("log_level", F.when(F.col("level") > 0, F.ln("level")))
+    return q.filter(F.col("t") <= last_quarter(spark, d)).withColumn("log_level", F.when(F.col("level") > 0, F.ln("level")))
 
 
 def final_states(spark, d):
-    return P.training_states(levels(spark, d)).filter(F.col("origin") == LAST_T + 1)
+    return P.training_states(levels(spark, d)).filter(F.col("origin") == last_quarter(spark, d) + 1)
 
 
 def rolling_forecasts(spark, d):
     """naive, drift, ar1 and their mixture at every origin, one step ahead."""
     s = settle(levels(spark, d), "levels")
-    st = P.training_states(s).filter(F.col("origin").between(FIRST_ORIGIN, LAST_T) & (F.col("n_train") >= P.MIN_TRAIN))
+    st = P.training_states(s).filter(F.col("origin").between(FIRST_ORIGIN, last_quarter(spark, d)) & (F.col("n_train") >= P.MIN_TRAIN))
     simple = P.simple_forecasts(st, 1).drop("n_train")
     both = simple.unionByName(P.combine(simple, ["unit", "origin"]).drop("models"))
     return s, both
@@ -59,7 +74,7 @@ def detail(spark, d):
 
 
 _LV = {
-    "lv": f"select unit, ((year - 1995) * 4 + quarter)::int as t, amount as level, ln(amount) as v from q where (year - 1995) * 4 + quarter <= {LAST_T}",
+    "lv": f"select unit, ((year - 1995) * 4 + quarter)::int as t, amount as level, ln(amount) as v from q where (year - 1995) * 4 + quarter <= {_LAST}",
     "gr": "select *, v - lag(v) over (partition by unit order by t) as g, lag(v) over (partition by unit order by t) - lag(v, 2) over (partition by unit order by t) as g1 from lv",
 }
 
@@ -89,8 +104,8 @@ def _forecasts(h: int) -> dict[str, str]:
     }
 
 
-_FINAL = _states(f"select {LAST_T + 1}") | _forecasts(HORIZON)
-_ROLL = _states(f"select unnest(range({FIRST_ORIGIN}, {LAST_T + 1}))") | {
+_FINAL = _states(f"select {_LAST} + 1") | _forecasts(HORIZON)
+_ROLL = _states(f"select unnest(range({FIRST_ORIGIN}, {_LAST} + 1))") | {
     k: v.replace("from fan", f"from (select * from fan where n_train >= {P.MIN_TRAIN}) fan") for k, v in _forecasts(1).items()
 } | {
     "dt": """select a.unit, a.origin, a.model, l.v as real, a.mean as forecast, a.var_level as variance, (a.mean - l.v) * 100 as error
@@ -184,7 +199,7 @@ def rolling_origin(spark, d):
 def rolling_origin_arma(spark, d):
     """The moving-average specifications at every origin, refitted each time."""
     s = settle(levels(spark, d), "levels")
-    f = P.arma_forecasts(s, 1, OUTLIERS, list(range(FIRST_ORIGIN, LAST_T + 1)))
+    f = P.arma_forecasts(s, 1, OUTLIERS, list(range(FIRST_ORIGIN, last_quarter(spark, d) + 1)))
     out = P.backtest_detail(f, s, 1)
     return out.withColumns({c: F.round(c, 7) for c in ("real", "forecast", "variance", "error")})
 
@@ -286,7 +301,7 @@ def _anchor_values() -> str:
 
 _TARGET = {
     "anchor": f"select * from (values {_anchor_values()}) a(scenario, step, growth_pct)",
-    "nat": f"select sum(level) as last_total from lv where t = {LAST_T}",
+    "nat": f"select sum(level) as last_total from lv where t = {_LAST}",
     "tg": "select scenario, step, growth_pct, last_total * exp(sum(ln(1 + growth_pct / 100)) over (partition by scenario order by step)) as target from anchor, nat",
     "bs": "select unit, h, exp(mean) as base, var_level, var_growth from co",
 }
@@ -298,7 +313,7 @@ def anchor(spark):
 
 
 def targets(spark, d):
-    total = levels(spark, d).filter(F.col("t") == LAST_T).agg(F.sum("level")).scalar()
+    total = levels(spark, d).filter(F.col("t") == last_quarter(spark, d)).agg(F.sum("level")).scalar()
     return P.anchor_levels(anchor(spark), total, HORIZON)
 
 
@@ -370,7 +385,7 @@ def scenario_fanout(spark, d):
     "per_capita_projection",
     with_ctes("q", "population", extra=_RECON)
     + f""", rc as (select unit, h, base + (target - sum(base) over (partition by h)) * base / sum(base) over (partition by h) as v from bs join tg on tg.step = bs.h and scenario = 'central'
-      union all select unit, 0, level from lv where t = {LAST_T}),
+      union all select unit, 0, level from lv where t = {_LAST}),
     pc as (select unit, h, v / (pop * (1 + 0.01 * h)) as per_head from rc join population using (unit))
     select * from (select unit, h, per_head, (per_head / lag(per_head) over (partition by unit order by h) - 1) * 100 as growth_pct from pc) where h > 0""",
     per_head=4,
@@ -380,7 +395,7 @@ def per_capita_projection(spark, d):
     """Reconciled level over projected population; growth is chained from the last observed value."""
     b = settle(base_levels(spark, d).select("unit", "h", "base"), "base")
     rec = P.reconcile_proportional(b, central(spark, d), ["h"]).select("unit", "h", F.col("reconciled").alias("v"))
-    last = levels(spark, d).filter(F.col("t") == LAST_T).select("unit", F.lit(0).alias("h"), F.col("level").alias("v"))
+    last = levels(spark, d).filter(F.col("t") == last_quarter(spark, d)).select("unit", F.lit(0).alias("h"), F.col("level").alias("v"))
     pop = population(spark, d).select("unit", "pop")
     pc = rec.unionByName(last).join(pop, "unit")
     pc = pc.withColumn("per_head", F.col("v") / (F.col("pop") * (1 + 0.01 * F.col("h"))))
@@ -394,7 +409,7 @@ def per_capita_projection(spark, d):
     _sql(
         _RECON,
         f""", rc as (select unit, h, base, base + (target - sum(base) over (partition by h)) * base / sum(base) over (partition by h) as v from bs join tg on tg.step = bs.h and scenario = 'central'
-      union all select unit, 0, level, level from lv where t = {LAST_T}),
+      union all select unit, 0, level, level from lv where t = {_LAST}),
     sh as (select unit, h, (v / lag(v) over w - base / lag(base) over w) * 100 as d from rc window w as (partition by unit order by h))
     select h, min(d) as low, max(d) as high, median(d) as mid, max(d) - min(d) as spread, arg_min(unit, d) as unit_low, arg_max(unit, d) as unit_high from sh where h > 0 group by 1""",
     ),
@@ -407,7 +422,7 @@ def shift_of_reconciliation(spark, d):
     """How far the anchor moves each unit's growth."""
     b = settle(base_levels(spark, d).select("unit", "h", "base"), "base")
     rec = P.reconcile_proportional(b, central(spark, d), ["h"]).select("unit", "h", "base", F.col("reconciled").alias("v"))
-    last = levels(spark, d).filter(F.col("t") == LAST_T).select(
+    last = levels(spark, d).filter(F.col("t") == last_quarter(spark, d)).select(
         "unit", F.lit(0).alias("h"), F.col("level").alias("base"), F.col("level").alias("v")
     )
     w = Window.partitionBy("unit").orderBy("h")

@@ -134,7 +134,7 @@ def kmo(spark, d):
 )
 def bartlett(spark, d):
     f = _fits(spark, d)[1]["depth"]
-    return spark.createDataFrame([("depth", f.bartlett, 3.0)], "dimension string, chi2 double, df double")
+    return spark.createDataFrame([("depth", f.bartlett, len(f.variables) * (len(f.variables) - 1) / 2)], "dimension string, chi2 double, df double")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from comarca.functions.tails import t_two_sided
+from comarca.functions.tails import t_quantile, t_two_sided
 from comarca.operators import designs as D
 from comarca.operators import gram as G
 from comarca.operators import inference as I
@@ -14,7 +14,7 @@ from comarca.operators.windows import by_unit, holm
 from comarca.plans.aggregation import ex_section
 from comarca.plans.base import CONTROLS, panel, series, with_ctes
 from comarca.plans.catalog import query
-from comarca.plans.fe_sql import fe_ctes, t_two_sided_sql, with_more
+from comarca.plans.fe_sql import fe_ctes, t_975_sql, t_two_sided_sql, with_more
 from comarca.plans.index_base import INDEX_SQL, index_scores
 from comarca.plans.setops import CONTROL_SETS, REGRESSORS, SAMPLES
 from comarca.session import settle
@@ -258,7 +258,7 @@ def sigma_convergence(spark, d):
 @query("joint_wald")
 def joint_wald(spark, d):
     """Are the regressor and a control jointly zero? F, its p, and the wild bootstrap p."""
-    rep = I.run_replicas(frame(spark, d), "y", ["x", "c2"], ["c1"], replicas=199)
+    rep = I.run_replicas(frame(spark, d), "y", ["x", "c2"], ["c1"], replicas=999)
     r = I.wald_test(rep)
     return spark.createDataFrame(
         [(r["q"], r["f"], r["df2"], r["p_f"], r["p_bootstrap"], r["n"], r["clusters"])],
@@ -266,7 +266,7 @@ def joint_wald(spark, d):
     )
 
 
-def _boot_sql(weight: str, replicas: int = 199) -> str:
+def _boot_sql(weight: str, replicas: int = 999) -> str:
     return with_more(
         with_ctes("dm"),
         {
@@ -292,12 +292,12 @@ _WEBB = "[-sqrt(1.5), -1.0, -sqrt(0.5), sqrt(0.5), 1.0, sqrt(1.5)][(('0x' || sub
 
 @query("wild_cluster_bootstrap", _boot_sql(_RAD), coef=8, se=8, t=6, p_bootstrap=6)
 def wild_cluster_bootstrap(spark, d):
-    return I.symmetric_p(I.run_replicas(frame(spark, d), "y", ["x"], [], replicas=199))
+    return I.symmetric_p(I.run_replicas(frame(spark, d), "y", ["x"], [], replicas=999))
 
 
 @query("wild_cluster_bootstrap_webb", _boot_sql(_WEBB), coef=8, se=8, t=6, p_bootstrap=6)
 def wild_cluster_bootstrap_webb(spark, d):
-    return I.symmetric_p(I.run_replicas(frame(spark, d), "y", ["x"], [], replicas=199, weights="webb"))
+    return I.symmetric_p(I.run_replicas(frame(spark, d), "y", ["x"], [], replicas=999, weights="webb"))
 
 
 @query("wild_cluster_bootstrap_controls")
@@ -306,36 +306,34 @@ def wild_cluster_bootstrap_controls(spark, d):
     return I.symmetric_p(I.run_replicas(frame(spark, d), "y", ["x"], CONTROLS, replicas=999))
 
 
+def _control_replicas(spark, d):
+    return I.run_replicas(frame(spark, d), "y", ["x"], CONTROLS, replicas=999)
+
+
 @query("bootstrap_ci")
 def bootstrap_ci(spark, d):
     """Intervals by inverting the bootstrap test; the panel is not read again."""
-    one = I.OneCoefficient(I.run_replicas(frame(spark, d), "y", ["x"], CONTROLS, replicas=499))
-    rows = [(level, *one.interval(level)) for level in (0.90, 0.95)]
-    return spark.createDataFrame(rows, "level double, low double, high double")
+    rep = _control_replicas(spark, d)
+    return I.accepted_interval(rep, 0.90).unionByName(I.accepted_interval(rep, 0.95))
 
 
 @query("bootstrap_tost")
 def bootstrap_tost(spark, d):
     """Two one-sided bootstrap tests at three margins (multiples of the standard error)."""
-    one = I.OneCoefficient(I.run_replicas(frame(spark, d), "y", ["x"], CONTROLS, replicas=499))
-    rows = [one.tost(m * one.se + abs(one.coef)) for m in (0.5, 1.5, 3.0)]
-    return spark.createDataFrame(
-        [(r["margin"], r["p"], r["p_lower"], r["p_upper"], bool(r["equivalent"])) for r in rows],
-        "margin double, p double, p_lower double, p_upper double, equivalent boolean",
-    )
+    rep = _control_replicas(spark, d)
+    return I.equivalence(rep, [m * rep.se + abs(float(rep.coef[0])) for m in (0.5, 1.5, 3.0)])
 
 
 @query("margin_min")
 def margin_min(spark, d):
-    one = I.OneCoefficient(I.run_replicas(frame(spark, d), "y", ["x"], CONTROLS, replicas=499))
-    return spark.createDataFrame([(one.coef, one.se, one.smallest_margin())], "coef double, se double, margin double")
+    return I.smallest_margin(_control_replicas(spark, d))
 
 
 def _placebo_sql(moved: str) -> str:
     return with_more(
         with_ctes("panel"),
         {
-            "reps": "select unnest(range(1, 100)) as r",
+            "reps": "select unnest(range(1, 500)) as r",
             "moved": moved,
             "dv": """select r, unit, year, x - avg(x) over (partition by r, unit) - avg(x) over (partition by r, year) + avg(x) over (partition by r) as x,
             y - avg(y) over (partition by r, unit) - avg(y) over (partition by r, year) + avg(y) over (partition by r) as y from moved""",
@@ -366,7 +364,7 @@ _YEARLY = """select a.r, a.unit, a.year, b.x, p.y from
 def _placebo(spark, d, mode):
     p = frame(spark, d)
     seen = G.fe_table(p, "y", ["x"]).first()["beta"][0]
-    return I.placebo_summary(I.placebo(p, "y", "x", [], mode=mode, replicas=99), seen)
+    return I.placebo_summary(I.placebo(p, "y", "x", [], mode=mode, replicas=499), seen)
 
 
 @query("placebo_permute", _placebo_sql(_TRAJ), **_PLACEBO)
@@ -490,14 +488,15 @@ def spec_curve(spark, d):
 
 @query("spec_curve_summary")
 def spec_curve_summary(spark, d):
-    """Share of significant specifications by effect regime, specifications too small left out."""
-    fits = spec_fits(spark, d).filter("n >= 40 and units >= 10")
+    """Share of significant specifications by effect regime; those on few rows are counted as such, not left out."""
+    fits = spec_fits(spark, d)
     p = t_two_sided(F.col("coef") / F.col("se"), (F.col("units") - 1).cast("double"))
     return (
         settle(fits.withColumn("p", p), "curve-p")
         .groupBy("effects")
         .agg(
             F.count("*").alias("specifications"),
+            F.count_if(F.expr("n < 40 or units < 10")).alias("small"),
             F.count_if(F.col("p") < 0.05).alias("significant"),
             F.round(F.avg((F.col("p") < 0.05).cast("int")), 4).alias("share"),
             F.round(F.median("coef"), 6).alias("median_coef"),  # at most one row per specification
@@ -546,8 +545,9 @@ def quadratic_vertex(spark, d):
         INDEX_SQL + ", acc as (select p.unit, p.year, p.y, p.c1, p.c2, s.access as v from panel p join scores s on s.unit = p.unit and s.year = p.year)",
         fe_ctes("acc", "y", ["v", *CONTROLS]),
     )
-    + """select coef, 10 / s_buyers * 100 as factor, coef * 10 / s_buyers * 100 as effect_pp,
-    least(coef - 2.0639 * se, coef + 2.0639 * se) * 10 / s_buyers * 100 as low, greatest(coef - 2.0639 * se, coef + 2.0639 * se) * 10 / s_buyers * 100 as high from ffit, fit_access""",
+    + f""", wide as (select *, {t_975_sql('(units - 1)')} as tq from ffit)
+    select coef, 10 / s_buyers * 100 as factor, coef * 10 / s_buyers * 100 as effect_pp,
+    least(coef - tq * se, coef + tq * se) * 10 / s_buyers * 100 as low, greatest(coef - tq * se, coef + tq * se) * 10 / s_buyers * 100 as high from wide, fit_access""",
     coef=7,
     factor=6,
     effect_pp=5,
@@ -566,7 +566,8 @@ def natural_units(spark, d):
     p = settle(panel(spark, d).select("unit", "year", "y", *CONTROLS).join(access, ["unit", "year"]), "access")
     row = first(G.fe_table(p, "y", ["v", *CONTROLS]), ["v", *CONTROLS])
     factor = F.lit(10 / f.sd["buyers"] * f.loading["buyers"] * 100)
-    ends = [(F.col("coef") + s * 2.0639 * F.col("se")) * factor for s in (-1, 1)]
+    t = t_quantile(F.lit(0.975), (F.col("units") - 1).cast("double"))
+    ends = [(F.col("coef") + s * t * F.col("se")) * factor for s in (-1, 1)]
     return row.select(
         "coef",
         factor.alias("factor"),

@@ -150,15 +150,15 @@ def title_case_es(spark, d):
     "region_lookup",
     f"""with keys as (select * from (values {seed_values_sql()}) as v(variant, region_id)),
     asked as (select s_suppkey, v.variant as wanted from supplier
-              join keys v on v.region_id = s_nationkey)
+              left join keys v on v.region_id = s_nationkey)
     select s_suppkey, wanted, k.region_id from asked left join keys k on k.variant = trim(lower('  ' || upper(wanted)))""",
 )
 def region_lookup(spark, d):
-    """Every supplier asks with each spelling its nation uses, padded and in capitals."""
+    """Every supplier asks with each spelling its nation uses, padded and in capitals; some nations have none."""
     variants = region_variants(spark)
     asked = (
         table(spark, d, "supplier")
-        .join(variants, F.col("region_id") == F.col("s_nationkey"))
+        .join(variants, F.col("region_id") == F.col("s_nationkey"), "left")
         .select("s_suppkey", F.col("variant").alias("wanted"))
     )
     key = F.trim(F.lower(F.concat(F.lit("  "), F.upper("wanted"))))

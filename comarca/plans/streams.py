@@ -47,13 +47,13 @@ def stream_ingest_once(spark, d):
     schema = "event_id long, ts timestamp, event_type string, value double"
 
     def load() -> None:
-        S.ingest_once(S.file_stream(spark, landing, schema), "event_id", "ts", "40 days", target, mark).awaitTermination()
+        S.ingest_once(S.file_stream(spark, landing, schema), "event_id", target, mark).awaitTermination()
 
     ev.filter(F.col("ts") < cut).write.mode("append").parquet(landing)
     load()
     ev.filter(F.col("ts") >= again).write.mode("append").parquet(landing)
     load()
-    loaded = spark.read.schema(schema).parquet(target)
+    loaded = spark.read.schema(schema + ", batch long").parquet(target)
     return loaded.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
@@ -66,8 +66,11 @@ def stream_ingest_once(spark, d):
 def stream_upsert_current(spark, d):
     """Pulls arrive mixed over the files; the table always holds the newest pull of each source."""
     landing, target, mark = (scratch(spark, n) for n in ("landing", "current", "mark"))
-    _pulls(spark, d).select("source_id", "pull_id", "o_orderkey", "o_totalprice").repartition(4).write.parquet(landing)
-    schema = "source_id string, pull_id string, o_orderkey long, o_totalprice double"
-    S.upsert_current(S.file_stream(spark, landing, schema, 1), "source_id", "pull_id", target, mark).awaitTermination()
-    current = S.read_current(spark, target, schema, "source_id", "pull_id")
+    day = F.substring("pull_id", 2, 9).cast("int")  # pull number n was taken on day n
+    pulls = _pulls(spark, d).select("source_id", "pull_id", day.alias("pulled_at"), "o_orderkey", "o_totalprice")
+    pulls.repartition(4).write.parquet(landing)
+    schema = "source_id string, pull_id string, pulled_at int, o_orderkey long, o_totalprice double"
+    keys = ("source_id", "pull_id", "pulled_at")
+    S.upsert_current(S.file_stream(spark, landing, schema, 1), *keys, target, mark).awaitTermination()
+    current = S.read_current(spark, target, schema, *keys)
     return current.groupBy("source_id", "pull_id").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))

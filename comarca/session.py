@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -73,18 +74,37 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "12
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach: the one the cluster names, else a fresh one for tests."""
+    """The folder all executors can reach, which the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session whose executors are threads of the driver gets a folder of its own; anywhere else a
+    machine-local folder would lose rows, so a missing setting is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     created = tempfile.mkdtemp(prefix="/tmp/spark-")
     spark.conf.set("spark.checkpoint.dir", created)
     return created
 
 
+#: Below the shared folder each application writes to one of its own, which goes when the application ends.
+_OWN: dict[tuple[str, str], str] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below the application's part of the shared folder."""
+    context = spark.sparkContext
+    key = (context.applicationId, shared_dir(spark))
+    if key not in _OWN:
+        own = f"{key[1].rstrip('/')}/comarca-{key[0]}-{uuid.uuid4().hex[:8]}"
+        path = context._jvm.org.apache.hadoop.fs.Path(own)
+        store = path.getFileSystem(context._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _OWN[key] = own
+    return f"{_OWN[key]}/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

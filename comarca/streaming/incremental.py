@@ -70,29 +70,42 @@ def latest_state(spark: SparkSession, target: str, schema: str, keys: list[str])
     return newest.select(*keys, "_s.*")
 
 
-def ingest_once(stream: DataFrame, key: str, event_time: str, late: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Load every file once and every key once within the lateness horizon."""
+def ingest_once(stream: DataFrame, key: str, target: str, checkpoint: str) -> StreamingQuery:
+    """Load every file once and every key once, however late it comes.
+
+    The checkpoint remembers the files. Keys are held against those of earlier batches in the target, so
+    nothing depends on event time and no row is too late; a retried batch replaces its own output.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates([key])
+        if batch_id:
+            known = spark.read.schema(f"{key} {batch.schema[key].dataType.simpleString()}, batch long").parquet(target)
+            fresh = fresh.join(known.where(F.col("batch") < batch_id).select(key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
     return (
-        stream.withWatermark(event_time, late)
-        .dropDuplicatesWithinWatermark([key])
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", target)
+        stream.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
+        .foreachBatch(write)
         .start()
     )
 
 
-def upsert_current(stream: DataFrame, source: str, pull: str, target: str, checkpoint: str) -> StreamingQuery:
+def upsert_current(
+    stream: DataFrame, source: str, pull: str, pulled_at: str, target: str, checkpoint: str
+) -> StreamingQuery:
     """Keep, for every source, the rows of its newest pull seen so far.
 
     A micro-batch drops the pulls it already knows to be superseded within itself; a pull may span
-    micro-batches, so older batches are resolved when the table is read.
+    micro-batches, so older batches are resolved when the table is read. Pulls are ordered by the time
+    they were taken, not by their names.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy(source).agg(F.max(pull).alias(pull))
+        newest = _newest(batch, source, pull, pulled_at)
         _per_batch(target)(batch.join(newest, [source, pull], "left_semi"), batch_id)
 
     return (
@@ -104,7 +117,11 @@ def upsert_current(stream: DataFrame, source: str, pull: str, target: str, check
     )
 
 
-def read_current(spark: SparkSession, target: str, schema: str, source: str, pull: str) -> DataFrame:
+def _newest(rows: DataFrame, source: str, pull: str, pulled_at: str) -> DataFrame:
+    return rows.groupBy(source).agg(F.max_by(pull, F.struct(pulled_at, pull)).alias(pull))
+
+
+def read_current(spark: SparkSession, target: str, schema: str, source: str, pull: str, pulled_at: str) -> DataFrame:
     rows = spark.read.schema(schema + ", batch long").parquet(target).drop("batch")
-    newest = rows.groupBy(source).agg(F.max(pull).alias(pull))
+    newest = _newest(rows, source, pull, pulled_at)
     return rows.join(newest, [source, pull], "left_semi")

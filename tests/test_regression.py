@@ -163,14 +163,22 @@ def test_wild_bootstrap_with_controls(sdf, pdf):
     _, se, *_ = brute(pdf, ["x", "c"])
     assert rep.coef[0] == pytest.approx(b, abs=1e-9)
     assert rep.se == pytest.approx(se[0], rel=1e-8)
-    one = I.OneCoefficient(rep)
-    assert one.p_symmetric(0.0) == pytest.approx(p_at(0.0))
-    assert one.p_symmetric(0.45) == pytest.approx(p_at(0.45))
+    at = lambda v, side="both": rep.table.agg(I.p_at(rep, v, side)).first()[0]
+    assert at(0.0) == pytest.approx(p_at(0.0))
+    assert at(0.45) == pytest.approx(p_at(0.45))
     assert I.symmetric_p(rep).first()["p_bootstrap"] == pytest.approx(p_at(0.0))
-    low, high = one.interval(0.9)
+    # the edges are where p crosses the level, and nothing further out is kept
+    low, high = I.accepted_interval(rep, 0.9).select("low", "high").first()
     assert low < b < high
-    wide = one.tost(abs(b) + 10 * one.se)
-    assert wide["p"] <= one.tost(abs(b))["p"]
+    step = 1e-7 * (high - low)
+    assert at(low + step) > 0.1 >= at(low - step) and at(high - step) > 0.1 >= at(high + step)
+    for out in (0.01, 0.1, 1.0, 5.0):
+        assert max(at(low - out * rep.se), at(high + out * rep.se)) <= 0.1
+    tests = I.equivalence(rep, [abs(b), abs(b) + 10 * rep.se]).collect()
+    assert tests[1]["p"] <= tests[0]["p"] and tests[0]["p_lower"] == pytest.approx(at(-abs(b), "above"))
+    margin = I.smallest_margin(rep, 0.1).first()["margin"]
+    both = lambda m: max(at(-m, "above"), at(m, "below"))
+    assert both(margin * (1 + 1e-7)) < 0.1 <= both(margin * (1 - 1e-7))
 
 
 def test_wald_with_one_regressor_is_t_squared(sdf, pdf):
@@ -255,7 +263,7 @@ def test_random_effects(sdf, pdf):
 
 def test_hash_rank_is_the_global_order(spark):
     df = spark.range(500).select(F.col("id").alias("unit"), (F.col("id") % 3).alias("g"))
-    got = I.hash_rank(df, ["g"], F.md5(F.col("unit").cast("string")), "k").toPandas()
+    got = I.hash_rank(df, ["g"], F.md5(F.col("unit").cast("string")), 10_000_000, "k").toPandas()
     for _, part in got.groupby("g"):
         order = part.assign(h=[hashlib.md5(str(u).encode()).hexdigest() for u in part.unit]).sort_values("h")
         assert list(order.k) == list(range(len(part)))
