@@ -64,10 +64,16 @@ def _outer(column: str, size: int) -> str:
     return "array(" + ", ".join(f"sum({column}[{i}] * {column}[{j}])" for i, j in pairs(size)) + ")"
 
 
-def unit_demean(df: DataFrame, cols: list[str], unit: str, group: list[str]) -> DataFrame:
+def _unit_mean(column: str, over: str, weight: str | None) -> str:
+    if weight is None:
+        return f"avg({column}) {over}"
+    return f"sum({weight} * {column}) {over} / sum({weight}) {over}"
+
+
+def unit_demean(df: DataFrame, cols: list[str], unit: str, group: list[str], weight: str | None = None) -> DataFrame:
     rest = [c for c in df.columns if c not in cols]
     over = f"over (partition by {_keys(group, unit)})"
-    return df.selectExpr(*rest, *[f"{c} - avg({c}) {over} as {c}" for c in cols])
+    return df.selectExpr(*rest, *[f"{c} - {_unit_mean(c, over, weight)} as {c}" for c in cols])
 
 
 def period_equations(df: DataFrame, cols: list[str], unit: str, time: str, group: list[str], weight: str | None):
@@ -75,7 +81,8 @@ def period_equations(df: DataFrame, cols: list[str], unit: str, time: str, group
 
     A cell (a, b, v, null) is an entry of the periods x periods matrix, a cell (a, null, null, s) holds
     the cross products of period a with the unit-demeaned ``cols``. Units with the same observed periods
-    share one pattern, so a balanced panel contributes a single one however many units it has.
+    share one pattern, so a balanced panel contributes a single one however many units it has. Weights may
+    vary from row to row; then each unit brings its own pattern, of as many cells as it has pairs of periods.
     """
     w = weight or "1.0D"
     sums = (
@@ -83,15 +90,20 @@ def period_equations(df: DataFrame, cols: list[str], unit: str, time: str, group
         .agg(F.expr("array(" + ", ".join(f"sum({w} * {c})" for c in cols) + ") as s"))
         .selectExpr(*group, f"{time} as a", f"cast(null as {dict(df.dtypes)[time]}) as b", "cast(null as double) as v", "s")
     )
+    # (period, weight) lists of the units: equal lists count once, `_k` times
+    own = (
+        df.groupBy(*group, unit, time)
+        .agg(F.expr(f"sum(cast({w} as double)) as _w"))
+        .groupBy(*group, unit)
+        .agg(F.expr(f"sort_array(collect_list(struct({time} as t, _w as w))) as _times"), F.expr("sum(_w) as _all"))
+        .groupBy(*group, "_times", "_all")
+        .agg(F.expr("cast(count(*) as double) as _k"))
+    )
     normal = (
-        df.groupBy(*group, unit)
-        .agg(F.expr(f"sort_array(collect_set({time})) as _times"), F.expr(f"first(cast({w} as double)) as _w"))
-        .groupBy(*group, "_times")
-        .agg(F.expr("sum(_w) as _w"))
-        .selectExpr(*group, "_times", "_w", "explode(_times) as a")
-        .selectExpr(*group, "a", "_w", "size(_times) as _n", "explode(_times) as b")
-        .groupBy(*group, "a", "b")
-        .agg(F.expr("sum(if(a = b, _w, 0.0D) - _w / _n) as v"))
+        own.selectExpr(*group, "_times", "_all", "_k", "explode(_times) as _a")
+        .selectExpr(*group, "_a", "_all", "_k", "explode(_times) as _b")
+        .groupBy(*group, F.expr("_a.t as a"), F.expr("_b.t as b"))
+        .agg(F.expr("sum(_k * (if(_a.t = _b.t, _a.w, 0.0D) - _a.w * _b.w / _all)) as v"))
         .selectExpr(*group, "a", "b", "v", "cast(null as array<double>) as s")
     )
     return sums.unionByName(normal).groupBy(*group).agg(F.expr("collect_list(struct(a, b, v, s)) as _cells"))
@@ -139,7 +151,7 @@ def two_way(
     g = list(group or [])
     if not g:
         df, g = df.withColumn("_g", F.lit(0)), ["_g"]
-    dev = unit_demean(df, cols, unit, g)
+    dev = unit_demean(df, cols, unit, g, weight)
     rest = [c for c in dev.columns if c not in cols and not (c == "_g" and not group)]
     within = [f"{c} as _u_{c}" for c in cols] if keep_within else []
     if keep_within and time_effects:
@@ -152,7 +164,7 @@ def two_way(
         *g, f"cast(t as {dict(dev.dtypes)[time]}) as {time}", "e as _e", "_periods"
     )
     over = f"over (partition by {_keys(g, unit)})"
-    out = [f"{c} - _e[{i}] + avg(_e[{i}]) {over} as {c}" for i, c in enumerate(cols)]
+    out = [f"{c} - _e[{i}] + {_unit_mean(f'_e[{i}]', over, weight)} as {c}" for i, c in enumerate(cols)]
     return dev.join(effects, [*g, time]).selectExpr(*rest, *out, *within)
 
 

@@ -53,9 +53,27 @@ def demean_two_way(spark, d):
     return G.two_way(frame(spark, d).select("unit", "year", "y", *X3), ["y", *X3])
 
 
-@query("fe_fit", with_more(with_ctes("panel"), fe_ctes("panel", "y", X3)) + _SELECT, t=6, **FIT)
+@query(
+    "fe_fit",
+    with_more(with_ctes("panel"), fe_ctes("panel", "y", X3))
+    + f"""select coef, se, coef / se as t, {t_two_sided_sql('(coef / se)', '(units - 1)')} as p, coef - {t_975_sql('(units - 1)')} * se as low,
+    coef + {t_975_sql('(units - 1)')} * se as high, n, units, periods from ffit""",
+    t=6,
+    p=7,
+    low=6,
+    high=6,
+    **FIT,
+)
 def fe_fit(spark, d):
-    return first(G.fe_table(frame(spark, d), "y", X3), X3)
+    """The coefficient of interest with its p and 95 % interval from t(units - 1)."""
+    out = first(G.fe_table(frame(spark, d), "y", X3), X3)
+    df = (F.col("units") - 1).cast("double")
+    reach = t_quantile(F.lit(0.975), df) * F.col("se")
+    p = t_two_sided(F.col("t"), df)
+    return out.select(
+        "coef", "se", "t", p.alias("p"), (F.col("coef") - reach).alias("low"), (F.col("coef") + reach).alias("high"),
+        "n", "units", "periods",
+    )
 
 
 _TERMS = {t: [t, *[c for c in X3 if c != t]] for t in X3}

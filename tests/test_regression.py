@@ -78,6 +78,18 @@ def test_weighted_fe(sdf, pdf):
     assert r["se"] == pytest.approx(se[0], rel=1e-8)
 
 
+@pytest.mark.parametrize("ragged", [False, True])
+def test_weights_that_vary_by_row(spark, pdf, ragged):
+    draw = np.random.default_rng(5)
+    some = pdf.assign(w=draw.uniform(0.2, 5.0, len(pdf)))
+    if ragged:
+        some = some[draw.random(len(some)) > 0.25].reset_index(drop=True)
+    b, se, *_ = brute(some, ["x", "c"], w=some.w.to_numpy())
+    r = G.fe_fit(spark.createDataFrame(some), "y", ["x", "c"], weight="w").filter("term = 'x'").first()
+    assert r["coef"] == pytest.approx(b[0], abs=1e-9)
+    assert r["se"] == pytest.approx(se[0], rel=1e-8)
+
+
 def test_two_way_is_the_projection(sdf, pdf):
     d = dummies(pdf)
     want = pdf.x - d @ np.linalg.lstsq(d, pdf.x.to_numpy(), rcond=None)[0]
