@@ -30,14 +30,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that is not taken, whatever the input is called."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs whose key is not among ids; rows with a null key stay.
 
     The ids are sent to the tasks up to SENT_IDS of them, and joined by shuffle beyond.
     """
-    gone = settle(ids.select(F.col(key).alias("_gone")).where("_gone is not null").distinct(), "gone")
+    name = unused(docs.columns, "gone")
+    gone = settle(ids.select(F.col(key).alias(name)).where(F.col(name).isNotNull()).distinct(), "gone")
     sent = F.broadcast(gone) if gone.count() <= SENT_IDS else gone
-    return docs.join(sent, F.col(key) == F.col("_gone"), "left_anti")
+    return docs.join(sent, F.col(key) == F.col(name), "left_anti")
 
 
 def numbered(df: DataFrame, by: str, order: list[str], rank: str, rows_per_bucket: int = 20_000) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comarca.llm.common import arrow_batches, documents
+from comarca.llm.common import arrow_batches, documents, unused
 from comarca.session import settle
 
 MIN_CHARS = 40
@@ -329,13 +329,14 @@ def clean(docs: DataFrame, index: LineIndex) -> DataFrame:
             out.append(("\n".join(stay), len(lines), len(lines) - len(stay)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    drops = droppable(index).select(F.col("doc_id").alias("_drop_id"), F.col("keys").alias("_drop_keys"))
-    rows = docs.select(*columns).join(drops, F.col("doc_id") == F.col("_drop_id"), "left").drop("_drop_id")
-    done = rows.withColumn("_done", strip("text", "_drop_keys"))
-    return done.select(
-        *[F.col("_done.text").alias("text") if c == "text" else F.col(c) for c in columns],
-        "_done.n_lines",
-        "_done.n_dropped",
+    owner, drop, done = (unused(columns, n) for n in ("drop_id", "drop_keys", "done"))
+    drops = droppable(index).select(F.col("doc_id").alias(owner), F.col("keys").alias(drop))
+    rows = docs.select(*columns).join(drops, F.col("doc_id") == F.col(owner), "left").drop(owner)
+    cleaned = rows.withColumn(done, strip("text", drop))
+    return cleaned.select(
+        *[F.col(f"{done}.text").alias("text") if c == "text" else F.col(c) for c in columns],
+        f"{done}.n_lines",
+        f"{done}.n_dropped",
     )
 
 

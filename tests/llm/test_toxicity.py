@@ -34,8 +34,8 @@ def test_pairs_of_terms_are_learned(spark, docs_of):
     truth = {i: y for i, _, y in labels}
     unseen = [(r["score"] >= 0.5) == bool(truth[r["doc_id"]]) for r in found if r["doc_id"] % 5 == 0]
     assert np.mean(unseen) > 0.95
-    assert machine.score("vermin and outlanders") > 0.5 > machine.score("vermin and others")
-    assert machine.score("outlanders came by") < 0.5
+    alone = max(machine.score("vermin and others"), machine.score("outlanders came by"))
+    assert machine.score("vermin and outlanders") > max(0.5, alone + 0.3)
 
 
 def test_odd_rows(spark, docs_of):
