@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from comarca.operators import composite as X
 from comarca.plans.base import series, with_ctes
+from comarca.session import settle
 
 # Fixed values of the analogue contract: three dimensions, equal weights, calibration 1996-1997.
 CONTRACT = X.Contract(
@@ -51,6 +52,18 @@ def index_scores(spark, d):
     return X.apply_index(norm, X.fit(norm, CONTRACT), CONTRACT)
 
 
+def index_variants(spark, d):
+    """unit, year, the three dimensions, the index by first components and the distance to the ideal."""
+    norm = settle(index_norm(spark, d), "norm")
+    fits = X.fit(norm, CONTRACT)
+    dims = X.apply_index(norm, fits, CONTRACT).select("unit", "year", *CONTRACT.dimensions)
+    pca = X.apply_index(norm, X.pca_variant(norm, fits, CONTRACT), CONTRACT).select(
+        "unit", "year", F.col("composite").alias("pca")
+    )
+    ideal = X.distance_to_ideal(norm, fits, X.ideal_ceiling(norm, fits, CONTRACT), CONTRACT)
+    return dims.join(pca, ["unit", "year"]).join(ideal, ["unit", "year"])
+
+
 NORM_SQL = with_ctes(
     "panel",
     extra={
@@ -71,6 +84,24 @@ NORM_SQL = with_ctes(
         from norm, fit_access, fit_usage, fit_depth""",
     },
 )
+_CLIP = ", ".join(f"max(greatest({v}, 0)) as t_{v}" for v in VARS)
+_DIST = " + ".join(f"pow(1 - least(greatest({v}, 0) / t_{v}, 1), 2)" for v in VARS)
+_PRESENT = " and ".join(f"{v} is not null" for v in VARS)
+DISTANCE_CTE = f"""top as (select {_CLIP} from z where year between 1996 and 1997),
+dist as (select unit, year, case when {_PRESENT} then 1 - sqrt({_DIST}) / sqrt({len(VARS)}) end as distance from z, top)"""
+
+#: The index by first components: two variables in closed form, three by power iteration.
+PCA_CTE = """cu as (select corr(orders, closed) as r from cal where orders is not null and closed is not null),
+cd as (select corr(amount, urgent) as ab, corr(amount, pending) as ac, corr(urgent, pending) as bc from cal
+  where amount is not null and urgent is not null and pending is not null),
+pw as (select 0 as k, 1.0::double as a, 0.9::double as b, 0.8::double as c
+  union all select k + 1, na / sqrt(na * na + nb * nb + nc * nc), nb / sqrt(na * na + nb * nb + nc * nc), nc / sqrt(na * na + nb * nb + nc * nc)
+  from (select k, a + ab * b + ac * c as na, ab * a + b + bc * c as nb, ac * a + bc * b + c as nc from pw, cd where k < 600)),
+lead as (select a, b, c, sqrt(1 + 2 * (ab * a * b + ac * a * c + bc * b * c)) as root,
+  sign(case when abs(a) >= abs(b) and abs(a) >= abs(c) then a when abs(b) >= abs(c) then b else c end) as s from pw, cd where k = 600),
+pcs as (select unit, year, buyers / 3 + (orders + case when r < 0 then -1 else 1 end * closed) / sqrt(2.0) / sqrt(1 + abs(r)) / 3
+  + s * (a * amount + b * urgent + c * pending) / root / 3 as pca from z, cu, lead)"""
+
 INDEX_SQL = NORM_SQL.rstrip() + """,
 scores as (select unit, year, access, usage, depth, access / 3 + usage / 3 + depth / 3 as composite from (
   select unit, year, buyers as access, orders / 2 + closed / 2 as usage, amount / 3 + urgent / 3 + pending / 3 as depth from z))

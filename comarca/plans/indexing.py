@@ -16,6 +16,7 @@ from comarca.operators.windows import cumulative_index
 from comarca.plans.base import INHABITANTS, quarterly, series, table, with_ctes
 from comarca.plans.catalog import query
 from comarca.plans.index_base import (
+    DISTANCE_CTE,
     CONTRACT,
     INDEX_SQL,
     NORM_SQL,
@@ -190,13 +191,6 @@ def implied_weights(spark, d):
     return X.implied_weights(spark, _fits(spark, d)[1], CONTRACT)
 
 
-_CLIP = ", ".join(f"max(greatest({v}, 0)) as t_{v}" for v in VARS)
-_DIST = " + ".join(f"pow(1 - least(greatest({v}, 0) / t_{v}, 1), 2)" for v in VARS)
-_PRESENT = " and ".join(f"{v} is not null" for v in VARS)
-DISTANCE_CTE = f"""top as (select {_CLIP} from z where year between 1996 and 1997),
-dist as (select unit, year, case when {_PRESENT} then 1 - sqrt({_DIST}) / sqrt({len(VARS)}) end as distance from z, top)"""
-
-
 @query("distance_to_ideal", NORM_SQL.rstrip() + f",\n{DISTANCE_CTE} select * from dist", distance=8)
 def distance_to_ideal(spark, d):
     norm, fits = _fits(spark, d)

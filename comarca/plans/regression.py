@@ -15,7 +15,7 @@ from comarca.plans.aggregation import ex_section
 from comarca.plans.base import CONTROLS, panel, series, with_ctes
 from comarca.plans.catalog import query
 from comarca.plans.fe_sql import fe_ctes, t_975_sql, t_two_sided_sql, with_more
-from comarca.plans.index_base import INDEX_SQL, index_scores
+from comarca.plans.index_base import DISTANCE_CTE, INDEX_SQL, PCA_CTE, index_scores, index_variants
 from comarca.plans.setops import CONTROL_SETS, REGRESSORS, SAMPLES
 from comarca.session import settle
 
@@ -440,10 +440,13 @@ def window_subsamples(spark, d):
 
 _SPEC_LONG = (
     _CUTS.replace("from panel p,", "from lagged p,")
-    + """, long as (select regressor, sample, unit, year, y, c1, c2, v from cuts, lateral (values ('x', x), ('x_lag1', x_lag1), ('d_x', d_x)) q(regressor, v)),
+    + f""", long as (select regressor, sample, unit, year, y, c1, c2, v from cuts, lateral (values {', '.join(f"('{r}', {r})" for r in REGRESSORS)}) q(regressor, v)),
     spec as (select regressor || '|' || sample as g, * from long where v is not null)"""
 )
-_LAGGED = ", lagged as (select *, lag(x) over (partition by unit order by year) as x_lag1, x - lag(x) over (partition by unit order by year) as d_x from panel)"
+_LAGGED = """, lagged as (select p.*, lag(x) over (partition by p.unit order by p.year) as x_lag1, x - lag(x) over (partition by p.unit order by p.year) as d_x,
+    access, usage, depth, pca, distance from panel p left join scores s on s.unit = p.unit and s.year = p.year
+    left join pcs c on c.unit = p.unit and c.year = p.year left join dist t on t.unit = p.unit and t.year = p.year)"""
+_INDEXED = INDEX_SQL.rstrip().replace("with ", "with recursive ", 1) + f", {DISTANCE_CTE}, {PCA_CTE}"
 _ARMS = [("both", CONTROLS), ("c2", ["c2"])]
 
 
@@ -457,7 +460,7 @@ def _spec_sql() -> str:
                 f"select string_split(g, '|')[1] as regressor, '{name}' as controls, string_split(g, '|')[2] as sample, '{effects}' as effects, "
                 f"coef, se, n, units, sd_identifying, coef * sd_identifying * 100 as coef_pp from {tag}fit"
             )
-    return with_more(with_ctes("panel") + _LAGGED + ", " + _SPEC_LONG, ctes) + " union all ".join(parts)
+    return with_more(_INDEXED + _LAGGED + ", " + _SPEC_LONG, ctes) + " union all ".join(parts)
 
 
 def spec_fits(spark, d):
@@ -465,6 +468,7 @@ def spec_fits(spark, d):
     curve takes four estimations (two control sets, two effect regimes)."""
     w = by_unit()
     p = panel(spark, d).withColumns({"x_lag1": F.lag("x").over(w), "d_x": F.col("x") - F.lag("x").over(w)})
+    p = p.join(index_variants(spark, d), ["unit", "year"], "left")
     long = (
         p.withColumn("sample", F.explode(sample_tags()))
         .unpivot(["sample", "unit", "year", "y", *CONTROLS], REGRESSORS, "regressor", "v")

@@ -177,7 +177,7 @@ def date_spine(spark, d):
 
 
 # The axes of the specification grid.
-REGRESSORS = ["x", "x_lag1", "d_x"]
+REGRESSORS = ["x", "x_lag1", "d_x", "access", "usage", "depth", "pca", "distance"]
 CONTROL_SETS = ["both", "c2"]
 SAMPLES = ["all", "no_1998", "no_1998_1999", "no_last", "no_first_unit"]
 EFFECTS = ["two_way", "unit_only"]
