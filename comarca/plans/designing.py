@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from comarca.functions.tails import normal_two_sided, t_two_sided
@@ -12,12 +13,13 @@ from comarca.operators import designs as D
 from comarca.operators import gram as G
 from comarca.operators import inference as I
 from comarca.operators import star as S
+from comarca.operators.windows import holm
 from comarca.plans.base import BASE_YEAR, CONTROLS, FIRST_YEAR, LAST_YEAR, panel, quarterly, ring, with_ctes
 from comarca.plans.catalog import query
-from comarca.plans.fe_sql import fe_ctes, with_more
-from comarca.plans.index_base import CONTRACT, index_input
+from comarca.plans.fe_sql import fe_ctes, t_two_sided_sql, with_more
+from comarca.plans.index_base import CONTRACT, INDEX_SQL, index_input
 from comarca.plans.joining import _SHAPES, supplier_shapes
-from comarca.plans.regression import FIT, X3, first, frame
+from comarca.plans.regression import DIMENSIONS_SQL, FIT, X3, dimension_fits, first, frame
 from comarca.session import settle
 
 _ROW = "select coef, se, coef / se as t, n, units, periods from ffit"
@@ -103,6 +105,74 @@ def event_study(spark, d):
     return rows.unionByName(ref)
 
 
+_QUADRATIC = ["x2", *CONTROLS, "x"]
+_FAMILY = with_more(
+    INDEX_SQL.rstrip() + DIMENSIONS_SQL + _EXPO + _EVENT + ", quad as (select *, x * x as x2 from panel)",
+    fe_ctes("panel", "y", X3, tag="b_")
+    | fe_ctes("dims", "y", ["v", *CONTROLS], tag="d_", group="dimension")
+    | fe_ctes("sh", "y", ["ss", *CONTROLS], tag="e_")
+    | fe_ctes("quad", "y", _QUADRATIC, tag="q_")
+    | {
+        "named": """select 'base' as contrast, coef, se, units from b_fit union all select 'dimension ' || dimension, coef, se, units from d_fit
+        union all select 'initial exposure', coef, se, units from e_fit union all select 'quadratic term', coef, se, units from q_fit
+        union all select 'event ' || year, b, sqrt(meat) / szz * sqrt(g::double / (g - 1) * (n - 1) / (n - (t - 1) - t)), g from vk, sz where year >= 1998""",
+        "tested": f"select *, {t_two_sided_sql('(coef / se)', '(units - 1)')} as p from named",
+        "stepped": "select *, least(1, (count(*) over () - row_number() over (order by p, contrast) + 1) * p) as step from tested",
+        "adjusted": "select *, max(step) over (order by p, contrast rows unbounded preceding) as p_holm from stepped",
+    },
+)
+
+
+@query(
+    "contrast_family",
+    _FAMILY
+    + """select 'main' as family, contrast, coef, se, p, p_holm, p_holm < 0.05 as rejected, count(*) over () as contrasts,
+    count(*) filter (where p_holm < 0.05) over () as rejections, count(*) filter (where p < 0.05) over () as rejections_unadjusted from adjusted""",
+    coef=7,
+    se=7,
+    p=7,
+    p_holm=7,
+)
+def contrast_family(spark, d):
+    """The contrasts a reader takes in, p on t(units - 1), Holm adjustment over the family.
+
+    The base equation, the three dimensions, the initial exposure, every year from the event on and the
+    quadratic term: as many contrasts as the panel has years after the event.
+    """
+    p = frame(spark, d)
+    keep = lambda rows, name: rows.select(name.alias("contrast"), "coef", "se", "units")
+    squared = settle(p.withColumn("x2", F.col("x") * F.col("x")), "quadratic")
+    exposed = settle(exposures(p), "exposure")
+    events, names = event_frame(spark, d, 1997)
+    year = F.regexp_extract("term", r"(\d+)$", 1)
+    parts = [
+        keep(first(G.fe_table(p, "y", X3), X3), F.lit("base")),
+        keep(first(dimension_fits(spark, d), ["v", *CONTROLS], ["dimension"]), F.concat(F.lit("dimension "), "dimension")),
+        keep(first(G.fe_table(exposed, "y", ["ss", *CONTROLS]), ["ss", *CONTROLS]), F.lit("initial exposure")),
+        keep(first(G.fe_table(squared, "y", _QUADRATIC), _QUADRATIC), F.lit("quadratic term")),
+        keep(
+            G.terms(G.fe_table(events, "y", names), names).where(year.cast("int") >= 1998),
+            F.concat(F.lit("event "), year),
+        ),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    rows = settle(rows, "contrasts")
+    pt = t_two_sided(F.col("coef") / F.col("se"), (F.col("units") - 1).cast("double"))
+    out = holm(rows.withColumns({"family": F.lit("main"), "p": pt}), "p", ["family"], ["contrast"])
+    total = out.select(
+        F.count("*").over(Window.partitionBy("family")).alias("contrasts"),
+        F.count_if(F.col("p_holm") < 0.05).over(Window.partitionBy("family")).alias("rejections"),
+        F.count_if(F.col("p") < 0.05).over(Window.partitionBy("family")).alias("rejections_unadjusted"),
+        "*",
+    )
+    return total.select(
+        "family", "contrast", "coef", "se", "p", "p_holm", (F.col("p_holm") < 0.05).alias("rejected"), "contrasts",
+        "rejections", "rejections_unadjusted",
+    )
+
+
 def event_frame(spark, d, reference):
     p = frame(spark, d)
     base = p.filter(F.col("year") == BASE_YEAR).select("unit", F.col("x").alias("e0"))

@@ -10,7 +10,7 @@ from comarca.operators import designs as D
 from comarca.operators import gram as G
 from comarca.operators import inference as I
 from comarca.operators.ranking import exact_quantiles
-from comarca.operators.windows import by_unit, holm
+from comarca.operators.windows import by_unit
 from comarca.plans.aggregation import ex_section
 from comarca.plans.base import CONTROLS, panel, series, with_ctes
 from comarca.plans.catalog import query
@@ -141,11 +141,14 @@ def fe_by_group(spark, d):
     return first(G.fe_table(frame(spark, d), "y", xs, group=["region"]), xs, ["region"])
 
 
+DIMENSIONS_SQL = """, dims as (select dimension, p.unit, p.year, p.y, p.c1, p.c2, v from panel p join scores s on s.unit = p.unit and s.year = p.year,
+        lateral (values ('access', s.access), ('usage', s.usage), ('depth', s.depth)) t(dimension, v))"""
+
+
 @query(
     "fe_by_dimension",
     with_more(
-        INDEX_SQL + """, dims as (select dimension, p.unit, p.year, p.y, p.c1, p.c2, v from panel p join scores s on s.unit = p.unit and s.year = p.year,
-        lateral (values ('access', s.access), ('usage', s.usage), ('depth', s.depth)) t(dimension, v))""",
+        INDEX_SQL + DIMENSIONS_SQL,
         fe_ctes("dims", "y", ["v", *CONTROLS], group="dimension"),
     )
     + "select dimension, coef, se, coef / se as t, n, units, periods from ffit",
@@ -153,10 +156,10 @@ def fe_by_group(spark, d):
     **FIT,
 )
 def fe_by_dimension(spark, d):
-    return first(_dimension_fits(spark, d), ["v", *CONTROLS], ["dimension"])
+    return first(dimension_fits(spark, d), ["v", *CONTROLS], ["dimension"])
 
 
-def _dimension_fits(spark, d):
+def dimension_fits(spark, d):
     scores = index_scores(spark, d).select("unit", "year", "access", "usage", "depth")
     long = (
         panel(spark, d)
@@ -599,22 +602,6 @@ def natural_units(spark, d):
     )
 
 
-@query("contrast_family")
-def contrast_family(spark, d):
-    """Named contrasts, p on t(units - 1), Holm adjustment inside the family."""
-    p = frame(spark, d)
-    base = first(G.fe_table(p, "y", X3), X3).withColumn("contrast", F.lit("base"))
-    entity = first(G.fe_table(p, "y", X3, time_effects=False), X3).withColumn("contrast", F.lit("unit effects only"))
-    dims = first(_dimension_fits(spark, d), ["v", *CONTROLS], ["dimension"])
-    dims = dims.withColumn("contrast", F.concat(F.lit("dimension "), "dimension")).drop("dimension")
-    rows = settle(base.unionByName(entity).unionByName(dims), "contrasts")
-    tested = rows.withColumns(
-        {"family": F.lit("main"), "p": t_two_sided(F.col("t"), (F.col("units") - 1).cast("double"))}
-    )
-    out = holm(tested, "p", ["family"], ["contrast"])
-    return out.select("family", "contrast", "coef", "se", "p", "p_holm", (F.col("p_holm") < 0.05).alias("rejected"))
-
-
 _EX = """, lvl as (select unit, year, sum(amount) as level from moves where priority not in ('1-URGENT', '5-LOW') group by 1, 2),
     epc as (select unit, year, case when level > 0 then ln(level / pop) end as lp from lvl join population using (unit)),
     exg as (select unit, year, lp - lag(lp) over (partition by unit order by year) as g from epc),
