@@ -76,14 +76,21 @@ def fit_standardizer(spark, d):
 
 @query(
     "fit_equal_weights",
-    with_ctes("units")
-    + """select dimension, variable, loading::double as loading from (values ('usage', 'orders', 0.5), ('usage', 'closed', 0.5),
-    ('depth', 'amount', 1.0 / 3), ('depth', 'urgent', 1.0 / 3), ('depth', 'pending', 1.0 / 3)) v(dimension, variable, loading)""",
+    NORM_SQL
+    + " union all ".join(
+        f"select '{dim}' as dimension, '{v}' as variable, 1.0::double / {len(_DIM[dim])} as loading, m_{v} as mean, s_{v} as sd, "
+        f"(select count(*) from cal where {' and '.join(f'{o} is not null' for o in _DIM[dim])}) as n from fit_{dim}"
+        for dim in ("usage", "depth")
+        for v in _DIM[dim]
+    ),
     loading=9,
+    mean=6,
+    sd=6,
 )
 def fit_equal_weights(spark, d):
+    """Equal loadings with the means, deviations and rows that the calibration froze for them."""
     frame = X.fits_frame(spark, _fits(spark, d)[1])
-    return frame.filter("method = 'equal'").select("dimension", "variable", "loading")
+    return frame.filter("method = 'equal'").select("dimension", "variable", "loading", "mean", "sd", "n")
 
 
 @query(

@@ -249,14 +249,16 @@ def _year_sheet(spark, d):
     label = F.when(F.col("year") == 2000, "2000p").when(F.col("year") == 2001, "2001pr").otherwise(
         F.col("year").cast("string")
     )
-    heads = [str(y) for y in range(1995, 2000)] + ["2000p", "2001pr"]
+    first, last = moves(spark, d).agg(F.min("year"), F.max("year")).first()
+    marks = {2000: "2000p", 2001: "2001pr"}
+    heads = [marks.get(y, str(y)) for y in range(first, last + 1)] if first else ["none"]
     return moves(spark, d).withColumn("label", label).groupBy("unit").pivot("label", heads).agg(F.sum("amount"))
 
 
 @query(
     "melt_year_columns",
     with_ctes("moves")
-    + f""", grid as (select distinct m.unit, y.yr from (select distinct unit from moves) m, range(1995, 2002) y(yr))
+    + f""", grid as (select distinct m.unit, y.yr from (select distinct unit from moves) m, (select unnest(range(min(year), max(year) + 1)) as yr from moves) y)
     select g.unit, g.yr::int as year, {_STATUS.replace('year', 'g.yr')} as status, 'amount' as measure, sum(m.amount) as value
     from grid g left join moves m on m.unit = g.unit and m.year = g.yr group by 1, 2, 3""",
     value=2,

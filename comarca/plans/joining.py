@@ -80,7 +80,7 @@ def supply(spark, d):
     + f""", {_SUPPLY}, coverage as (select unit, year, avg(buyers) as mean_buyers, count(*) as periods from q group by 1, 2)
     select unit, name, year, a.orders, a.amount, s.product, s.quantity, c.mean_buyers, c.periods, p.pop
     from annual a join units using (unit) left join supply s using (unit, year) left join coverage c using (unit, year)
-    left join population p using (unit) where year between 1996 and 2001""",
+    left join population p using (unit)""",
     amount=2,
     product=2,
     quantity=2,
@@ -92,7 +92,6 @@ def join_multi_left(spark, d):
     )
     return (
         annual(spark, d)
-        .filter(F.col("year").between(1996, 2001))
         .join(units(spark, d), "unit")
         .join(supply(spark, d), ["unit", "year"], "left")
         .join(cover, ["unit", "year"], "left")
