@@ -43,6 +43,9 @@ HEADLINE = [
     "moran_i",
     "rolling_origin",
     "rolling_origin_arma",
+    "legacy_variables",
+    "pca_multi",
+    "contrast_family",
     "quality_gate",
     "scenario_fanout",
     "stream_annualize",
