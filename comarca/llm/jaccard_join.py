@@ -29,10 +29,11 @@ WORDS = 5
 #: Linked at 100 * intersection >= 80 * union; sets of l and s then differ in (l + s) // 9 hashes at most.
 SHARE, WHOLE = 80, 100
 BAND = 1.5  # ratio of the bands of set sizes; a partner lies in the same band or the next
+SKETCH = 8  # 64-bit words of a set's bitmap; sets whose bitmaps differ in more bits than allowed can't be linked
 NEIGHBOURED = 6  # first segments that index their one-deletion neighbourhoods
 BUCKET = 250_000  # signatures that are grouped in one go, about
 FLUSH = 1_500_000  # signatures that a task holds before it hands them on
-ROUNDS = 6  # likely partners of a set that are tried before the exhaustive search
+HUB_ROUNDS, HUBS = 2, 2  # rounds in which so many likely partners of a set are tried before the exhaustive search
 STEPS = np.array([1, 2, 3, 5, 8, 13])  # how far before a set its likely partners stand in a meeting
 SENT_BYTES = 64 << 20  # hashes sent to every task up to this size
 SENT_ROWS = 2_000_000  # set ids sent to every task up to this count; beyond it they are joined by shuffle
@@ -133,7 +134,24 @@ def signatures(hashes: np.ndarray, band: int, below: int) -> tuple[np.ndarray, n
 
 # ------------------------------------------------------------------------------------------------------ passes
 
-SETS = "doc_id long, n_shingles long, set_id long, own int, own_first int, low int, low_first int, low_top long"
+BITS = [f"bits{i}" for i in range(SKETCH)]
+SETS = (
+    "doc_id long, n_shingles long, set_id long, own int, own_first int, low int, low_first int, low_top long, "
+    + ", ".join(f"{b} long" for b in BITS)
+)
+
+
+def bitmap(hashes: np.ndarray) -> list[int]:
+    """Every hash sets one bit: two sets differ in at least as many hashes as their bitmaps in bits."""
+    marks = np.zeros(64 * SKETCH, np.uint8)
+    marks[(mix(hashes ^ ODD[3]) % U(64 * SKETCH)).astype(np.int64)] = 1
+    return np.packbits(marks).view(np.int64).tolist()
+
+
+def plausible(a: str, b: str) -> str:
+    """SQL that holds for every linked pair with columns {a}n, {b}n and {a}bits0 ..."""
+    differ = " + ".join(f"bit_count({a}{c} ^ {b}{c})" for c in BITS)
+    return f"{WHOLE} * least({a}n, {b}n) >= {SHARE} * greatest({a}n, {b}n) and {differ} <= floor(({a}n + {b}n) / 9)"
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -156,12 +174,13 @@ def sets_of(docs: DataFrame) -> DataFrame:
                     row[3 + 2 * below] = len(np.unique(segment_of(h, BANDS.segments(band))))
                     row[4 + 2 * below] = BANDS.neighboured(band)
                     row[7] = BANDS.tops[band] if below else None
-                rows.append(row)
+                rows.append([*row, *(bitmap(h) if len(h) else [None] * SKETCH)])
             schema = pa.schema(
                 [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("own", pa.int32()),
-                 ("own_first", pa.int32()), ("low", pa.int32()), ("low_first", pa.int32()), ("low_top", pa.int64())]
+                 ("own_first", pa.int32()), ("low", pa.int32()), ("low_first", pa.int32()), ("low_top", pa.int64()),
+                 *((b, pa.int64()) for b in BITS)]
             )
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
             )
@@ -276,6 +295,21 @@ def bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return every.join(sent, "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
+def sketched(facts: DataFrame, side: str) -> DataFrame:
+    """set_id as {side}, its size and its bitmap."""
+    return facts.select(
+        F.col("set_id").alias(side),
+        F.col("n_shingles").alias(f"{side}_n"),
+        *[F.col(b).alias(f"{side}_{b}") for b in BITS],
+    )
+
+
+def likely(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs that sizes and bitmaps do not rule out."""
+    both = pairs.join(sketched(facts, "a"), "a").join(sketched(facts, "b"), "b")
+    return both.where(plausible("a_", "b_")).select("a", "b")
+
+
 def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The (a, b) of pairs whose sets reach the threshold, by their whole intersections."""
 
@@ -311,9 +345,9 @@ def components(links: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = settle(large.where("u > v").distinct(), "large-stars")
+        large = large.where("u > v").distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        small = large.join(floor, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = settle(small.unionByName(floor.withColumnRenamed("m", "v")).distinct(), "links")
         shape = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if shape == state:
@@ -334,7 +368,7 @@ def join(docs: DataFrame) -> DataFrame:
     sets = settle(sets_of(docs), "sets")
     facts = sets.where("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("smallest"),
-        *[F.first(c).alias(c) for c in ("n_shingles", "own", "own_first", "low", "low_first", "low_top")],
+        *[F.first(c).alias(c) for c in ("n_shingles", "own", "own_first", "low", "low_first", "low_top", *BITS)],
     )
     facts = settle(facts, "set-facts")
     size = facts.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
@@ -370,37 +404,27 @@ def linked_sets(docs: DataFrame, facts: DataFrame, met: DataFrame) -> DataFrame:
     roles = rows(0, "own", "own_first", allowed(n), allowed(larger)).unionByName(
         rows(1, "low", "low_first", allowed(F.col("low_top")), allowed(F.col("low_top")))
     )
+    roles = settle(roles, "roles")
     key = ["set_id", "below"]
-    # a set whose free units exceed the differences allowed has no partner in the scheme
-    live = roles.join(_dear(met), key).where(_free() < F.col("keeps")).drop("dear", "near")
-    live = settle(live, "live-sets")
-    met = settle(met.join(live.select(*key), key), "live-meetings")
+    met, live = _peeled(met, roles, "set_id")
     known = settle(bodies(docs, live.select("set_id").distinct()), "bodies")
 
-    # sets that stand before a set in its meetings are tried first: along them near copies are connected
-    nth = Window.partitionBy("set_id").orderBy(F.desc("c"), "earlier")
+    # the set that stands before a set most often is tried first
     tries = met.where(f"kind = {EXACT} and earlier is not null").groupBy("set_id", "earlier").agg(F.count("*").alias("c"))
-    tries = tries.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= ROUNDS)
-    tries = settle(tries.select(F.col("set_id").alias("a"), F.col("earlier").alias("b"), "nth"), "tries")
-    first = settle(verified(tries.where("nth = 1"), known), "first-links")
-    roots = components(first)
-    for turn in range(2, ROUNDS + 1):
-        root = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c))
-        apart = tries.where(F.col("nth") == turn)
-        for c in ("a", "b"):
-            apart = apart.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
-        apart = settle(apart.where(root("a") != root("b")).select("a", "b"), "apart")
+    best = tries.groupBy("set_id").agg(F.max_by("earlier", F.struct("c", "earlier")).alias("earlier"))
+    best = best.select(F.col("set_id").alias("a"), F.col("earlier").alias("b"))
+    roots = components(verified(likely(best, facts), known))
+    # then the hubs of the meetings that still join several components: copies lie nearer to what they were
+    # copied from than to each other, and that shares most of their meetings
+    for _ in range(HUB_ROUNDS):
+        member, _live = _peeled(_rooted(met, roots), roles, "root", 1)
+        apart = settle(likely(_hub_tries(member), facts), "hub-tries")
         if not apart.take(1):
-            continue
-        more = settle(verified(apart, known), "more-links")
-        if more.take(1):
-            roots = components(roots.toDF("a", "b").unionByName(more))
+            break
+        roots = components(roots.toDF("a", "b").unionByName(verified(apart, known)))
 
     # meetings within one component cost nothing any more
-    member = met.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
-    member = settle(member.drop("node", "earlier"), "members")
-    mixed = member.groupBy("meeting").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    member = settle(member.join(mixed.select("meeting"), "meeting"), "mixed-members")
+    member, live = _peeled(_rooted(met, roots), roles, "root")
     there = member.groupBy("meeting", "root").agg(F.count("*").alias("c"))
     sizes = there.groupBy("meeting").agg(F.sum("c").alias("all"), F.max_by("root", F.struct("c", "root")).alias("major"))
     member = settle(
@@ -412,31 +436,72 @@ def linked_sets(docs: DataFrame, facts: DataFrame, met: DataFrame) -> DataFrame:
     enough = F.col("filled") + F.col("first") >= F.col("asks")
     short = short.withColumn(
         "lacks", F.when(enough, F.col("lacks")).otherwise(F.raise_error(F.lit("a set fills too few segments")))
-    ).select(*key, "n_shingles", "lacks", all_of_them)
+    ).select(*key, "lacks", all_of_them)
     cheapest = Window.partitionBy(*key).orderBy((F.col("kind") != EXACT).cast("int"), "all", "meeting")
     bought = (
         member.join(short, key)
         .withColumn("nth", F.row_number().over(cheapest))
         .where(f"all_of_them or (kind = {EXACT} and nth <= lacks)")
         .select(
-            F.col("set_id").alias("a"), F.col("n_shingles").alias("a_n"), "meeting", F.col("root").alias("a_root"),
-            F.col("is_major").alias("a_major"),
+            F.col("set_id").alias("a"), "meeting", F.col("root").alias("a_root"), F.col("is_major").alias("a_major")
         )
+        .join(sketched(facts, "a"), "a")
     )
-    held = member.where("below = 0").join(facts.select("set_id", F.col("n_shingles").alias("b_n")), "set_id").select(
-        F.col("set_id").alias("b"), "b_n", "meeting", F.col("root").alias("b_root"), F.col("is_major").alias("b_major")
-    )
+    held = member.where("below = 0").select(
+        F.col("set_id").alias("b"), "meeting", F.col("root").alias("b_root"), F.col("is_major").alias("b_major")
+    ).join(sketched(facts, "b"), "b")
     # the largest component of a meeting is never joined with itself
+    wanted = f"a_root <> b_root and (b_n < a_n or b_n = a_n and b < a) and {plausible('a_', 'b_')}"
     pairs = (
-        bought.where("a_major").join(held.where("not b_major"), "meeting")
-        .unionByName(bought.where("not a_major").join(held, "meeting"))
-        .where(f"a_root <> b_root and {WHOLE} * b_n >= {SHARE} * a_n and (b_n < a_n or b_n = a_n and b < a)")
+        bought.where("a_major").join(held.where("not b_major"), "meeting").where(wanted)
+        .unionByName(bought.where("not a_major").join(held, "meeting").where(wanted))
         .select("a", "b")
     )
     second = verified(pairs, known)
     return roots.toDF("a", "b").unionByName(second)
 
 
+def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
+    found = met.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
+    return found.drop("node", "earlier")
+
+
+def _hub_tries(member: DataFrame) -> DataFrame:
+    """(a, b): for each set the hubs that most of its mixed meetings have in another component.
+
+    A set weighs as much as its meetings have members; the heaviest set of a meeting is its hub.
+    """
+    sizes = member.groupBy("meeting").agg(F.count("*").alias("size"))
+    weights = member.join(sizes, "meeting").groupBy("set_id").agg(F.sum("size").alias("weight"))
+    hubs = (
+        member.join(weights, "set_id")
+        .groupBy("meeting")
+        .agg(F.max(F.struct("weight", F.col("set_id").alias("hub"), F.col("root").alias("hub_root"))).alias("h"))
+        .select("meeting", "h.hub", "h.hub_root")
+    )
+    tries = member.join(hubs, "meeting").where("root <> hub_root").groupBy("set_id", "hub").agg(F.count("*").alias("c"))
+    nth = Window.partitionBy("set_id").orderBy(F.desc("c"), "hub")
+    best = tries.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= HUBS)
+    return best.select(F.col("set_id").alias("a"), F.col("hub").alias("b"))
+
+
+def _peeled(met: DataFrame, roles: DataFrame, apart: str, times: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The meetings of sets that differ in `apart`, and the sets that may still have a partner there.
+
+    A set whose free units exceed the differences allowed has none in the scheme and leaves; meetings that then
+    join nothing are free in turn, so this is done a few times over.
+    """
+    key = ["set_id", "below"]
+    for turn in range(times + 1):
+        ends = met.groupBy("meeting").agg(F.min(apart).alias("low"), F.max(apart).alias("high")).where("low < high")
+        met = met.join(ends.select("meeting"), "meeting")
+        if turn == times:
+            break
+        live = settle(roles.join(_dear(met), key).where(_free() < F.col("keeps")).drop("dear", "near"), "live-sets")
+        met = settle(met.join(live.select(*key), key), "live-meetings")
+    return settle(met, "live-meetings"), live
+
+
 def _dear(met: DataFrame) -> DataFrame:
     """For each set and scheme, its segments that meet others and its first ones that do so in any way."""
     return met.groupBy("set_id", "below").agg(
