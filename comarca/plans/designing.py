@@ -14,7 +14,7 @@ from comarca.operators import gram as G
 from comarca.operators import inference as I
 from comarca.operators import star as S
 from comarca.operators.windows import holm
-from comarca.plans.base import BASE_YEAR, CONTROLS, FIRST_YEAR, LAST_YEAR, panel, quarterly, ring, with_ctes
+from comarca.plans.base import BASE_YEAR, CONTROLS, FIRST_YEAR, LAST_YEAR, panel, quarterly, ring, series, with_ctes
 from comarca.plans.catalog import query
 from comarca.plans.fe_sql import fe_ctes, t_two_sided_sql, with_more
 from comarca.plans.index_base import CONTRACT, INDEX_SQL, index_input
@@ -181,21 +181,43 @@ def event_frame(spark, d, reference):
     return settle(out, "events"), names
 
 
+def long_event_frame(spark, d, reference):
+    """Every unit and year that has growth, with exposure and initial income times year; no window, no controls.
+
+    The exposure is x of the base year, standardised over the units that have it. Dummies come from the years in
+    the data; initial income times year leaves out the first. Units without a base year take no part.
+    """
+    s = settle(series(spark, d).dropna(subset=["y"]).select("unit", "year", "y"), "long")
+    base = series(spark, d).filter(F.col("year") == BASE_YEAR).select("unit", F.col("x").alias("e0"), F.col("log_pc").alias("l0"))
+    z = D.standardized(base.dropna(subset=["e0"]), "e0", "z").select("unit", "z", "l0")
+    p = settle(s.join(z, "unit"), "exposed")
+    years = [r[0] for r in p.select("year").distinct().orderBy("year").collect()]
+    out, events = D.event_dummies(p, "z", years, reference)
+    starts = {f"i{a}": F.col("l0") * F.when(F.col("year") == a, 1.0).otherwise(0.0) for a in years[1:]}
+    return settle(out.withColumns(starts), "long-events"), events, list(starts)
+
+
 @query("pre_trends")
 def pre_trends(spark, d):
-    """Joint tests of the years before and after the reference, on F and by wild bootstrap."""
-    p, names = event_frame(spark, d, 1998)
-    years = {n: int(n[-4:]) for n in names}
+    """Joint tests of all years before and after the reference, on F and by wild bootstrap.
+
+    On the long series, without and with initial income times year as untested regressors. A block without years
+    in the data has no rows.
+    """
+    p, names, starts = long_event_frame(spark, d, 1998)
+    years = {n: int(n.removeprefix("ev_")) for n in names}
     rows = []
-    for block, keep in (("before", lambda a: a < 1998), ("after", lambda a: a > 1998)):
-        tested = [n for n in names if keep(years[n])]
-        rest = [n for n in names if n not in tested]
-        prep = I.prepare(p, "y", tested, rest)
-        for weights in ("rademacher", "webb"):
-            r = I.wald_test(I.replicate(prep, replicas=999, weights=weights))
-            rows.append((block, weights, r["q"], r["f"], r["df2"], r["p_f"], r["p_bootstrap"]))
+    for initial, extra in (("none", []), ("log_pc", starts)):
+        for block, keep in (("before", lambda a: a < 1998), ("after", lambda a: a > 1998)):
+            tested = [n for n in names if keep(years[n])]
+            if not tested:
+                continue
+            prep = I.prepare(p, "y", tested, [n for n in names if n not in tested] + extra)
+            for weights in ("rademacher", "webb"):
+                r = I.wald_test(I.replicate(prep, replicas=999, weights=weights))
+                rows.append((initial, block, weights, r["q"], r["f"], r["df2"], r["p_f"], r["p_bootstrap"]))
     return spark.createDataFrame(
-        rows, "block string, weights string, q int, f double, df2 int, p_f double, p_bootstrap double"
+        rows, "initial string, block string, weights string, q int, f double, df2 int, p_f double, p_bootstrap double"
     )
 
 
