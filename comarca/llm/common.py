@@ -12,7 +12,7 @@ from comarca.session import settle
 #: Rows and bytes of one Arrow batch handed to Python; whole texts of any length fit one by one.
 ARROW_ROWS = 1000
 ARROW_BYTES = 16 << 20
-SENT_IDS = 2_000_000
+SENT_ROWS = 500_000
 
 
 def arrow_batches(spark: SparkSession) -> None:
@@ -38,15 +38,17 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key is not among ids; rows with a null key stay.
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, xxhash64 of the text) is not among the (doc_id, row) of rows.
 
-    The ids are sent to the tasks up to SENT_IDS of them, and joined by shuffle beyond.
+    A null doc_id equals a null doc_id. The keys are sent to the tasks up to SENT_ROWS of them, and joined by
+    shuffle beyond.
     """
-    name = unused(docs.columns, "gone")
-    gone = settle(ids.select(F.col(key).alias(name)).where(F.col(name).isNotNull()).distinct(), "gone")
-    sent = F.broadcast(gone) if gone.count() <= SENT_IDS else gone
-    return docs.join(sent, F.col(key) == F.col(name), "left_anti")
+    name, row = unused(docs.columns, "gone"), unused(docs.columns, "gone_row")
+    gone = settle(rows.select(F.col("doc_id").alias(name), F.col("row").alias(row)).distinct(), "gone")
+    sent = F.broadcast(gone) if gone.count() <= SENT_ROWS else gone
+    same = F.col("doc_id").eqNullSafe(F.col(name)) & (F.xxhash64("text") == F.col(row))
+    return docs.join(sent, same, "left_anti")
 
 
 def numbered(df: DataFrame, by: str, order: list[str], rank: str, rows_per_bucket: int = 20_000) -> DataFrame:

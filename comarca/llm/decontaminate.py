@@ -205,6 +205,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, words: int = WORDS) -> Data
     )
 
 
+def contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, row) of the texts with a benchmark passage, once each; row is the xxhash64 of the text."""
+    hits = occurrences(docs.select("doc_id", "text"), items.where("item_id is not null"), words)
+    return hits.select("doc_id", "row").distinct()
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

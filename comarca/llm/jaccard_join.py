@@ -136,7 +136,7 @@ def signatures(hashes: np.ndarray, band: int, below: int) -> tuple[np.ndarray, n
 
 BITS = [f"bits{i}" for i in range(SKETCH)]
 SETS = (
-    "doc_id long, n_shingles long, set_id long, own int, own_first int, low int, low_first int, low_top long, "
+    "doc_id long, row long, n_shingles long, set_id long, own int, own_first int, low int, low_first int, low_top long, "
     + ", ".join(f"{b} long" for b in BITS)
 )
 
@@ -167,16 +167,17 @@ def sets_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, at = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for doc_id, text, key in zip(ids, batch.column(1), at, strict=True):
                 h = shingles(text.as_py())
-                row = [doc_id, len(h), set_id(h) if len(h) else None, None, None, None, None, None]
+                row = [doc_id, key, len(h), set_id(h) if len(h) else None, None, None, None, None, None]
                 for band, below in BANDS.schemes(len(h)) if len(h) else []:
-                    row[3 + 2 * below] = len(np.unique(segment_of(h, BANDS.segments(band))))
-                    row[4 + 2 * below] = BANDS.neighboured(band)
-                    row[7] = BANDS.tops[band] if below else None
+                    row[4 + 2 * below] = len(np.unique(segment_of(h, BANDS.segments(band))))
+                    row[5 + 2 * below] = BANDS.neighboured(band)
+                    row[8] = BANDS.tops[band] if below else None
                 rows.append([*row, *(bitmap(h) if len(h) else [None] * SKETCH)])
             schema = pa.schema(
-                [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("own", pa.int32()),
+                [("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("own", pa.int32()),
                  ("own_first", pa.int32()), ("low", pa.int32()), ("low_first", pa.int32()), ("low_top", pa.int64()),
                  *((b, pa.int64()) for b in BITS)]
             )
@@ -185,7 +186,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
             )
 
-    return docs.mapInArrow(run, SETS)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, SETS)
 
 
 PACKED = "bucket int, signs binary, sets binary, codes binary"
@@ -363,6 +364,14 @@ def join(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id take part; their component is null if no row of it has an id. Other columns are not
     read; an empty table gives no rows.
     """
+    return grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, row, n_shingles, root and component_id of every row of docs.
+
+    row is the xxhash64 of the text. Rows that links connect share a root, whatever their ids; empty sets have none.
+    """
     arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets = settle(sets_of(docs), "sets")
@@ -379,10 +388,12 @@ def join(docs: DataFrame) -> DataFrame:
     rooted = facts.select("set_id", "smallest").join(roots, F.col("set_id") == F.col("node"), "left")
     rooted = rooted.select("set_id", "smallest", F.coalesce("root", "set_id").alias("root"))
     named = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    labels = rooted.select("set_id", "root").join(named, "root").select("set_id", "component_id")
+    labels = rooted.select("set_id", "root").join(named, "root").select("set_id", "root", "component_id")
     return sets.join(labels, "set_id", "left").select(
         "doc_id",
+        "row",
         "n_shingles",
+        "root",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comarca.llm import decontaminate, jaccard_join, language, line_dedup, packing
-from comarca.llm.common import without
+from comarca.llm.common import SENT_ROWS, unused, without
 from comarca.session import configure, settle
 
+WORDED = r"[^\x20\x09-\x0D]"  # a text with any of these has words to the near-duplicate join
+
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart; what the classifier rejects goes."""
@@ -28,25 +30,32 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links connect, the one with the smallest doc_id.
+    """Of the texts that near-duplicate links connect, the one with the smallest doc_id, nulls last.
 
-    Repeated rows of that document count as copies too. Rows without a doc_id can't be told apart and stay.
+    Rows are told apart by doc_id and text: unlinked texts under one doc_id stay, and linked rows without a doc_id
+    count as copies. A row repeated with its text stays once. Texts without words have no links and all stay.
     """
     configure(spark)
-    groups = settle(jaccard_join.join(docs), "groups")
-    kept = without(docs, groups.where("doc_id <> component_id"))
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not repeated.take(1):
+    groups = settle(jaccard_join.grouped(docs).where("root is not null").select("doc_id", "row", "root"), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")
+    first = groups.groupBy("root").agg(F.min(order).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    first = settle(first.select(F.col("root").alias("of"), "kept"), "kept")
+    sent = F.broadcast(first) if first.count() <= SENT_ROWS else first
+    same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("row") == F.col("kept.row"))
+    kept = without(docs, groups.join(sent, F.col("root") == F.col("of")).where(~same))
+    if not groups.groupBy("doc_id", "row").count().where("count > 1").take(1):
         return kept
-    named, bare = kept.where("doc_id is not null"), kept.where("doc_id is null")
-    return named.dropDuplicates(["doc_id"]).unionByName(bare)
+    row, part = unused(docs.columns, "text_row"), unused(docs.columns, "text_part")
+    empty = F.monotonically_increasing_id()
+    worded = F.coalesce(F.col("text").rlike(WORDED), F.lit(False))
+    once = kept.withColumns({row: F.xxhash64("text"), part: F.when(worded, F.lit(-1)).otherwise(empty)})
+    return once.dropDuplicates(["doc_id", row, part]).drop(row, part)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Texts without a benchmark passage, whatever their doc_id: each row goes or stays by its own text."""
     configure(spark)
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, found.where("contaminated"))
+    return without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
