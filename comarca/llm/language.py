@@ -13,16 +13,19 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from comarca.llm.common import arrow_batches, documents, held_out
+from comarca.session import settle
 
-#: The sample a dictionary is cut from: at most so many documents of a language, those whose id hashes lowest,
-#: and at most so many bytes of each, so that no document fills a dictionary alone.
+#: The sample a dictionary is cut from: at most so many different texts of a language, those that hash lowest, and
+#: at most so many bytes of each, so that no document fills a dictionary alone. A longer text gives them in PLACES
+#: pieces, one from each of as many equal parts, at a place in it that the text's hash chooses.
 SAMPLE_DOCS = 60
 SAMPLE_BYTES = 1024
+PLACES = 8
 LANGUAGES = 512  # languages with a dictionary; more are refused
 BLOCK = 8192  # bytes encoded at once
 #: Lazy matching with tables fitted to the size of a dictionary: they are set up anew for every block.
@@ -45,26 +48,42 @@ def letters(text: str) -> str:
     return OTHER.sub(" ", text.lower()).strip()
 
 
+def pieces(text: Column, size: int, places: int = PLACES) -> Column:
+    """The text as one piece if it has at most `size` bytes, else `places` pieces from all over it."""
+    part = F.floor(F.length(text) / places)
+    each = F.least(part, F.lit(size // places)).cast("int")
+
+    def at(i: int) -> Column:
+        start = F.lit(i) * part + F.pmod(F.xxhash64(text, F.lit(i)), part - each + 1)
+        return F.substring(text, (start + 1).cast("int"), each)
+
+    return F.when(F.octet_length(text) <= size, F.array(text)).otherwise(F.array(*[at(i) for i in range(places)]))
+
+
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """One raw-content dictionary per value of lang, from rows with a text and a lang."""
-    lowest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text")
-    sample = (
-        docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"))
+    """One raw-content dictionary per value of lang, from rows with a text and a lang; copies count once."""
+    rows = (
+        docs.select("lang", F.col("text").cast("string").alias("text"))
         .where("lang is not null and text is not null and length(text) > 0")
-        .select("doc_id", "lang", F.substring("text", 1, sample_bytes).alias("text"))
-        .withColumn("_nth", F.row_number().over(lowest))
-        .where(F.col("_nth") <= sample_docs)
-        .select("lang", "_nth", "text")
+        .withColumn("_hash", F.xxhash64("text"))
+    )
+    lowest = Window.partitionBy("lang").orderBy("_hash")
+    chosen = rows.select("lang", "_hash").distinct().withColumn("_nth", F.row_number().over(lowest))
+    chosen = settle(chosen.where(F.col("_nth") <= sample_docs), "chosen")
+    if chosen.select("lang").distinct().count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    sample = (
+        rows.join(F.broadcast(chosen), ["lang", "_hash"])  # LANGUAGES * sample_docs rows at most
+        .select("lang", "_nth", pieces(F.col("text"), sample_bytes).alias("pieces"))
+        .groupBy("lang", "_nth")
+        .agg(F.min("pieces").alias("pieces"))
     )
-    texts: dict[str, list[tuple[int, str]]] = {}
+    texts: dict[str, list[tuple[int, bytes]]] = {}
     for row in sample.toLocalIterator():
-        texts.setdefault(row["lang"], []).append((row["_nth"], row["text"]))
-        if len(texts) > LANGUAGES:
-            raise ValueError(f"more than {LANGUAGES} languages")
-    return {
-        lang: b"\n".join(letters(t).encode()[:sample_bytes] for _, t in sorted(rows, reverse=True))
-        for lang, rows in sorted(texts.items())
-    }
+        each = sample_bytes // len(row["pieces"])
+        body = b" ".join(letters(t).encode()[:each] for t in row["pieces"])
+        texts.setdefault(row["lang"], []).append((row["_nth"], body))
+    return {lang: b"\n".join(t for _, t in sorted(rows, reverse=True)) for lang, rows in sorted(texts.items())}
 
 
 class Encoders:
