@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from comarca.llm import (
     decontaminate,
+    filter_audit,
     html_text,
     jaccard_join,
     language,
@@ -15,8 +16,10 @@ from comarca.llm import (
     packing,
     preference,
     sharding,
+    simhash,
     topk,
     toxicity,
+    whitening,
 )
 from comarca.session import configure
 
@@ -38,6 +41,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "op8_language": language.op8_language,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_preference": preference.op10_preference,
+        "op11_simhash": simhash.op11_simhash,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }.items()
 }
 
@@ -47,4 +53,5 @@ ORACLES: dict[str, str] = {
     "op6_topk": topk.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op10_preference": preference.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
