@@ -2,7 +2,8 @@
 
 A forecast is long: (unit, origin, model, h, mean, var_level, var_growth). Every origin of a unit is
 the row before it, so expanding-window fits are running aggregates over the unit's own series: no
-history is copied per origin. Only models with moving-average terms leave the JVM, one unit at a time.
+history is copied per origin. Orders with moving-average terms are solved from summed products, one small
+row per unit and origin.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from comarca.functions.tails import normal_ppf, t_two_sided
+from comarca.operators.gram import pairs
 
 REFERENCE = "naive"
 MIN_TRAIN = 12
@@ -20,7 +23,6 @@ MIN_COVERAGE = 0.90
 MIN_ORIGINS = 3
 # The orders of the published specifications.
 ARMA_ORDERS = {"arima_110": (1, 1, 0), "arima_111": (1, 1, 1), "arima_011": (0, 1, 1), "arima_210": (2, 1, 0)}
-FORECAST_SCHEMA = "unit int, origin int, model string, h int, mean double, var_level double, var_growth double"
 
 
 def _expanding(unit: str, time: str):
@@ -126,31 +128,161 @@ def simple_forecasts(states: DataFrame, h: int, unit: str = "unit") -> DataFrame
     return fan.select(unit, "origin", "h", "n_train", F.inline(rows))
 
 
-def _hannan_rissanen(g: np.ndarray, d: np.ndarray, p: int, q: int):
-    """Conditional least squares of an ARMA on growth with level dummies (differenced) as regressors."""
-    n = len(g)
-    use = [j for j in range(d.shape[1]) if np.any(d[:, j])]
-    d = d[:, use]
-    e = np.zeros(n)
-    if q:
-        long = min(max(p, q) + 2, n // 3)
-        rows = np.arange(long, n)
-        x = np.column_stack([np.ones(len(rows)), *[g[rows - i] for i in range(1, long + 1)], d[rows]])
-        b = np.linalg.lstsq(x, g[rows], rcond=None)[0]
-        e[rows] = g[rows] - x @ b
-    start = max(p, q) + (min(max(p, q) + 2, n // 3) if q else 0)
-    rows = np.arange(max(start, p), n)
-    x = np.column_stack(
-        [np.ones(len(rows)), *[g[rows - i] for i in range(1, p + 1)], *[e[rows - i] for i in range(1, q + 1)], d[rows]]
+#: Lags of the first pass of orders with a moving-average term: two more than the order.
+LONG = 3
+EARLY = LONG + 1  # growth rows before the first one that every order uses
+LAGS = LONG + 2  # a row carries its growth and the four before it
+
+
+def _lag_rows(series: DataFrame, marks: list[int], value: str) -> DataFrame:
+    """(unit, t, v, i, level, z): each growth row i = 0, 1, ... with its constant, growths and dummy steps.
+
+    z holds 1, the growths at lags 0 to 4 and the steps of the outlier dummies of this row and the one before.
+    """
+    w = Window.partitionBy("unit").orderBy("t")
+    v, dbl = F.col("v"), lambda c: c.cast("double")
+    rows = series.select("unit", "t", F.col(value).cast("double").alias("v"))
+    rows = rows.withColumn("g", v - F.lag("v").over(w)).withColumn("i", F.row_number().over(w) - 2)
+    rows = rows.withColumns({f"d{j}": dbl(F.col("t") == m) - dbl(F.lag("t").over(w) == m) for j, m in enumerate(marks)})
+    steps = [F.col(f"d{j}") for j in range(len(marks))]
+    # a missing growth makes every fit that sees it fail; what lies before the series is not used by any
+    lagged = lambda c, k: F.when(F.col("i") >= k, F.lag(c, k).over(w) if k else c).otherwise(F.lit(0.0))
+    z = F.array(
+        F.lit(1.0),
+        *[lagged(F.col("g"), k) for k in range(LAGS)],
+        *[lagged(d, 0) for d in steps],
+        *[lagged(d, 1) for d in steps],
+    )
+    level = F.array(*[dbl(F.col("t") == m) for m in marks]) if marks else F.lit(None).cast("array<double>")
+    return rows.select("unit", "t", "v", "i", level.alias("level"), z.alias("z"))
+
+
+def _history(series: DataFrame, marks: list[int], origins: list[int] | None, value: str) -> DataFrame:
+    """One row per unit and origin: summed products of z over its rows, the first rows, and the last one.
+
+    Rows are summed between two origins and the sums are run over the origins, so no history is copied. The first
+    pass of a moving-average fit needs no pass of its own: its residuals are linear in z, so the products of any
+    regression on them follow from these sums.
+    """
+    size = 1 + LAGS + 2 * len(marks)
+    rows = _lag_rows(series, marks, value)
+    ends = rows.groupBy("unit").agg((F.max("t") + 1).cast("int").alias("end"))
+    if origins:
+        wanted = F.array(*[F.lit(int(o)) for o in sorted(set(origins))])
+        grid = ends.select("unit", F.explode(wanted).alias("origin"))
+        rows = rows.withColumn("origin", F.array_min(F.filter(wanted, lambda o: o > F.col("t")))).dropna(subset=["origin"])
+    else:
+        grid = ends.select("unit", F.col("end").alias("origin"))
+        rows = rows.join(grid, "unit")
+    late, cells = F.col("i") >= EARLY, pairs(size)
+    part = rows.groupBy("unit", "origin").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("v").isNull()).alias("gone"),
+        F.array(*[F.sum(F.when(late, F.get("z", F.lit(a)) * F.get("z", F.lit(b))).otherwise(0.0)) for a, b in cells]).alias("m"),
+        F.collect_list(F.when(~late & (F.col("i") >= 0), F.struct("i", "z"))).alias("early"),
+        F.max(F.struct("i", "v", "level", "z")).alias("last"),
+    )
+    upto = Window.partitionBy("unit").orderBy("origin").rowsBetween(Window.unboundedPreceding, 0)
+    run = lambda c: F.sum(c).over(upto)
+    return (
+        grid.join(part, ["unit", "origin"], "left")
+        .select(
+            "unit",
+            "origin",
+            run("n").alias("n"),
+            run("gone").alias("gone"),
+            F.array(*[run(F.get("m", F.lit(c))) for c in range(len(cells))]).alias("m"),
+            F.sort_array(F.flatten(F.collect_list("early").over(upto))).alias("early"),
+            F.last("last", True).over(upto).alias("last"),
+        )
+        .filter((F.col("n") >= MIN_TRAIN))
+        .select("unit", "origin", "n", "gone", "m", F.col("early.z").alias("early"), "last")
     )
-    if len(rows) <= x.shape[1]:
-        raise ValueError("too few rows")
-    b = np.linalg.lstsq(x, g[rows], rcond=None)[0]
-    resid = g[rows] - x @ b
-    e = np.zeros(n)
-    e[rows] = resid
-    s2 = float(resid @ resid / (len(rows) - x.shape[1]))
-    return b[0], b[1 : 1 + p], b[1 + p : 1 + p + q], b[1 + p + q :], use, e, s2
+
+
+_NUMBER, _VECTOR = T.DoubleType(), T.ArrayType(T.DoubleType())
+FITTED = T.ArrayType(
+    T.StructType()
+    .add("model", T.StringType())
+    .add("const", _NUMBER)
+    .add("ar", _VECTOR)
+    .add("ma", _VECTOR)
+    .add("past", _VECTOR)
+    .add("shock", _NUMBER)
+    .add("step", _NUMBER)
+    .add("sigma2", _NUMBER)
+)
+
+
+def _least_squares(gram: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of y on x, both given as combinations of z, and the residual as a combination of z, per row."""
+    xx, xy = x @ gram @ x.swapaxes(1, 2), (x @ gram @ y[..., None])[..., 0]
+    scale = np.sqrt(np.clip(np.diagonal(xx, axis1=1, axis2=2), 0, None))
+    scale[scale == 0] = 1.0
+    inverse = np.linalg.pinv(xx / scale[:, :, None] / scale[:, None, :], rcond=1e-12, hermitian=True)
+    b = (inverse @ (xy / scale)[..., None])[..., 0] / scale
+    return b, y - (b[:, None, :] @ x)[:, 0]
+
+
+def _fit_orders(m: np.ndarray, early: np.ndarray, n: np.ndarray, z: np.ndarray, level: np.ndarray) -> list[dict]:
+    """Conditional least squares of every order for a batch of rows, with batched matrix algebra."""
+    rows, size, marks = len(m), z.shape[1], level.shape[1]
+    from_row = {EARLY: np.zeros((rows, size, size))}
+    for c, (a, b) in enumerate(pairs(size)):
+        from_row[EARLY][:, a, b] = from_row[EARLY][:, b, a] = m[:, c]
+    for i in range(EARLY - 1, -1, -1):
+        from_row[i] = from_row[i + 1] + early[:, i, :, None] * early[:, i, None, :]
+    one = np.broadcast_to(np.eye(size), (rows, size, size))
+    now = list(range(1 + LAGS, 1 + LAGS + marks))
+    used = (np.diagonal(from_row[0], axis1=1, axis2=2)[:, now] > 0).sum(1)
+    y = one[:, 1]
+    out = []
+    for name, (p, _, q) in ARMA_ORDERS.items():
+        start, shocks = p, []
+        if q:
+            start = EARLY
+            b, _ = _least_squares(from_row[LONG], one[:, [0, *range(2, 2 + LONG), *now]], y)
+            shock = one[:, 2].copy()  # the first pass's residual of the row before
+            shock[:, 0] -= b[:, 0]
+            shock[:, 3 : 3 + LONG] -= b[:, 1 : 1 + LONG]
+            shock[:, 1 + LAGS + marks :] -= b[:, 1 + LONG :]
+            shocks = [shock[:, None]]
+        x = np.concatenate([one[:, [0, *range(2, 2 + p)]], *shocks, one[:, now]], axis=1)
+        b, e = _least_squares(from_row[start], x, y)
+        beta = b[:, 1 + p + q :]
+        free = n - 1 - start - (1 + p + q + used)
+        rss = np.clip((e[:, None] @ from_row[start] @ e[..., None])[:, 0, 0], 0, None)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sigma2 = np.where(free > 0, rss / free, np.nan)
+        past = [z[:, 1] - (beta * z[:, now]).sum(1), z[:, 2] - (beta * z[:, 1 + LAGS + marks :]).sum(1)]
+        out.append({
+            "model": name, "const": b[:, 0], "ar": np.pad(b[:, 1 : 1 + p], ((0, 0), (0, 2 - p))),
+            "ma": np.pad(b[:, 1 + p : 1 + p + q], ((0, 0), (0, 1 - q))), "past": np.stack(past, 1),
+            "shock": (e * z).sum(1), "step": -(beta * level).sum(1), "sigma2": sigma2,
+        })
+    return out
+
+
+@F.pandas_udf(FITTED)
+def _arma_fits(m: pd.Series, early: pd.Series, n: pd.Series, z: pd.Series, level: pd.Series, gone: pd.Series) -> pd.Series:
+    """The fit of every order, one small row each; NULL values where it cannot be made."""
+    table = lambda s: np.array(s.tolist(), float)
+    none = [{"model": name} for name in ARMA_ORDERS]
+    found: list[list[dict]] = [none] * len(m)
+    whole = np.flatnonzero(gone.to_numpy() == 0)
+    if len(whole):
+        marks = table(level.iloc[whole]) if level.iloc[0] is not None else np.zeros((len(whole), 0))
+        fits = _fit_orders(
+            table(m.iloc[whole]), np.array([np.stack(e) for e in early.iloc[whole]], float), n.to_numpy()[whole],
+            table(z.iloc[whole]), marks,
+        )
+        for i, at in enumerate(whole):
+            made = []
+            for fit in fits:
+                row = {k: fit[k] if k == "model" else fit[k][i].tolist() for k in fit}
+                made.append(row if np.isfinite(np.hstack(list(row.values())[1:])).all() else {"model": fit["model"]})
+            found[at] = made
+    return pd.Series(found)
 
 
 def arma_forecasts(
@@ -158,48 +290,42 @@ def arma_forecasts(
 ) -> DataFrame:
     """The four ARIMA specifications with declared-outlier dummies for every origin of every unit.
 
-    One unit's series (a few dozen rows) is one pandas group; Spark spreads the units.
+    Two-pass conditional least squares from summed products: a unit's series stays in rows, only one small row per
+    unit and origin is solved. Origins that see fewer than MIN_TRAIN periods have no rows; a fit that cannot be made
+    (a missing value in the history, no degrees of freedom) gives NULL.
     """
-    wanted = list(origins) if origins else None
-    marks = list(outliers)
-
-    def one_unit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        t, y, unit = pdf["t"].to_numpy(), pdf[value].to_numpy(float), int(pdf["unit"].iloc[0])
-        level = np.column_stack([(t == m).astype(float) for m in marks]) if marks else np.zeros((len(t), 0))
-        rows = []
-        for o in wanted or [int(t[-1]) + 1]:
-            seen = t < o
-            if seen.sum() < MIN_TRAIN:
-                continue
-            yy, dd = y[seen], level[seen]
-            g, d = np.diff(yy), np.diff(dd, axis=0)
-            for name, (p, _, q) in ARMA_ORDERS.items():
-                try:
-                    c, ar, ma, beta, use, e, s2 = _hannan_rissanen(g, d, p, q)
-                    hist, shocks, path = list(g - d[:, use] @ beta), list(e), []
-                    # The last dummy step back (if the last period was an outlier) is known.
-                    back = -dd[-1, use] @ beta if len(use) else 0.0
-                    for k in range(h):
-                        nxt = c + sum(ar[i] * hist[-1 - i] for i in range(p)) + sum(ma[i] * shocks[-1 - i] for i in range(q))
-                        hist.append(nxt)
-                        shocks.append(0.0)
-                        path.append(nxt + (back if k == 0 else 0.0))
-                    psi = [1.0]
-                    for j in range(1, h):
-                        w = ma[j - 1] if j <= q else 0.0
-                        w += sum(ar[i - 1] * psi[j - i] for i in range(1, min(p, j) + 1))
-                        psi.append(w)
-                    mean = yy[-1] + np.cumsum(path)
-                    vg, vl = s2 * np.cumsum(np.square(psi)), s2 * np.cumsum(np.square(np.cumsum(psi)))
-                    if not np.all(np.isfinite(mean)) or not np.all(np.isfinite(vl)):
-                        raise ValueError("not finite")
-                    rows += [(unit, o, name, k + 1, float(mean[k]), float(vl[k]), float(vg[k])) for k in range(h)]
-                except (ValueError, np.linalg.LinAlgError):
-                    rows += [(unit, o, name, k + 1, None, None, None) for k in range(h)]
-        return pd.DataFrame(rows, columns=["unit", "origin", "model", "h", "mean", "var_level", "var_growth"])
-
-    return series.select("unit", "t", value).groupBy("unit").applyInPandas(one_unit, FORECAST_SCHEMA)
+    known = _history(series, list(outliers), origins, value)
+    fits = known.select(
+        "unit", "origin", F.col("last.v").alias("v"),
+        F.inline(_arma_fits("m", "early", "n", "last.z", "last.level", "gone")),
+    )
+    psi = psi_weights(F.col("ar"), F.col("ma"), h)
+    vg, vl = psi_variances(F.col("psi"), F.col("sigma2"))
+
+    def ahead(s: Column, k: Column) -> Column:
+        own = F.get("ar", F.lit(0)) * s["past"][0] + F.get("ar", F.lit(1)) * s["past"][1]
+        new = F.col("const") + own + F.get("ma", F.lit(0)) * s["shock"]
+        return F.struct(
+            F.array(new, s["past"][0]).alias("past"),
+            F.lit(0.0).alias("shock"),
+            (s["level"] + new + F.when(k == 1, F.col("step")).otherwise(0.0)).alias("level"),
+            F.concat(s["path"], F.array(s["level"] + new + F.when(k == 1, F.col("step")).otherwise(0.0))).alias("path"),
+        )
+
+    start = F.struct("past", "shock", F.col("v").alias("level"), F.array().cast("array<double>").alias("path"))
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(h)), start, ahead, lambda s: s["path"])
+    fan = fits.withColumn("psi", psi).withColumns({"_vg": vg, "_vl": vl, "_path": path})
+    k = F.col("h")
+    finite = F.when(~F.isnan(F.get("_path", k - 1)) & ~F.isnan(F.get("_vl", k - 1)), F.lit(True))
+    return fan.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(h)))).select(
+        "unit",
+        "origin",
+        "model",
+        "h",
+        F.when(finite, F.get("_path", k - 1)).alias("mean"),
+        F.when(finite, F.get("_vl", k - 1)).alias("var_level"),
+        F.when(finite, F.get("_vg", k - 1)).alias("var_growth"),
+    )
 
 
 def combine(forecasts: DataFrame, keys: list[str], name: str = "combined") -> DataFrame:

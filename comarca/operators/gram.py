@@ -23,6 +23,10 @@ from pyspark.sql import types as T
 from comarca.session import settle
 
 VECTOR = T.ArrayType(T.DoubleType())
+#: Periods up to which their normal matrix is built and inverted. Its cells grow with the square, its inverse with the
+#: cube of the periods: at 400 these are 160,000 cells and 0.1 s. Beyond, the effects are found by iteration.
+EXACT_PERIODS = 400
+TOLERANCE, MOST_STEPS = 1e-12, 500
 RIDGE = 1e-10  # relative size below which a pivot counts as zero
 
 
@@ -132,6 +136,97 @@ def _period_effects(cells: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+_STATE = T.StructType([T.StructField(c, VECTOR) for c in ("x", "r", "p", "d", "size")]).add("left", T.DoubleType())
+
+
+@F.pandas_udf(_STATE)
+def _first_state(d: pd.Series, s: pd.Series) -> pd.DataFrame:
+    """Conjugate gradients before the first step: no effects, the whole right-hand side left, period by column."""
+    rows = []
+    for diagonal, sums in zip(d, s, strict=True):
+        m, r = np.asarray(diagonal, float), np.array([np.asarray(v, float) for v in sums])
+        m = np.where(m > 0, m, 1.0)  # a period seen only by units without another one has no effect of its own
+        size = np.sqrt((r * r).sum(0))
+        rows.append((np.zeros(r.size).tolist(), r.ravel().tolist(), (r / m[:, None]).ravel().tolist(), m.tolist(), size.tolist(), 1.0))
+    return pd.DataFrame(rows, columns=["x", "r", "p", "d", "size", "left"])
+
+
+@F.pandas_udf(_STATE)
+def _next_state(x: pd.Series, r: pd.Series, p: pd.Series, d: pd.Series, size: pd.Series, q: pd.Series) -> pd.DataFrame:
+    """One preconditioned step for every column at once; q is the normal matrix times p."""
+    rows = []
+    for one in zip(x, r, p, d, size, q, strict=True):
+        m, norm = np.asarray(one[3], float)[:, None], np.asarray(one[4], float)
+        x_, r_, p_, q_ = (np.asarray(v, float).reshape(len(m), -1) for v in (one[0], one[1], one[2], one[5]))
+        was, bend = (r_ * r_ / m).sum(0), (p_ * q_).sum(0)
+        go = (bend > 0) & (np.sqrt((r_ * r_).sum(0)) > TOLERANCE * norm)
+        step = np.divide(was, bend, out=np.zeros_like(was), where=go)
+        x_, r_ = x_ + step * p_, r_ - step * q_
+        turn = np.divide((r_ * r_ / m).sum(0), was, out=np.zeros_like(was), where=go)
+        left = np.divide(np.sqrt((r_ * r_).sum(0)), norm, out=np.zeros_like(was), where=norm > 0).max()
+        p_ = r_ / m + turn * p_
+        rows.append((*(v.ravel().tolist() for v in (x_, r_, p_)), one[3], one[4], float(left)))
+    return pd.DataFrame(rows, columns=["x", "r", "p", "d", "size", "left"])
+
+
+def iterated_effects(dev: DataFrame, cols: list[str], unit: str, time: str, group: list[str], weight: str | None):
+    """(group, time, _e, _periods): the period effects of unit-demeaned ``cols`` without a periods x periods matrix.
+
+    Conjugate gradients, preconditioned by the diagonal, on the equations of ``period_equations``. The matrix times a
+    vector needs one aggregation over the units' period lists: a unit subtracts its weighted mean of the vector and
+    hands the rest to its periods. Equal lists count once. A group's state is one row of some vectors as long as its
+    periods; it is written at every step, and so is the residual that ends the iteration.
+    """
+    w, k = weight or "1.0D", len(cols)
+    sums = dev.groupBy(*group, time).agg(F.expr("array(" + ", ".join(f"sum({w} * {c})" for c in cols) + ") as s"))
+    number = Window.partitionBy(*group).orderBy(time)
+    sums = settle(sums.withColumn("i", F.row_number().over(number) - 1), "period-sums")
+    lists = (
+        dev.groupBy(*group, unit, time)
+        .agg(F.expr(f"sum(cast({w} as double)) as _w"))
+        .join(sums.select(*group, time, "i"), [*group, time])
+        .groupBy(*group, unit)
+        .agg(F.expr("sort_array(collect_list(struct(i, _w as w))) as _times"), F.expr("sum(_w) as _all"))
+        .groupBy(*group, "_times", "_all")
+        .agg(F.expr("cast(count(*) as double) as _k"))
+    )
+    lists = settle(lists, "period-lists")
+    diagonal = (
+        lists.selectExpr(*group, "_all", "_k", "inline(_times)")
+        .groupBy(*group, "i")
+        .agg(F.expr("sum(_k * (w - w * w / _all)) as d"))
+    )
+    start = sums.join(diagonal, [*group, "i"]).groupBy(*group).agg(F.expr("sort_array(collect_list(struct(i, d, s))) as c"))
+    state = settle(start.select(*group, _first_state("c.d", "c.s").alias("c")).select(*group, "c.*"), "effects-0")
+    mean = ", ".join(f"aggregate(_times, 0.0D, (a, e) -> a + e.w * p[e.i * {k} + {c}]) / _all" for c in range(k))
+    moved = ", ".join(f"sum(_k * w * (p[i * {k} + {c}] - _m[{c}]))" for c in range(k))
+    for step in range(1, MOST_STEPS + 1):
+        product = (
+            lists.join(state.select(*group, "p"), group)
+            .selectExpr(*group, "_times", "_k", "p", f"array({mean}) as _m")
+            .selectExpr(*group, "_k", "p", "_m", "inline(_times)")
+            .groupBy(*group, "i")
+            .agg(F.expr(f"array({moved}) as q"))
+            .groupBy(*group)
+            .agg(F.expr("flatten(transform(sort_array(collect_list(struct(i, q))), e -> e.q)) as q"))
+        )
+        after = state.join(product, group).select(*group, _next_state("x", "r", "p", "d", "size", "q").alias("c"))
+        state = settle(after.select(*group, "c.*"), f"effects-{step}")
+        left = state.agg(F.max("left")).first()[0]
+        if left is None or left <= TOLERANCE:
+            break
+    else:
+        raise ArithmeticError(f"period effects did not converge in {MOST_STEPS} steps: {left:.1e} is left")
+    found = state.selectExpr(*group, f"cast(size(x) / {k} as int) as _periods", f"transform(sequence(0, cast(size(x) / {k} as int) - 1), j -> slice(x, j * {k} + 1, {k})) as _x")
+    found = found.selectExpr(*group, "_periods", "posexplode(_x) as (i, _e)")
+    return found.join(sums.select(*group, time, "i"), [*group, "i"]).select(*group, time, "_e", "_periods")
+
+
+def _many_periods(df: DataFrame, time: str) -> bool:
+    """Whether there are more periods than the exact solve is for. Calendar years are not counted."""
+    return time != "year" and df.select(time).distinct().limit(EXACT_PERIODS + 1).count() > EXACT_PERIODS
+
+
 def two_way(
     df: DataFrame,
     cols: list[str],
@@ -142,9 +237,11 @@ def two_way(
     time_effects: bool = True,
     weight: str | None = None,
     keep_within: bool = False,
+    iterate: bool | None = None,
 ) -> DataFrame:
     """``cols`` replaced by their deviations from unit (and period) effects. Exact for any panel.
 
+    Period effects are solved in one step up to EXACT_PERIODS periods and by iteration beyond, or as ``iterate`` says.
     With ``keep_within`` the deviations from the unit means alone stay beside them as ``_u_<col>``, and
     the number of periods of the group as ``_periods``.
     """
@@ -158,11 +255,14 @@ def two_way(
         within.append("_periods")
     if not time_effects:
         return dev.selectExpr(*rest, *cols, *within)
-    eq = period_equations(dev, cols, unit, time, g, weight)
-    solved = eq.select(*g, _period_effects("_cells").alias("_p"))
-    effects = solved.selectExpr(*g, "size(_p) as _periods", "inline(_p)").selectExpr(
-        *g, f"cast(t as {dict(dev.dtypes)[time]}) as {time}", "e as _e", "_periods"
-    )
+    if _many_periods(df, time) if iterate is None else iterate:
+        effects = iterated_effects(settle(dev, "within"), cols, unit, time, g, weight)
+    else:
+        eq = period_equations(dev, cols, unit, time, g, weight)
+        solved = eq.select(*g, _period_effects("_cells").alias("_p"))
+        effects = solved.selectExpr(*g, "size(_p) as _periods", "inline(_p)").selectExpr(
+            *g, f"cast(t as {dict(dev.dtypes)[time]}) as {time}", "e as _e", "_periods"
+        )
     over = f"over (partition by {_keys(g, unit)})"
     out = [f"{c} - _e[{i}] + {_unit_mean(f'_e[{i}]', over, weight)} as {c}" for i, c in enumerate(cols)]
     return dev.join(effects, [*g, time]).selectExpr(*rest, *out, *within)

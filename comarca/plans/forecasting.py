@@ -144,11 +144,76 @@ def fc_ar(spark, d):
     return _final(spark, d, "ar1")
 
 
-@query("fc_arma")
+def _over(expr: str) -> str:
+    return f"{expr} over (partition by unit, o)"
+
+
+def _swept(source: str, name: str, keep: list[str], cols: list[str]) -> tuple[dict[str, str], str]:
+    """Relations that take the mean and then each of ``cols`` out of the columns after it, and the last one's name."""
+    after = [*cols, *keep]
+    ctes = {f"{name}_0": f"select unit, o, t, i, {', '.join(f'{c} - {_over(f"avg({c})")} as {c}' for c in after)} from {source}"}
+    for n, c in enumerate(cols, 1):
+        after = after[1:]
+        slope = lambda x, c=c: f"{_over(f'sum({x} * {c})')} / nullif({_over(f'sum({c} * {c})')}, 0)"
+        less = ", ".join(f"{x} - coalesce({slope(x)} * {c}, 0) as {x}" for x in after)
+        ctes[f"{name}_{n}"] = f"select unit, o, t, i, {less} from {name}_{n - 1}"
+    return ctes, f"{name}_{len(cols)}"
+
+
+def _arma_ctes(origins: str) -> dict[str, str]:
+    """The four orders by sequential projection. No declared outlier may lie at the end of a history."""
+    marks = [f"d{m}" for m in OUTLIERS]
+    lag = lambda k: f"lag(g, {k}) over (partition by unit order by t) as g{k}"
+    step = lambda m: f"((t = {m})::int - (t = {m} + 1)::int)::double as d{m}"
+    lags, out = ["g1", "g2", "g3"], {}
+    out["ga"] = "select unit, t, v, v - lag(v) over (partition by unit order by t) as g, row_number() over (partition by unit order by t) - 2 as i from lv"
+    out["gl"] = f"select *, {lag(1)}, {lag(2)}, {lag(3)}, {', '.join(step(m) for m in OUTLIERS)} from ga"
+    out["go"] = f"select gl.*, o from gl join ({origins}) oo(o) on t < o"
+    first, last = _swept("(select * from go where i >= 3)", "one", ["g"], [*marks, *lags])
+    out |= first
+    out["ge"] = f"select go.*, e.g as e1 from go left join {last} e on e.unit = go.unit and e.o = go.o and e.t = go.t - 1"
+    fits = []
+    for name, (p, _, q) in P.ARMA_ORDERS.items():
+        x = [*lags[:p], *(["e1"] if q else [])]
+        start = P.EARLY if q else p
+        swept, clean = _swept(f"(select * from ge where i >= {start})", name, [*x, "g"], marks)
+        out |= swept
+        a, b = x[0], x[1] if len(x) > 1 else None
+        s = lambda u, v: f"sum({u} * {v})"
+        if b:
+            det = f"({s(a, a)} * {s(b, b)} - pow({s(a, b)}, 2))"
+            fa = f"({s(a, 'g')} * {s(b, b)} - {s(b, 'g')} * {s(a, b)}) / {det}"
+            fb = f"({s(b, 'g')} * {s(a, a)} - {s(a, 'g')} * {s(a, b)}) / {det}"
+        else:
+            fa, fb = f"{s(a, 'g')} / {s(a, a)}", "0.0"
+        out[f"{name}_b"] = f"select unit, o, {fa} as fa, {fb} as fb, {s('g', 'g')} as yy, {s(a, 'g')} as ya, {s(b or a, 'g')} as yb from {clean} group by 1, 2"
+        mean_b = f"avg({b})" if b else "0"
+        out[f"{name}_m"] = f"select unit, o, avg(g) as my, avg({a}) as ma, {mean_b} as mb, count(*) as n from ge where i >= {start} group by 1, 2"
+        f1, f2 = ("fa" if p else "0.0"), ("fb" if p == 2 else "0.0")
+        th = ("fb" if p else "fa") if q else "0.0"
+        fits.append(
+            f"select unit, o, '{name}' as model, my - fa * ma - fb * mb as c, {f1} as f1, {f2} as f2, {th} as th, "
+            f"(yy - fa * ya - fb * yb) / (n - {1 + p + q + len(OUTLIERS)}) as s2 from {name}_b join {name}_m using (unit, o)"
+        )
+    out["fits"] = " union all ".join(fits)
+    out["ends"] = f"select f.*, e.v, e.g as h0, e.g1 as h1, e.g - c - f1 * e.g1 - f2 * e.g2 - th * e.e1 as eps from fits f join ge e on e.unit = f.unit and e.o = f.o and e.t = f.o - 1 where i + 2 >= {P.MIN_TRAIN}"
+    out["m1"] = "select *, c + f1 * h0 + f2 * h1 + th * eps as a1, f1 + th as w1 from ends"
+    out["m2"] = "select *, c + f1 * a1 + f2 * h0 as a2, f1 * w1 + f2 as w2 from m1"
+    out["m3"] = "select *, c + f1 * a2 + f2 * a1 as a3 from m2"
+    out["af"] = """select unit, o::int as origin, model, h::int as h, v + a1 + if(h > 1, a2, 0) + if(h > 2, a3, 0) as mean,
+    s2 * (1 + if(h > 1, pow(1 + w1, 2), 0) + if(h > 2, pow(1 + w1 + w2, 2), 0)) as var_level,
+    s2 * (1 + if(h > 1, w1 * w1, 0) + if(h > 2, w2 * w2, 0)) as var_growth from m3, range(1, 4) hh(h)"""
+    return {"lv": _LV["lv"]} | out
+
+
+@query(
+    "fc_arma",
+    _sql(_arma_ctes(f"select {_LAST} + 1"), "select unit, model, h, mean, var_level, var_growth from af"),
+    **_F9,
+)
 def fc_arma(spark, d):
     """The four orders with declared outliers, conditional least squares per unit."""
-    f = P.arma_forecasts(levels(spark, d), HORIZON, OUTLIERS)
-    return f.select("unit", "model", "h", *[F.round(c, 8).alias(c) for c in ("mean", "var_level", "var_growth")])
+    return P.arma_forecasts(levels(spark, d), HORIZON, OUTLIERS).drop("origin")
 
 
 @query(
@@ -195,13 +260,23 @@ def rolling_origin(spark, d):
     return detail(spark, d)
 
 
-@query("rolling_origin_arma")
+@query(
+    "rolling_origin_arma",
+    _sql(
+        _arma_ctes(f"select unnest(range({FIRST_ORIGIN}, {_LAST} + 1))"),
+        """select a.unit, origin, model, l.v as real, mean as forecast, var_level as variance, (mean - l.v) * 100 as error
+        from af a join lv l on l.unit = a.unit and l.t = origin where h = 1""",
+    ),
+    real=7,
+    forecast=7,
+    variance=7,
+    error=6,
+)
 def rolling_origin_arma(spark, d):
     """The moving-average specifications at every origin, refitted each time."""
     s = settle(levels(spark, d), "levels")
     f = P.arma_forecasts(s, 1, OUTLIERS, list(range(FIRST_ORIGIN, last_quarter(spark, d) + 1)))
-    out = P.backtest_detail(f, s, 1)
-    return out.withColumns({c: F.round(c, 7) for c in ("real", "forecast", "variance", "error")})
+    return P.backtest_detail(f, s, 1)
 
 
 @query(
