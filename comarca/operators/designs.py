@@ -25,6 +25,7 @@ from comarca.operators.gram import (
     unit_demean,
 )
 from comarca.operators.inference import permuted
+from comarca.operators.replicas import SENT_CELLS, joined_moran, sent_moran
 from comarca.session import settle
 
 
@@ -38,39 +39,48 @@ def residuals(df: DataFrame, y: str, xs: list[str], *, time_effects: bool = True
 def leave_one_out(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     """(unit, coef of the first regressor) without each unit: totals minus the unit's own products.
 
-    Leaving a unit out changes the period means, so the period equations lose its share as well. The
-    totals are a few numbers; each unit's fit is a small solve on its own row.
+    Leaving a unit out changes the period means, so the period equations lose its share as well: with U the unit's
+    centred period indicators, (M - UU')^+ acts on what is left as P + PU (I - U'PU)^+ U'P, P being the inverse of
+    the whole. P is computed once; units with the same periods share U, and all that a batch has of them are solved
+    together, at a cost of their periods squared. Null where the fit without the unit has no solution.
     """
     cols = [y, *xs]
-    k = len(xs)
+    k = len(cols)
     dev = settle(unit_demean(df.select("unit", "year", *cols).dropna(subset=cols), cols, "unit", []), "leave")
     eq = period_equations(dev.withColumn("_g", F.lit(0)), cols, "unit", "year", ["_g"], None).first()
     times, normal, sums = equations(eq["_cells"])
     at = {t: i for i, t in enumerate(times)}
-    flat = dev.agg(F.array(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in pairs(k + 1)])).first()[0]
-    gram = _symmetric(flat, k + 1)
+    flat = dev.agg(F.array(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in pairs(k)])).first()[0]
+    gram, inverse = _symmetric(flat, k), np.linalg.pinv(normal, rcond=1e-12)
 
     @F.pandas_udf(T.DoubleType())
-    def without(own: pd.Series, rows: pd.Series) -> pd.Series:
-        out = []
-        for m, path in zip(own, rows, strict=True):
-            t = [at[r["year"]] for r in path]
-            d = np.zeros((len(times), len(times)))
-            d[np.ix_(t, t)] = np.eye(len(t)) - 1 / len(t)
-            s = sums.copy()
-            s[t] -= np.array([r["v"] for r in path], float)
-            g = gram - _symmetric(np.asarray(m, float), k + 1) - s.T @ np.linalg.pinv(normal - d, rcond=1e-12) @ s
-            try:
-                out.append(float(np.linalg.solve(g[1:, 1:], g[1:, 0])[0]))
-            except np.linalg.LinAlgError:
-                out.append(None)
-        return pd.Series(out)
-
-    path = dev.groupBy("unit").agg(
-        F.array(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in pairs(k + 1)]).alias("m"),
-        F.collect_list(F.struct("year", F.array(*cols).alias("v"))).alias("path"),
-    )
-    return path.select("unit", without("m", "path").alias("coef"))
+    def without(rows: pd.Series) -> pd.Series:
+        alike: dict[tuple, list[int]] = {}
+        values = []
+        for u, path in enumerate(rows):
+            path = sorted(path, key=lambda r: r["year"])
+            alike.setdefault(tuple(at[r["year"]] for r in path), []).append(u)
+            values.append([r["v"] for r in path])
+        out = np.full(len(rows), np.nan)
+        for seen, units in alike.items():
+            t, v = list(seen), np.array([values[u] for u in units], float)  # units x periods x columns
+            centre = np.eye(len(t)) - 1 / len(t)
+            bend = np.linalg.pinv(np.eye(len(t)) - centre @ inverse[np.ix_(t, t)] @ centre, rcond=1e-10, hermitian=True)
+            s = np.repeat(sums[None], len(units), 0)
+            s[:, t] -= v
+            held = inverse @ s
+            swept = centre @ held[:, t]
+            g = gram - v.swapaxes(1, 2) @ v - s.swapaxes(1, 2) @ held - swept.swapaxes(1, 2) @ bend @ swept
+            for u, m in zip(units, g, strict=True):
+                scale = np.sqrt(np.clip(np.diag(m)[1:], 0, None))
+                if (scale > 1e-9 * np.sqrt(np.clip(np.diag(gram)[1:], 0, None))).all():
+                    unit = m[1:, 1:] / np.outer(scale, scale)
+                    if np.linalg.eigvalsh(unit)[0] > 1e-10:
+                        out[u] = np.linalg.solve(unit, m[1:, 0] / scale)[0] / scale[0]
+        return pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+    path = dev.groupBy("unit").agg(F.collect_list(F.struct("year", F.array(*cols).alias("v"))).alias("path"))
+    return path.select("unit", without("path").alias("coef"))
 
 
 def influence_weights(df: DataFrame, x: str, controls: list[str]) -> DataFrame:
@@ -130,30 +140,33 @@ def standardized(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.withColumn("_st", stats).withColumn(name, (F.col(column) - F.col("_st.m")) / F.col("_st.s")).drop("_st")
 
 
-def moran(z: DataFrame, edges: DataFrame, *, value: str = "z", replicas: int = 999, seed: int = 13) -> DataFrame:
-    """(year, i, p, n): spatial autocorrelation with permutation inference.
+def moran(
+    z: DataFrame, edges: DataFrame, *, value: str = "z", replicas: int = 999, seed: int = 13, scope: list[str] | None = None
+) -> DataFrame:
+    """(scope, year, i, p, n, expected): spatial autocorrelation with permutation inference.
 
-    ``z`` has (unit, year, value); ``edges`` has (unit, neighbour, weight). Values are permuted among
-    the units observed in the year.
+    ``z`` has (scope..., unit, year, value); ``edges`` has (unit, neighbour, weight). Values are permuted among
+    the units observed in the year. The edges are walked once for all replicas: values and edges of up to SENT_CELLS
+    numbers are sent to the tasks, larger ones are joined with each unit's values of all replicas in one array.
     """
+    keys = [*(scope or []), "year"]
     seen = z.dropna(subset=[value])
-    mean = seen.groupBy("year").agg(F.avg(value).alias("_m"))
-    dev = settle(seen.join(mean, "year").select("unit", "year", (F.col(value) - F.col("_m")).alias("v")), "moran")
-    base = dev.groupBy("year").agg(F.sum(F.col("v") * F.col("v")).alias("ss"), F.count("*").alias("n"))
-
-    def cross(values: DataFrame, keys: list[str]) -> DataFrame:
-        left = edges.join(values, "unit")
-        right = values.select(*keys, F.col("unit").alias("neighbour"), F.col("v").alias("v2"))
-        return left.join(right, [*keys, "neighbour"]).groupBy(*keys).agg(
-            F.sum(F.col("weight") * F.col("v") * F.col("v2")).alias("c")
-        )
-
-    seen_i = cross(dev, ["year"]).join(base, "year").select("year", (F.col("c") / F.nullif("ss", F.lit(0.0))).alias("i"), "n")
-    shuffled = permuted(dev, "v", "unit", ["year"], replicas, seed)
-    nulls = cross(shuffled, ["r", "year"]).join(base.select("year", "ss"), "year").join(seen_i.select("year", "i"), "year")
-    hit = F.abs(F.col("c") / F.nullif("ss", F.lit(0.0))) >= F.abs("i") - 1e-12
-    p = nulls.groupBy("year").agg(((F.count_if(hit) + 1) / (F.count("*") + 1)).alias("p"))
-    return seen_i.join(p, "year").withColumn("expected", -1 / (F.col("n") - 1))
+    mean = seen.groupBy(*keys).agg(F.avg(value).alias("_m"))
+    dev = settle(seen.join(mean, keys).select(*keys, "unit", (F.col(value) - F.col("_m")).alias("v")), "moran")
+    base = dev.groupBy(*keys).agg(F.sum(F.col("v") * F.col("v")).alias("ss"), F.count("*").alias("n"))
+    if dev.count() + 3 * edges.count() <= SENT_CELLS:
+        found = sent_moran(dev, edges, keys, replicas, seed)
+    else:
+        moved = permuted(dev, "v", "unit", keys, replicas, seed, ["year"]).unionByName(dev.withColumn("r", F.lit(0)))
+        listed = F.transform(F.sort_array(F.collect_list(F.struct("r", "v"))), lambda s: s["v"])
+        found = joined_moran(moved.groupBy(*keys, "unit").agg(listed.alias("vs")), edges, keys, replicas)
+    i = F.col("c") / F.nullif("ss", F.lit(0.0))
+    scaled = settle(found, "moran-replicas").join(base, keys).withColumn("i", i)
+    own = scaled.filter("r = 0").select(*keys, "i", "n")
+    hit = F.abs("_i") >= F.abs("i") - 1e-12
+    drawn = scaled.filter("r > 0").select(*keys, F.col("i").alias("_i")).join(own, keys)
+    p = drawn.groupBy(*keys).agg(((F.count_if(hit) + 1) / (F.count("*") + 1)).alias("p"))
+    return own.join(p, keys).withColumn("expected", -1 / (F.col("n") - 1))
 
 
 def pesaran_cd(e: DataFrame, value: str = "e", min_common: int = 3) -> DataFrame:

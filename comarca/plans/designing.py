@@ -302,11 +302,11 @@ def _moran_sql() -> str:
 @query("moran_i", _moran_sql(), i=7, p=6, expected=9)
 def moran_i(spark, d):
     """Spatial autocorrelation per year of the raw growth and of the residuals."""
-    p = frame(spark, d)
+    p = settle(frame(spark, d), "panel")
     edges = settle(S.row_normalized(ring(spark, d)), "edges")
-    raw = D.moran(p.select("unit", "year", F.col("y").alias("z")), edges).withColumn("what", F.lit("raw"))
-    res = D.residuals(p, "y", X3).withColumnRenamed("e", "z")
-    return raw.unionByName(D.moran(res, edges).withColumn("what", F.lit("residual")))
+    raw = p.select(F.lit("raw").alias("what"), "unit", "year", F.col("y").alias("z"))
+    res = D.residuals(p, "y", X3).select(F.lit("residual").alias("what"), "unit", "year", F.col("e").alias("z"))
+    return D.moran(raw.unionByName(res), edges, scope=["what"])
 
 
 _GAPS = "not (unit < 5 and year = 1996) and not (unit = 7 and year >= 1999) and not (unit = 9 and year <> 1998)"

@@ -383,7 +383,7 @@ _YEARLY = """select a.r, a.unit, a.year, b.x, p.y from
 
 
 def _placebo(spark, d, mode):
-    p = frame(spark, d)
+    p = settle(frame(spark, d), "panel")
     seen = G.fe_table(p, "y", ["x"]).first()["beta"][0]
     return I.placebo_summary(I.placebo(p, "y", "x", [], mode=mode, replicas=499), seen)
 
