@@ -29,6 +29,23 @@ def _expanding(unit: str, time: str):
     return Window.partitionBy(unit).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def require_complete(panel: DataFrame, unit: str, time: str, value: str) -> DataFrame:
+    """The panel, whose ``value`` is an error if a unit and period repeats, or if one is absent or has no value.
+
+    Forecasts need a complete panel: a hole is not a zero, and a repeated row would be a level nobody published.
+    """
+    cells = panel.groupBy(unit, time).agg(F.count("*").alias("_n"), F.count(value).alias("_v"))
+    facts = cells.agg(
+        (F.countDistinct(unit) * F.countDistinct(time) - F.count_if(F.col("_v") > 0)).alias("holes"),
+        F.count_if(F.col("_n") > 1).alias("repeats"),
+    )
+    state = facts.select(F.struct("holes", "repeats")).scalar()
+    told = F.concat(F.lit("the panel has "), state["holes"].cast("string"), F.lit(" holes and "), state["repeats"].cast("string"), F.lit(" repeated rows"))
+    kind = dict(panel.dtypes)[value]
+    whole = (state["holes"] == 0) & (state["repeats"] == 0)
+    return panel.withColumn(value, F.when(whole, F.col(value)).otherwise(F.raise_error(told).cast(kind)))
+
+
 def training_states(series: DataFrame, value: str = "log_level", unit: str = "unit", time: str = "t") -> DataFrame:
     """One row per unit and origin (= last seen period + 1) with everything simple models need.
 

@@ -55,26 +55,40 @@ def arc_id(arc: Column) -> Column:
     return F.when(arc < 0, -arc - 1).otherwise(arc)
 
 
-def shared_boundary_edges(shapes: DataFrame, unit: str, arcs: str) -> DataFrame:
-    """Directed edges between units that share an arc.
+#: Holders of one arc up to which its pairs are written out.
+CROWD = 64
+
+
+def boundary_classes(shapes: DataFrame, unit: str, arcs: str, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """(edges, members): directed edges over arcs of up to ``crowd`` holders, and the holders of the other arcs.
 
-    In a planar map an arc borders at most two units, so its smallest and largest holder name the
-    edge and no pair is ever enumerated. Arcs with more holders (a faulty map) take the exact way:
-    each further holder is linked by a join on the arc, only for those arcs.
+    In a planar map an arc borders at most two units, so its smallest and largest holder name the edge and no pair is
+    ever enumerated. Arcs with a few more (a faulty map) are joined to themselves. An arc with more than ``crowd``
+    holders is a class: members has one row (class, unit) per holder, and every two members of a class are
+    neighbours, without a row for each of them. Together they lose no edge; ``shared_boundary_edges`` expands the
+    classes and ``class_lag`` sums over them without doing so.
     """
     held = shapes.select(unit, F.explode(arcs).alias("_arc")).select(unit, arc_id(F.col("_arc")).alias("_arc")).distinct()
     ends = held.groupBy("_arc").agg(
         F.min(unit).alias("_a"), F.max(unit).alias("_b"), F.count("*").alias("_n")
     )
     planar = ends.filter("_n = 2").select("_a", "_b")
-    crowded = held.join(ends.filter("_n > 2").select("_arc"), "_arc", "left_semi")
-    faulty = (
-        crowded.select("_arc", F.col(unit).alias("_a"))
-        .join(crowded.select("_arc", F.col(unit).alias("_b")), "_arc")
+    several = held.join(ends.filter(f"_n > 2 and _n <= {crowd}").select("_arc"), "_arc", "left_semi")
+    pairs = planar.unionByName(_pairs(several, "_arc", unit)).distinct()
+    members = held.join(ends.filter(f"_n > {crowd}").select("_arc"), "_arc", "left_semi")
+    return _both_ways(pairs, unit), members.select(F.col("_arc").alias("class"), unit)
+
+
+def _pairs(members: DataFrame, by: str, unit: str) -> DataFrame:
+    return (
+        members.select(by, F.col(unit).alias("_a"))
+        .join(members.select(by, F.col(unit).alias("_b")), by)
         .filter("_a < _b")
         .select("_a", "_b")
     )
-    pairs = planar.unionByName(faulty).distinct()
+
+
+def _both_ways(pairs: DataFrame, unit: str) -> DataFrame:
     both = F.array(
         F.struct(F.col("_a").alias(unit), F.col("_b").alias("neighbour")),
         F.struct(F.col("_b").alias(unit), F.col("_a").alias("neighbour")),
@@ -82,6 +96,58 @@ def shared_boundary_edges(shapes: DataFrame, unit: str, arcs: str) -> DataFrame:
     return pairs.select(F.inline(both))
 
 
+def shared_boundary_edges(shapes: DataFrame, unit: str, arcs: str) -> DataFrame:
+    """Directed edges between units that share an arc, every pair written out; see ``boundary_classes``."""
+    edges, members = boundary_classes(shapes, unit, arcs)
+    return edges.unionByName(_both_ways(_pairs(members, "class", unit), unit)).distinct()
+
+
+def _sets(members: DataFrame, unit: str) -> tuple[DataFrame, DataFrame]:
+    """(unit, _in): the classes of each unit; (_in, _other): the sets of classes that share one, themselves included.
+
+    Units with the same classes have the same neighbours in them, so sets of classes meet, not units.
+    """
+    sets = members.groupBy(unit).agg(F.sort_array(F.collect_set("class")).alias("_in"))
+    each = sets.select("_in").distinct().select("_in", F.explode("_in").alias("class"))
+    met = each.join(each.withColumnRenamed("_in", "_other"), "class").select("_in", "_other").distinct()
+    return sets, met
+
+
+def class_lag(
+    panel: DataFrame, edges: DataFrame, members: DataFrame, value: str, name: str, unit: str = "unit", time: str = "year"
+) -> DataFrame:
+    """(unit, time, name, neighbours): mean over, and number of, the neighbours observed in the period.
+
+    As the mean over the edges of ``shared_boundary_edges``, without a row for the pairs of a class: values are summed
+    by set of classes and period, a unit takes its own value off, and an edge between members of a class counts once.
+    """
+    sets, met = _sets(members, unit)
+    seen = panel.select(unit, time, F.col(value).alias("_v")).dropna(subset=["_v"])
+    inside = seen.join(sets, unit)
+    sums = inside.groupBy("_in", time).agg(F.sum("_v").alias("_s"), F.count("*").alias("_n"))
+    around = (
+        met.join(sums.withColumnRenamed("_in", "_other"), "_other")
+        .groupBy("_in", time)
+        .agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    )
+    own = inside.select(unit, time, F.col("_v").alias("_own"))
+    crowd = sets.join(around, "_in").join(own, [unit, time], "left").select(
+        unit, time,
+        (F.col("_s") - F.coalesce("_own", F.lit(0.0))).alias("_s"),
+        (F.col("_n") - F.col("_own").isNotNull().cast("long")).alias("_n"),
+    )
+    there = sets.select(F.col(unit).alias("neighbour"), F.col("_in").alias("_there"))
+    apart = edges.join(sets, unit, "left").join(there, "neighbour", "left")
+    apart = apart.filter(~F.coalesce(F.arrays_overlap("_in", "_there"), F.lit(False))).select(unit, "neighbour")
+    single = (
+        apart.join(seen.withColumnRenamed(unit, "neighbour"), "neighbour")
+        .groupBy(unit, time)
+        .agg(F.sum("_v").alias("_s"), F.count("*").alias("_n"))
+    )
+    both = crowd.unionByName(single).groupBy(unit, time).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("neighbours"))
+    return both.filter("neighbours > 0").select(unit, time, (F.col("_s") / F.col("neighbours")).alias(name), "neighbours")
+
+
 def row_normalized(edges: DataFrame, unit: str = "unit") -> DataFrame:
     """Weights 1/degree; a unit without neighbours has no row, so it gets no invented one."""
     return edges.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy(unit)))

@@ -13,6 +13,7 @@ from comarca.operators.ranking import exact_quantiles
 from comarca.plans.base import INHABITANTS, moves, population, quarterly, table, with_ctes
 from comarca.plans.catalog import query
 from comarca.session import settle
+from comarca.sources.ingest import table_fingerprint
 
 # Fixed values of the analogue: period numbers, horizon, declared outliers and the anchor paths.
 HORIZON = 3
@@ -528,21 +529,38 @@ def interval_width(spark, d):
     "panel_with_vintage",
     with_ctes("moves")
     + """, u as (select count(distinct unit) as all_units from moves), c as (select year, count(distinct unit) as units, sum(amount) as total from moves group by 1),
-    m as (select year, status, row_number() over (partition by year order by count(*) desc, status) as r from moves group by 1, 2)
-    select year, units, all_units - units as holes, ln(total) as log_total, status from c join m using (year), u where r = 1""",
+    m as (select year, status, row_number() over (partition by year order by count(*) desc, status) as r from moves group by 1, 2),
+    tx as (select concat_ws('|', coalesce(length(k) || ':' || k, '-'), coalesce(length(dy) || ':' || dy, '-'), coalesce(length(status) || ':' || status, '-'), coalesce(length(v) || ':' || v, '-')) as row
+      from (select o_orderkey::varchar as k, o_orderdate::date::varchar as dy, o_orderstatus as status, o_totalprice::decimal(18, 2)::varchar as v from orders)),
+    sm as (select count(*) as n, sum(('0x' || substr(md5(row), 1, 16))::ubigint::hugeint) % 18446744073709551616::hugeint as a,
+      sum(('0x' || substr(md5(row), 17, 16))::ubigint::hugeint) % 18446744073709551616::hugeint as b from tx)
+    select year, units, all_units - units as holes, ln(total) as log_total, status, n as source_rows,
+    lpad(lower(to_hex(a::ubigint)), 16, '0') || lpad(lower(to_hex(b::ubigint)), 16, '0') as source_hash from c join m using (year), u, sm where r = 1""",
     log_total=9,
 )
 def panel_with_vintage(spark, d):
-    """Year by year: units, holes against the full panel, and the most frequent status."""
+    """Year by year: units, holes against the full panel and the most frequent status, with the hash of the source.
+
+    A panel of units and years with a hole or a repeated row is refused.
+    """
     m = moves(spark, d)
-    counts = m.groupBy("year", "status").agg(F.count("*").alias("n"), F.sum("amount").alias("v"))
-    mode = counts.groupBy("year").agg(
-        F.min_by("status", F.struct(-F.col("n"), F.col("status"))).alias("status"), F.sum("v").alias("total")
-    )
-    seen = m.groupBy("year").agg(F.countDistinct("unit").alias("units"))
+    cells = m.groupBy("unit", "year").agg(F.sum("amount").alias("v"))
+    per_year = P.require_complete(cells, "unit", "year", "v").groupBy("year").agg(F.count("*").alias("units"), F.sum("v").alias("total"))
+    counts = m.groupBy("year", "status").agg(F.count("*").alias("n"))
+    mode = counts.groupBy("year").agg(F.min_by("status", F.struct(-F.col("n"), F.col("status"))).alias("status"))
     everyone = m.agg(F.countDistinct("unit")).scalar()
-    return mode.join(seen, "year").select(
-        "year", "units", (everyone - F.col("units")).alias("holes"), F.ln("total").alias("log_total"), "status"
+    source = table(spark, d, "orders").select(
+        "o_orderkey", F.to_date("o_orderdate").alias("day"), "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("price")
+    )
+    hashed = table_fingerprint(source, ["o_orderkey", "day", "o_orderstatus", "price"]).select(F.struct("rows", "fingerprint")).scalar()
+    return mode.join(per_year, "year").select(
+        "year",
+        "units",
+        (everyone - F.col("units")).alias("holes"),
+        F.ln("total").alias("log_total"),
+        "status",
+        hashed["rows"].alias("source_rows"),
+        hashed["fingerprint"].alias("source_hash"),
     )
 
 

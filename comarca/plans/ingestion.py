@@ -162,13 +162,7 @@ def file_checksum_audit(spark, d):
     """Files of a written source against a manifest with one stale hash per year and a lost file."""
     path = scratch(spark, "audited")
     I.write_partitioned(table(spark, d, "orders"), path, "o_orderdate")
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet")
-        .load(path)
-        .select("path", F.sha2("content", 256).alias("sha256"))
-    )
+    files = I.file_digests(spark, path)
     relative = F.regexp_extract("path", "(anio=.*)$", 1)
     stale = F.col("path").contains("anio=1999")
     manifest = files.select(

@@ -27,10 +27,8 @@ def stream_annualize(spark, d):
     stream = S.file_stream(spark, landing, "unit long, ts timestamp_ntz, value double", 2)
     stream = stream.withColumn("day", F.to_date("ts"))
     quarter = F.floor(F.hour("ts") / 6).cast("int") + 1
-    S.annualize_stream(stream, ["unit", "day"], quarter, "value", target, mark).awaitTermination()
-    return S.latest_state(
-        spark, target, "unit long, day date, quarters long, flow double, stock double", ["unit", "day"]
-    )
+    S.annualize_stream(stream, ["unit", "day"], "day", quarter, "value", target, mark).awaitTermination()
+    return S.read_annual(spark, target, "unit long, day date", ["unit", "day"])
 
 
 @query(
@@ -72,5 +70,5 @@ def stream_upsert_current(spark, d):
     schema = "source_id string, pull_id string, pulled_at int, o_orderkey long, o_totalprice double"
     keys = ("source_id", "pull_id", "pulled_at")
     S.upsert_current(S.file_stream(spark, landing, schema, 1), *keys, target, mark).awaitTermination()
-    current = S.read_current(spark, target, schema, *keys)
+    current = S.read_current(spark, target, schema)
     return current.groupBy("source_id", "pull_id").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comarca.functions.numeric import clean_double, is_distinct
+from comarca.session import settle
 
 UNDATED = "sin_fecha"
 
@@ -83,23 +87,90 @@ def with_current_flag(records: DataFrame, source: str, pull: str, order: str) ->
     return records.join(newest, source).withColumn("is_current", F.col(pull) == F.col("_newest")).drop("_newest")
 
 
+#: Read settings under which every file is one partition of its own, uncut: 16 TB a file, half a million files.
+WHOLE_FILES = {
+    "spark.sql.files.maxPartitionBytes": str(1 << 44),
+    "spark.sql.files.openCostInBytes": str(1 << 44),
+    "spark.sql.files.minPartitionNum": "1",
+}
+MARK = b"\xef\xbb\xbf"  # a byte order mark, which the line reader leaves out at the start of a file
+
+
+def file_digests(spark: SparkSession, root: str) -> DataFrame:
+    """path, length, sha256 of every file below root, hashed in blocks by the executors.
+
+    A file is read by Spark's line reader, cut at newline bytes only, and its lines are hashed with the newlines put
+    back: a task holds one batch of lines, whatever the size of the file (2 GB without a newline byte are too long for
+    a line). The length that the file system tells is held against the bytes hashed, which also shows whether a
+    newline ends the file and whether a byte order mark was left out; a file that fits neither way is an error.
+    Names that begin with a dot or underscore are not read.
+    """
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(root)
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}  # path: bytes so far, size, digest, digest with a mark in front
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            sizes, bodies = batch.column(1), batch.column(2)
+            cuts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]] + [len(ids)]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                known = held.setdefault(ids[start], [-1, sizes[start].as_py(), hashlib.sha256(), hashlib.sha256(MARK)])
+                block = b"\n".join(bodies.slice(start, end - start).to_pylist())
+                block = b"\n" + block if known[0] >= 0 else block
+                known[0] = max(known[0], 0) + len(block)
+                known[2].update(block)
+                known[3].update(block)
+        rows = []
+        for path, (n, size, plain, marked) in held.items():
+            chosen = marked if size - n in (3, 4) else plain
+            if size - n in (1, 4):
+                chosen.update(b"\n")
+            elif size - n not in (0, 3):
+                raise ValueError(f"{path}: {n} bytes read of {size}")
+            rows.append((path, chosen.hexdigest()))
+        columns = list(zip(*rows, strict=True)) if rows else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "sha256"])
+
+    before = {name: spark.conf.get(name, None) for name in WHOLE_FILES}
+    try:
+        for name, value in WHOLE_FILES.items():
+            spark.conf.set(name, value)
+        hashed = settle(lines.mapInArrow(run, "path string, sha256 string"), "digests")  # read under these settings
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    files = spark.createDataFrame(list(_files(spark, root)), "path string, length long")
+    decoded = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    joined = files.join(hashed.withColumn("path", decoded), "path", "left")
+    bare = {0: b"", len(MARK): MARK}  # files without a line
+    digest = F.col("sha256")
+    for size, body in bare.items():
+        digest = F.when(F.col("length") == size, F.coalesce("sha256", F.lit(hashlib.sha256(body).hexdigest()))).otherwise(digest)
+    return joined.select("path", "length", digest.alias("sha256"))
+
+
+def _files(spark: SparkSession, root: str) -> Iterator[tuple[str, int]]:
+    """Names and lengths of the files below root, as the file system lists them."""
+    context = spark.sparkContext
+    top = context._jvm.org.apache.hadoop.fs.Path(root)
+    found = top.getFileSystem(context._jsc.hadoopConfiguration()).listFiles(top, True)
+    while found.hasNext():
+        file = found.next()
+        if not file.getPath().getName().startswith((".", "_")):
+            yield re.sub("^file:/+", "/", file.getPath().toString()), file.getLen()
+
+
 def checksum_audit(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
     """Files of the manifest that are missing or whose content hash changed.
 
-    Files are hashed by the executors, one task per group of files. ``path`` in the manifest is
-    relative to ``root``.
+    ``path`` in the manifest is relative to ``root``.
     """
-    base = root.rstrip("/") + "/"
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select(
-            F.regexp_replace(F.col("path"), "^file:/+", "/").alias("_abs"),
-            F.sha2(F.col("content"), 256).alias("_sha"),
-        )
-        .withColumn("path", F.replace(F.col("_abs"), F.lit(base), F.lit("")))
-        .drop("_abs")
+    base = re.sub("^file:/+", "/", root).rstrip("/") + "/"
+    files = file_digests(spark, root).select(
+        F.replace(F.col("path"), F.lit(base), F.lit("")).alias("path"), F.col("sha256").alias("_sha")
     )
     problem = F.when(F.col("_sha").isNull(), F.lit("missing")).when(
         F.col("_sha") != F.col("sha256"), F.lit("changed")
@@ -110,6 +181,25 @@ def checksum_audit(spark: SparkSession, manifest: DataFrame, root: str) -> DataF
     )
 
 
+def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
+    """rows, fingerprint: a 128-bit hash of the rows as a set with repeats, whatever their order or partitioning.
+
+    A row's columns are written as text with their lengths, so that no two rows look alike; null is different from
+    every text. Its md5 is cut into two 64-bit numbers, which are added up modulo 2^64 over all rows. Columns must
+    have a stable text: decimals instead of doubles.
+    """
+    text = [F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in (F.col(c).cast("string") for c in columns)]
+    row = F.md5(F.encode(F.concat_ws("|", *text), "UTF-8"))
+    half = lambda at: F.conv(F.substring(row, at, 16), 16, 10).cast("decimal(20,0)")
+    wrapped = lambda c: F.lpad(F.lower(F.conv((F.col(c) % F.lit("18446744073709551616").cast("decimal(20,0)")).cast("string"), 10, 16)), 16, "0")
+    sums = df.select(half(1).alias("a"), half(17).alias("b")).agg(
+        F.count("*").alias("rows"),
+        F.coalesce(F.sum(F.col("a").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("a"),
+        F.coalesce(F.sum(F.col("b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("b"),
+    )
+    return sums.select("rows", F.concat(wrapped("a"), wrapped("b")).alias("fingerprint"))
+
+
 def load_by_name(*parts: DataFrame) -> DataFrame:
     """Union matched by column name, case-insensitively; a column absent from a part is NULL there."""
     first = parts[0]

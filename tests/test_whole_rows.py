@@ -34,7 +34,7 @@ def test_the_newest_pull_is_newest_by_time(spark):
     for rows in ([("a", "p9", 9, 1), ("b", "p1", 1, 5)], [("a", "p10", 10, 2), ("a", "p10", 10, 3)], [("a", "p2", 2, 4)]):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(landing)
         S.upsert_current(S.file_stream(spark, landing, schema, 1), "source", "pull", "at", target, mark).awaitTermination()
-    got = S.read_current(spark, target, schema, "source", "pull", "at").select("source", "pull", "v").collect()
+    got = S.read_current(spark, target, schema).select("source", "pull", "v").collect()
     assert sorted(map(tuple, got)) == [("a", "p10", 2), ("a", "p10", 3), ("b", "p1", 5)]
 
 
