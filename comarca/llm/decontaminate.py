@@ -1,9 +1,10 @@
 """Benchmark decontamination over a positional inverted index, in DataFrame operations only.
 
-Benchmark items are cut into phrases (windows). Their terms are counted over the whole training text; the two
-rarest terms of a phrase are its anchors. The index stores the postings (term, doc_id, row, position) of every
-anchor. Postings moved back by the anchor's place in the phrase are starts; starts that both anchors share,
-and whose surrounding words equal the phrase, are its occurrences.
+Every text is cut into words once; a written table holds the 64-bit hashes of each text's words in order. Benchmark
+items are cut into phrases (windows). Their terms are counted over all texts; the two rarest terms of a phrase are
+its anchors. The index stores the postings (term, doc_id, row, position, words beside it) of every anchor. Postings
+moved back by the anchor's place in the phrase are starts; on starts that both anchors share the whole phrase is
+held against the text. Words are told apart by their hashes.
 """
 
 from __future__ import annotations
@@ -27,18 +28,29 @@ def lowered(words: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """The words as they stand; compared by their folded form first, exactly where that agrees."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def term(word: Column) -> Column:
+    """The hash of a word with A-Z lower-cased; the faster function does so in words of ASCII alone."""
+    plain = F.octet_length(word) == F.char_length(word)
+    return F.xxhash64(F.when(plain, F.lower(word)).otherwise(lowered(word)))
+
+
+def tokens_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, n_words, terms) of every text, written. row is a hash of the text."""
+    cut = docs.select("doc_id", F.xxhash64("text").alias("row"), F.transform(words_of(F.col("text")), term).alias("terms"))
+    return settle(cut.select("doc_id", "row", F.size("terms").cast("long").alias("n_words"), "terms"), "tokens")
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """A frame to be broadcast if its counted rows are within the bound."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def phrases(items: DataFrame, words: int = WORDS) -> DataFrame:
-    """(phrase, item_id): windows of `words` words, or the whole of a shorter item, as lower-case arrays."""
-    body = items.select("item_id", words_of(lowered(F.col("text"))).alias("words")).where(F.size("words") > 0)
+    """(phrase, item_id): windows of `words` words, or the whole of a shorter item, as arrays of terms."""
+    body = items.select("item_id", F.transform(words_of(F.col("text")), term).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (words - 1), F.lit(1)))
     return (
         body.select("item_id", "words", F.explode(starts).alias("start"))
@@ -47,15 +59,19 @@ def phrases(items: DataFrame, words: int = WORDS) -> DataFrame:
     )
 
 
+def frequency_of(tokens: DataFrame, vocabulary: DataFrame, n_terms: int) -> DataFrame:
+    """(term, n): how often each term of the vocabulary stands in all texts."""
+    every = tokens.select(F.explode("terms").alias("term"))
+    return every.join(bounded(vocabulary, n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+
+
 def anchored(spans: DataFrame, frequency: DataFrame) -> DataFrame:
     """For each phrase its two rarest terms with their places; a phrase of one term has one anchor.
 
     spans has phrase_id, phrase; frequency has term, n. A phrase with a term that is nowhere cannot occur and
     is left out.
     """
-    terms = spans.select("phrase_id", F.posexplode("phrase").alias("place", "word")).withColumn(
-        "term", F.lower("word")
-    )
+    terms = spans.select("phrase_id", F.posexplode("phrase").alias("place", "term"))
     known = terms.join(frequency, "term", "left")
     absent = known.where("n is null").select("phrase_id").distinct()
     order = Window.partitionBy("phrase_id").orderBy("n", "term", "place")
@@ -69,8 +85,8 @@ def anchored(spans: DataFrame, frequency: DataFrame) -> DataFrame:
     return rarest.select("phrase_id", "term", "place", "rank")
 
 
-def occurrences(docs: DataFrame, items: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, row, start, length, phrase_id, items) of every occurrence of a phrase in a text.
+def occurrences(tokens: DataFrame, items: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, row, start, length, phrase_id, items) of every occurrence of a phrase in a text of ``tokens_of``.
 
     row is a hash of the text, which tells different texts of one doc_id apart.
     """
@@ -82,63 +98,60 @@ def occurrences(docs: DataFrame, items: DataFrame, words: int = WORDS) -> DataFr
         "phrases",
     )
     spans = held.select("phrase_id", "phrase")
-    terms = spans.select(F.explode("phrase").alias("word")).select(F.lower("word").alias("term")).distinct()
-    vocabulary = settle(terms, "terms")
+    vocabulary = settle(spans.select(F.explode("phrase").alias("term")).distinct(), "terms")
     n_terms = vocabulary.count()
-    tokens = docs.select(F.explode(words_of(F.col("text"))).alias("word")).select(F.lower("word").alias("term"))
-    frequency = settle(
-        tokens.join(bounded(vocabulary, n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")),
-        "frequency",
-    )
+    frequency = settle(frequency_of(tokens, vocabulary, n_terms), "frequency")
     anchors = settle(anchored(spans, frequency), "anchors")
-    postings = settle(index_of(docs, anchors.select("term").distinct(), n_terms, words), "postings")
+    postings = settle(index_of(tokens, anchors.select("term").distinct(), n_terms), "postings")
     n_anchors = anchors.count()
-    places = bounded(anchors.join(spans, "phrase_id"), n_anchors)
-    # offset-adjusted lists: the start that a posting gives to each phrase anchored on its term
-    before = F.least("position", F.lit(words - 1))
+    # offset-adjusted lists: the start that a posting gives to each phrase anchored on its term; a posting whose
+    # neighbours are not those of the anchor in the phrase gives none
+    beside = anchors.join(spans, "phrase_id").select(
+        "term", "phrase_id", "place", "rank",
+        F.get("phrase", F.col("place") - 1).alias("left"), F.get("phrase", F.col("place") + 1).alias("right"),
+    )
+    agree = lambda there, wanted: F.col(wanted).isNull() | (F.col(there) == F.col(wanted))
     aligned = (
-        postings.join(places, "term")
-        .where(F.col("position") >= F.col("place"))
-        .select(
-            "doc_id",
-            "row",
-            (F.col("position") - F.col("place")).alias("start"),
-            "phrase_id",
-            "phrase",
-            "rank",
-            F.slice("around", F.greatest(before - F.col("place") + 1, F.lit(1)), F.size("phrase")).alias("there"),
-        )
-    )
-    # an occurrence is a start on which all anchors of a phrase agree, with its words there
-    found = (
-        aligned.where(F.transform("there", lowered) == F.col("phrase"))
-        .groupBy("doc_id", "row", "start", "phrase_id")
-        .agg(F.bit_or("rank").alias("met"), F.max(F.size("phrase")).alias("length"))
+        postings.join(bounded(beside, n_anchors), "term")
+        .where((F.col("position") >= F.col("place")) & agree("before", "left") & agree("after", "right"))
+        .select("doc_id", "row", (F.col("position") - F.col("place")).alias("start"), "phrase_id", "rank")
     )
+    # starts on which all anchors of a phrase agree
     needed = anchors.groupBy("phrase_id").agg(F.bit_or("rank").alias("needed"))
-    owners = held.select("phrase_id", "items").join(needed, "phrase_id")
-    return (
-        found.join(bounded(owners, n_anchors), "phrase_id")
+    shared = (
+        aligned.groupBy("doc_id", "row", "start", "phrase_id")
+        .agg(F.bit_or("rank").alias("met"))
+        .join(bounded(held.join(needed, "phrase_id"), n_anchors), "phrase_id")
         .where("met = needed")
-        .select("doc_id", "row", "start", "length", "phrase_id", "items")
+        .select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "start", "phrase_id", "phrase", "items")
+    )
+    shared = settle(shared, "starts")
+    # the whole phrase against the text; repeated rows give their occurrences each
+    suspects = shared.select(F.col("_id").alias("_s"), F.col("_row").alias("_r")).distinct()
+    asked = F.col("doc_id").eqNullSafe(F.col("_s")) & (F.col("row") == F.col("_r"))
+    bodies = tokens.join(bounded(suspects, suspects.count()), asked, "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))
+    length = F.size("phrase")
+    return (
+        bodies.join(shared, same)
+        .where(F.slice("terms", F.col("start") + 1, length) == F.col("phrase"))
+        .select("doc_id", "row", "start", length.alias("length"), "phrase_id", "items")
     )
 
 
-def index_of(docs: DataFrame, terms: DataFrame, n_terms: int, words: int = WORDS) -> DataFrame:
-    """Postings (term, doc_id, row, position, around) of the given terms in all texts.
+def index_of(tokens: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+    """Postings (term, doc_id, row, position, before, after) of the given terms in all texts.
 
-    around holds the words beside a posting, as far as a phrase over it can reach.
+    before and after are the terms beside a posting, null at the ends of a text.
     """
-    spread = docs.select(
-        "doc_id", F.xxhash64("text").alias("row"), words_of(F.col("text")).alias("_words")
-    ).select("doc_id", "row", "_words", F.posexplode("_words").alias("position", "_word"))
-    reach = words - 1
-    first = F.greatest(F.col("position") + 1 - reach, F.lit(1))
-    around = F.slice("_words", first, F.least("position", F.lit(reach)) + words)
-    return (
-        spread.withColumn("term", F.lower("_word"))
-        .join(bounded(terms, n_terms), "term", "left_semi")
-        .select("term", "doc_id", "row", "position", around.alias("around"))
+    spread = tokens.select("doc_id", "row", "terms", F.posexplode("terms").alias("position", "term"))
+    return spread.join(bounded(terms, n_terms), "term", "left_semi").select(
+        "term",
+        "doc_id",
+        "row",
+        "position",
+        F.when(F.col("position") > 0, F.get("terms", F.col("position") - 1)).alias("before"),
+        F.get("terms", F.col("position") + 1).alias("after"),
     )
 
 
@@ -150,9 +163,12 @@ def proximity(docs: DataFrame, items: DataFrame, within: int, words: int = WORDS
     """
     held = phrases(items, words).select("phrase").distinct().withColumn("phrase_id", F.monotonically_increasing_id())
     held = settle(held, "phrases")
-    terms = settle(held.select(F.explode("phrase").alias("w")).select(F.lower("w").alias("term")).distinct(), "terms")
-    postings = settle(index_of(docs, terms, terms.count(), words).drop("around").distinct(), "postings")
-    anchors = settle(anchored(held, postings.groupBy("term").agg(F.count("*").alias("n"))), "anchors")
+    terms = settle(held.select(F.explode("phrase").alias("term")).distinct(), "terms")
+    tokens, n_terms = tokens_of(docs), terms.count()
+    anchors = settle(anchored(held, frequency_of(tokens, terms, n_terms)), "anchors")
+    postings = settle(
+        index_of(tokens, anchors.select("term").distinct(), n_terms).select("term", "doc_id", "row", "position").distinct(), "postings"
+    )
     cell = F.floor(F.col("position") / within)
     both = postings.join(anchors, "term").select("doc_id", "row", "phrase_id", "rank", "position", cell.alias("cell"))
     first = both.where("rank = 1").withColumnRenamed("position", "first")
@@ -176,8 +192,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, words: int = WORDS) -> Data
     found. Repeated rows are reported each. Rows with a null doc_id are kept and searched. The digest of no
     items is that of an empty string. Other columns of either table are not read.
     """
-    docs = docs.select("doc_id", "text")
-    hits = settle(occurrences(docs, items.where("item_id is not null"), words), "hits")
+    tokens = tokens_of(docs.select("doc_id", "text"))
+    hits = settle(occurrences(tokens, items.where("item_id is not null"), words), "hits")
     at = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1))
     hit = hits.select("doc_id", "row", at.alias("position")).distinct()
     of_words = hit.groupBy("doc_id", "row").agg(F.count("*").alias("n_hit"))
@@ -189,11 +205,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, words: int = WORDS) -> Data
     dirty = of_words.alias("w").join(of_items.alias("i"), keys).select(
         F.col("w.doc_id").alias("_id"), F.col("w.row").alias("_row"), "n_hit", "n_items", "names"
     )
-    counts = docs.select(
-        "doc_id",
-        F.xxhash64("text").alias("row"),
-        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"),
-    )
+    counts = tokens.select("doc_id", "row", "n_words")
     joined = counts.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
     return joined.select(
         "doc_id",
@@ -207,7 +219,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, words: int = WORDS) -> Data
 
 def contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, row) of the texts with a benchmark passage, once each; row is the xxhash64 of the text."""
-    hits = occurrences(docs.select("doc_id", "text"), items.where("item_id is not null"), words)
+    hits = occurrences(tokens_of(docs.select("doc_id", "text")), items.where("item_id is not null"), words)
     return hits.select("doc_id", "row").distinct()
 
 
