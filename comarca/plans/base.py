@@ -6,15 +6,16 @@ Every function returns a lazy DataFrame; ``with_ctes`` gives the same relations
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from comarca.functions.numeric import log_positive, safe_ratio
 from comarca.operators.annual import annualize_wide
 
-# Fixed values of the analogue: each customer stands for 100 inhabitants; the estimation window.
+# Fixed values of the analogue: each customer stands for 100 inhabitants; the base year.
 INHABITANTS = 100.0
-FIRST_YEAR, LAST_YEAR = 1996, 2000
 BASE_YEAR = 1996
 CONTROLS = ["c1", "c2"]
 
@@ -40,6 +41,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _span(application: str, d: str) -> tuple[int, int]:
+    days = table(SparkSession.active(), d, "orders").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    first = F.year("a") + (F.quarter("a") > 1).cast("int")
+    last = F.year("b") - (F.quarter("b") < 4).cast("int")
+    row = days.select(first.alias("first"), last.alias("last")).first()
+    return (row["first"], row["last"]) if row["first"] is not None else (0, -1)
+
+
+def span(spark: SparkSession, d: str) -> tuple[int, int]:
+    """The first and the last year that the orders cover with all quarters."""
+    return _span(spark.sparkContext.applicationId, d)
+
+
+#: The same two years in the twins.
+FIRST_SQL = "(select year(min(o_orderdate)) + (quarter(min(o_orderdate)) > 1)::int from orders)"
+LAST_SQL = "(select year(max(o_orderdate)) - (quarter(max(o_orderdate)) < 4)::int from orders)"
+
+
 def moves(spark: SparkSession, d: str) -> DataFrame:
     """One row per order with its unit (the customer's nation) and period parts."""
     orders = table(spark, d, "orders")
@@ -141,10 +161,9 @@ def series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
-    """Estimation frame: growth ``y``, regressor ``x``, controls ``c1`` and ``c2``; complete rows."""
+    """Estimation frame: growth ``y``, regressor ``x``, controls ``c1`` and ``c2``; all complete rows of all years."""
     return (
         series(spark, d)
-        .filter(F.col("year").between(FIRST_YEAR, LAST_YEAR))
         .select(
             "unit", "region", "name", "year", "y", "x", "c1", "c2", "log_pc", "pop", "orders", "amount", "buyers"
         )
@@ -202,9 +221,8 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         ("annual", "population", "units"),
     ),
     "panel": (
-        f"""select unit, region, name, year, y, x, c1, c2, log_pc, pop, orders, amount, buyers from series
-        where year between {FIRST_YEAR} and {LAST_YEAR}
-        and y is not null and x is not null and c1 is not null and c2 is not null""",
+        """select unit, region, name, year, y, x, c1, c2, log_pc, pop, orders, amount, buyers from series
+        where y is not null and x is not null and c1 is not null and c2 is not null""",
         ("series",),
     ),
     "ring": (

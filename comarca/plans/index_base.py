@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from comarca.operators import composite as X
-from comarca.plans.base import series, with_ctes
+from comarca.plans.base import FIRST_SQL, LAST_SQL, series, span, with_ctes
 from comarca.session import settle
 
 # Fixed values of the analogue contract: three dimensions, equal weights, calibration 1996-1997.
@@ -30,14 +30,14 @@ CONTRACT = X.Contract(
     product="amount",
 )
 VARS = list(CONTRACT.rules)
-FIRST, LAST = 1996, 2000
 
 
 def index_input(spark, d):
     """Unit-year rows with the numerators, population and the product with its full-series lag."""
+    first, last = span(spark, d)  # the first year has no product of the year before
     return (
         series(spark, d)
-        .filter(F.col("year").between(FIRST, LAST))
+        .filter(F.col("year").between(first + 1, last))
         .withColumn("pending", F.col("orders") - F.col("closed"))
         .select("unit", "year", *VARS, "pop", "amount_lag")
     )
@@ -70,7 +70,7 @@ NORM_SQL = with_ctes(
         "norm": f"""select unit, year, buyers / nullif(pop, 0) * 10000 as buyers, orders / nullif(pop, 0) * 10000 as orders,
         closed / nullif(pop, 0) * 10000 as closed, amount / nullif(amount_lag, 0) * 100 as amount,
         urgent / nullif(pop, 0) * 10000 as urgent, (orders - closed) / nullif(pop, 0) * 10000 as pending
-        from series where year between {FIRST} and {LAST}""",
+        from series where year between {FIRST_SQL} + 1 and {LAST_SQL}""",
         "cal": "select * from norm where year between 1996 and 1997",
         "fit_access": """select avg(buyers) as m_buyers, stddev_samp(buyers) as s_buyers from cal where buyers is not null""",
         "fit_usage": """select avg(orders) as m_orders, stddev_samp(orders) as s_orders, avg(closed) as m_closed,

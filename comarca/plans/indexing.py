@@ -13,7 +13,7 @@ from comarca.operators.annual import annualize_wide
 from comarca.operators.gram import two_way
 from comarca.operators.ranking import exact_quantiles
 from comarca.operators.windows import cumulative_index
-from comarca.plans.base import INHABITANTS, quarterly, series, table, with_ctes
+from comarca.plans.base import FIRST_SQL, INHABITANTS, LAST_SQL, quarterly, series, span, table, with_ctes
 from comarca.plans.catalog import query
 from comarca.plans.index_base import (
     DISTANCE_CTE,
@@ -39,8 +39,8 @@ def normalize_panel(spark, d):
 @query(
     "normalize_panel_fixed",
     with_ctes("series")
-    + """select s.unit, s.year, s.amount / nullif(b.amount, 0) * 100 as fixed_pct, s.amount / nullif(s.amount, 0) * 100 as current_pct
-    from series s left join (select unit, amount from series where year = 1996) b using (unit) where s.year between 1996 and 2000""",
+    + f"""select s.unit, s.year, s.amount / nullif(b.amount, 0) * 100 as fixed_pct, s.amount / nullif(s.amount, 0) * 100 as current_pct
+    from series s left join (select unit, amount from series where year = 1996) b using (unit) where s.year between {FIRST_SQL} + 1 and {LAST_SQL}""",
     fixed_pct=6,
     current_pct=6,
 )
@@ -249,7 +249,7 @@ segl as (select *, lag(amount) over (partition by unit, segment order by year) a
 zm as (select unit, segment, year, (buyers / pop * 10000 - m_buyers) / s_buyers as buyers, (orders / pop * 10000 - m_orders) / s_orders as orders,
     (closed / pop * 10000 - m_closed) / s_closed as closed, (amount / nullif(amount_lag, 0) * 100 - m_amount) / s_amount as amount,
     (urgent / pop * 10000 - m_urgent) / s_urgent as urgent, ((orders - closed) / pop * 10000 - m_pending) / s_pending as pending
-    from segl, fit_access, fit_usage, fit_depth where year between 1996 and 2000)"""
+    from segl, fit_access, fit_usage, fit_depth where year between """ + FIRST_SQL + " + 1 and " + LAST_SQL + ")"
 
 
 @query(
@@ -267,6 +267,7 @@ def build_index_members(spark, d):
 
     The parameters pass through their table form, as a frozen calibration would.
     """
+    first_year, last_year = span(spark, d)
     frozen = X.fits_from_frame(X.fits_frame(spark, _fits(spark, d)[1]))
     c = table(spark, d, "customer")
     member = F.concat(F.col("c_nationkey").cast("string"), F.lit("/"), F.col("c_mktsegment"))
@@ -289,7 +290,7 @@ def build_index_members(spark, d):
     panel = (
         flows.withColumn("amount_lag", F.lag("amount").over(w))
         .withColumn("pending", F.col("orders") - F.col("closed"))
-        .filter(F.col("year").between(1996, 2000))
+        .filter(F.col("year").between(first_year + 1, last_year))
         .join(pop, "member")
     )
     lower = replace(CONTRACT, unit="member")
@@ -299,7 +300,7 @@ def build_index_members(spark, d):
 @query(
     "freeze_numerators",
     with_ctes("series")
-    + """, p as (select unit, year, buyers, orders, pop, amount, amount_lag from series where year between 1996 and 2000)
+    + f""", p as (select unit, year, buyers, orders, pop, amount, amount_lag from series where year between {FIRST_SQL} + 1 and {LAST_SQL})
     select p.unit, p.year, b.buyers / nullif(p.pop, 0) * 10000 as buyers, b.orders / nullif(p.pop, 0) * 10000 as orders, b.amount / nullif(p.amount_lag, 0) * 100 as amount
     from p left join (select * from p where year = 1996) b using (unit)""",
     buyers=7,

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from comarca.functions.text import recode
 from comarca.operators import reshape as R
 from comarca.operators.quality import row_count_check
-from comarca.plans.base import annual, moves, quarterly, table, with_ctes
+from comarca.plans.base import LAST_SQL, annual, moves, quarterly, span, table, with_ctes
 from comarca.plans.catalog import query
 from comarca.session import scratch
 from comarca.sources import ingest as I
@@ -235,16 +236,15 @@ def filename_key(spark, d):
     )
 
 
-_STATUS = "case when year = 2000 then 'provisional' when year = 2001 then 'preliminar' else 'definitivo' end"
+_STATUS = f"case when g.yr = {LAST_SQL} then 'provisional' when g.yr = {LAST_SQL} + 1 then 'preliminar' else 'definitivo' end"
 
 
 def _year_sheet(spark, d):
     """A wide sheet as the sources publish it: one column per year, late years marked p and pr."""
-    label = F.when(F.col("year") == 2000, "2000p").when(F.col("year") == 2001, "2001pr").otherwise(
-        F.col("year").cast("string")
-    )
+    whole = span(spark, d)[1]  # the last complete year is provisional, what follows preliminary
+    marks = {whole: f"{whole}p", whole + 1: f"{whole + 1}pr"}
+    label = recode(F.col("year").cast("string"), {str(y): mark for y, mark in marks.items()})
     first, last = moves(spark, d).agg(F.min("year"), F.max("year")).first()
-    marks = {2000: "2000p", 2001: "2001pr"}
     heads = [marks.get(y, str(y)) for y in range(first, last + 1)] if first else ["none"]
     return moves(spark, d).withColumn("label", label).groupBy("unit").pivot("label", heads).agg(F.sum("amount"))
 
@@ -253,7 +253,7 @@ def _year_sheet(spark, d):
     "melt_year_columns",
     with_ctes("moves")
     + f""", grid as (select distinct m.unit, y.yr from (select distinct unit from moves) m, (select unnest(range(min(year), max(year) + 1)) as yr from moves) y)
-    select g.unit, g.yr::int as year, {_STATUS.replace('year', 'g.yr')} as status, 'amount' as measure, sum(m.amount) as value
+    select g.unit, g.yr::int as year, {_STATUS} as status, 'amount' as measure, sum(m.amount) as value
     from grid g left join moves m on m.unit = g.unit and m.year = g.yr group by 1, 2, 3""",
     value=2,
 )

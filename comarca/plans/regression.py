@@ -12,7 +12,7 @@ from comarca.operators import inference as I
 from comarca.operators.ranking import exact_quantiles
 from comarca.operators.windows import by_unit
 from comarca.plans.aggregation import ex_section
-from comarca.plans.base import CONTROLS, panel, series, with_ctes
+from comarca.plans.base import CONTROLS, FIRST_SQL, LAST_SQL, panel, series, span, with_ctes
 from comarca.plans.catalog import query
 from comarca.plans.fe_sql import fe_ctes, t_975_sql, t_two_sided_sql, with_more
 from comarca.plans.index_base import DISTANCE_CTE, INDEX_SQL, PCA_CTE, index_scores, index_variants
@@ -225,11 +225,12 @@ def fe_weighted(spark, d):
 @query(
     "beta_convergence",
     with_ctes("series")
-    + """, c as (select a.unit, a.log_pc as x, (b.log_pc - a.log_pc) / 5 as g from series a join series b using (unit) where a.year = 1995 and b.year = 2000
+    + f""", sp as (select {LAST_SQL} - {FIRST_SQL} as years),
+    c as (select a.unit, a.log_pc as x, (b.log_pc - a.log_pc) / years as g from sp, series a join series b using (unit) where a.year = {FIRST_SQL} and b.year = {LAST_SQL}
       and a.log_pc is not null and b.log_pc is not null), f as (select regr_slope(g, x) as b, regr_intercept(g, x) as a, avg(x) as mx, count(*) as n from c),
     v as (select sum(pow((x - mx) * (g - a - b * x), 2)) / pow(sum(pow(x - mx, 2)), 2) * any_value(n)::double / (any_value(n) - 2) as var,
       1 - sum(pow(g - a - b * x, 2)) / sum(pow(g - (select avg(g) from c), 2)) as r2 from c, f)
-    select b as coef, sqrt(var) as se, n, r2, case when 1 + b * 5 > 0 then -ln(1 + b * 5) / 5 end as speed from f, v""",
+    select b as coef, sqrt(var) as se, n, r2, case when 1 + b * years > 0 then -ln(1 + b * years) / years end as speed from f, v, sp""",
     coef=8,
     se=8,
     r2=8,
@@ -238,12 +239,13 @@ def fe_weighted(spark, d):
 def beta_convergence(spark, d):
     """Mean growth on the initial level, robust errors; two passes of sums, no table is gathered."""
     s = series(spark, d)
-    span = 5.0
+    first_year, last_year = span(spark, d)
+    years = float(last_year - first_year)
     cut = s.groupBy("unit").agg(
-        F.max(F.when(F.col("year") == 1995, F.col("log_pc"))).alias("x"),
-        F.max(F.when(F.col("year") == 2000, F.col("log_pc"))).alias("last"),
+        F.max(F.when(F.col("year") == first_year, F.col("log_pc"))).alias("x"),
+        F.max(F.when(F.col("year") == last_year, F.col("log_pc"))).alias("last"),
     )
-    c = settle(cut.dropna().select("unit", "x", ((F.col("last") - F.col("x")) / span).alias("g")), "cross")
+    c = settle(cut.dropna().select("unit", "x", ((F.col("last") - F.col("x")) / years).alias("g")), "cross")
     fit = c.agg(
         F.struct(
             F.regr_slope("g", "x").alias("b"),
@@ -263,7 +265,7 @@ def beta_convergence(spark, d):
         n.alias("n"),
         (1 - F.sum(e * e) / F.sum(F.pow(F.col("g") - F.col("f.mg"), F.lit(2)))).alias("r2"),
     )
-    speed = F.when(1 + F.col("coef") * span > 0, -F.ln(1 + F.col("coef") * span) / span)
+    speed = F.when(1 + F.col("coef") * years > 0, -F.ln(1 + F.col("coef") * years) / years)
     return out.select("coef", (F.col("_num") / F.col("_sxx")).alias("se"), "n", "r2", speed.alias("speed"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from comarca.operators import reshape as R
 from comarca.operators.ranking import exact_quantiles
 from comarca.operators.star import member_dimension
-from comarca.plans.base import moves, panel, series, table, with_ctes
+from comarca.plans.base import FIRST_SQL, moves, panel, series, table, with_ctes
+from comarca.plans.base import span as span_of
 from comarca.plans.catalog import query
 from comarca.session import scratch
 
@@ -155,17 +156,18 @@ def union_distinct_codes(spark, d):
 
 @query(
     "date_spine",
-    """with span as (select min(date_trunc('year', o_orderdate))::date as a, max(date_trunc('year', o_orderdate))::date + interval 11 month as b from orders),
+    f"""with span as (select min(date_trunc('year', o_orderdate))::date as a, max(date_trunc('year', o_orderdate))::date + interval 11 month as b from orders),
     m as (select unnest(generate_series(a::timestamp, b::timestamp, interval 1 month))::date as d from span),
     rows as (select year(d)::varchar as period_id, 'A' as frequency, year(d)::int as year, null::int as quarter, null::int as month, d as start_date,
         (d + interval 1 year - interval 1 day)::date as end_date from m where month(d) = 1
       union all select year(d)::varchar || 'Q' || quarter(d)::varchar, 'Q', year(d)::int, quarter(d)::int, null, d, (d + interval 3 month - interval 1 day)::date
-        from m where month(d) in (1, 4, 7, 10) and year(d) >= 1996
-      union all select year(d)::varchar || '-' || lpad(month(d)::varchar, 2, '0'), 'M', year(d)::int, quarter(d)::int, month(d)::int, d, last_day(d) from m where year(d) >= 1998)
+        from m where month(d) in (1, 4, 7, 10) and year(d) >= {FIRST_SQL} + 1
+      union all select year(d)::varchar || '-' || lpad(month(d)::varchar, 2, '0'), 'M', year(d)::int, quarter(d)::int, month(d)::int, d, last_day(d) from m where year(d) >= {FIRST_SQL} + 3)
     select *, year::varchar as year_id from rows""",
 )
 def date_spine(spark, d):
-    """Periods that cover the orders: years from the first, quarters from 1996, months from 1998."""
+    """Periods that cover the orders: years from the first, quarters from the second complete year, months from the fourth."""
+    first = span_of(spark, d)[0]
     span = table(spark, d, "orders").agg(
         F.to_date(F.date_trunc("year", F.min("o_orderdate"))).alias("a"),
         F.to_date(F.date_trunc("year", F.max("o_orderdate"))).alias("b"),
@@ -173,7 +175,7 @@ def date_spine(spark, d):
     months = span.select(
         F.explode(F.sequence("a", F.add_months("b", 11), F.expr("interval 1 month"))).alias("start_date")
     )
-    return R.periods_from_months(months, q_from=1996, m_from=1998)
+    return R.periods_from_months(months, q_from=first + 1, m_from=first + 3)
 
 
 # The axes of the specification grid.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from comarca.operators import windows as W
 from comarca.operators.composite import rank_correlations
 from comarca.operators.ranking import top_and_bottom
-from comarca.plans.base import annual, panel, quarterly, series, table, with_ctes
+from comarca.plans.base import FIRST_SQL, LAST_SQL, annual, panel, quarterly, series, span, table, with_ctes
 from comarca.plans.catalog import query
 from comarca.session import settle
 
@@ -16,15 +16,16 @@ from comarca.session import settle
 @query(
     "lag_full_series",
     with_ctes("annual")
-    + """select * from (select unit, year, amount, lag(amount) over (partition by unit order by year) as amount_lag from annual)
-    where year between 1997 and 2000""",
+    + f"""select * from (select unit, year, amount, lag(amount) over (partition by unit order by year) as amount_lag from annual)
+    where year between {FIRST_SQL} + 1 and {LAST_SQL}""",
     amount=2,
     amount_lag=2,
 )
 def lag_full_series(spark, d):
     """The lag is taken before the window is cut, so the first year kept has one."""
     lagged = annual(spark, d).select("unit", "year", "amount", F.lag("amount").over(W.by_unit()).alias("amount_lag"))
-    return lagged.filter(F.col("year").between(1997, 2000))
+    first, last = span(spark, d)
+    return lagged.filter(F.col("year").between(first + 1, last))
 
 
 @query(
@@ -240,17 +241,18 @@ def spearman_pooled_within_changes(spark, d):
 @query(
     "chain_growth",
     with_ctes("series")
-    + """, b as (select unit, amount as base from series where year = 1996),
-    g as (select unit, year, (amount / amount_lag - 1) * 100 as pct from series where year between 1997 and 2000 and amount is not null and amount_lag is not null)
+    + f""", b as (select unit, amount as base from series where year = {FIRST_SQL}),
+    g as (select unit, year, (amount / amount_lag - 1) * 100 as pct from series where year between {FIRST_SQL} + 1 and {LAST_SQL} and amount is not null and amount_lag is not null)
     select unit, year, level, (level / coalesce(lag(level) over (partition by unit order by year), base) - 1) * 100 as pct_change from (
     select unit, year, base, base * exp(sum(ln(1 + pct / 100)) over (partition by unit order by year)) as level from g join b using (unit))""",
-    level=0,
+    level=3,
     pct_change=8,
 )
 def chain_growth(spark, d):
     s = series(spark, d)
-    base = s.filter("year = 1996").select("unit", F.col("amount").alias("base"))
-    g = s.filter(F.col("year").between(1997, 2000)).select(
+    first, last = span(spark, d)
+    base = s.filter(F.col("year") == first).select("unit", F.col("amount").alias("base"))
+    g = s.filter(F.col("year").between(first + 1, last)).select(
         "unit", "year", ((F.col("amount") / F.col("amount_lag") - 1) * 100).alias("pct")
     )
     chained = W.chain_levels(g.dropna().join(base, "unit"), "pct", "base", ["unit"])
