@@ -3,6 +3,7 @@
 from comarca.plans import (  # noqa: F401
     aggregation,
     designing,
+    exposing,
     forecasting,
     indexing,
     ingestion,

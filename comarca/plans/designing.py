@@ -193,7 +193,9 @@ def long_event_frame(spark, d, reference):
     The exposure is x of the base year, standardised over the units that have it. Dummies come from the years in
     the data; initial income times year leaves out the first. Units without a base year take no part.
     """
-    s = settle(series(spark, d).dropna(subset=["y"]).select("unit", "year", "y"), "long")
+    whole = F.when((F.col("amount") > 0) & (F.col("amount_lag") > 0), F.log("amount") - F.log("amount_lag"))
+    s = series(spark, d).dropna(subset=["y"]).select("unit", "year", "y", whole.alias("y_total"))
+    s = settle(s, "long")
     base = series(spark, d).filter(F.col("year") == BASE_YEAR).select("unit", F.col("x").alias("e0"), F.col("log_pc").alias("l0"))
     z = D.standardized(base.dropna(subset=["e0"]), "e0", "z").select("unit", "z", "l0")
     p = settle(s.join(z, "unit"), "exposed")
@@ -207,26 +209,42 @@ def long_event_frame(spark, d, reference):
 def pre_trends(spark, d):
     """Joint tests of all years before and after the reference, on F and by wild bootstrap.
 
-    On the long series, without and with initial income times year as untested regressors. A block without years
+    For growth per head and total growth, on the long series, without and with initial income times year as untested regressors. A block without years
     in the data has no rows.
     """
     p, names, starts = long_event_frame(spark, d, 1998)
     years = {n: int(n.removeprefix("ev_")) for n in names}
     rows = []
-    for initial, extra in (("none", []), ("log_pc", starts)):
+    designs = [(y, *initial) for y in ("y", "y_total") for initial in (("none", []), ("log_pc", starts))]
+    for y, initial, extra in designs:
         for block, keep in (("before", lambda a: a < 1998), ("after", lambda a: a > 1998)):
             tested = [n for n in names if keep(years[n])]
             if not tested:
                 continue
-            prep = I.prepare(p, "y", tested, [n for n in names if n not in tested] + extra)
+            prep = I.prepare(p, y, tested, [n for n in names if n not in tested] + extra)
             for weights in ("rademacher", "webb"):
                 r = I.wald_test(I.replicate(prep, replicas=999, weights=weights))
-                rows.append((initial, block, weights, r["q"], r["f"], r["df2"], r["p_f"], r["p_bootstrap"]))
+                rows.append((y, initial, block, weights, r["q"], r["f"], r["df2"], r["p_f"], r["p_bootstrap"]))
     return spark.createDataFrame(
-        rows, "initial string, block string, weights string, q int, f double, df2 int, p_f double, p_bootstrap double"
+        rows, "dependent string, initial string, block string, weights string, q int, f double, df2 int, p_f double, p_bootstrap double"
     )
 
 
+@query("pre_trend_terms")
+def pre_trend_terms(spark, d):
+    """dependent, initial, year, coef, se, n, units: the event coefficients behind ``pre_trends``, the reference left out."""
+    p, names, starts = long_event_frame(spark, d, 1998)
+    rows = None
+    for y in ("y", "y_total"):
+        for initial, extra in (("none", []), ("log_pc", starts)):
+            xs = [*names, *extra]
+            fit = G.terms(G.fe_table(p, y, xs), xs).filter(F.col("term").startswith("ev_"))
+            year = F.substring("term", 4, 4).cast("int").alias("year")
+            one = fit.select(F.lit(y).alias("dependent"), F.lit(initial).alias("initial"), year, "coef", "se", "n", "units")
+            rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 _IC = [f"i{a}" for a in YEARS[1:]]
 
 

@@ -77,3 +77,48 @@ def t_975_sql(df: str) -> str:
         f"+ (3 * pow({z}, 7) + 19 * pow({z}, 5) + 17 * pow({z}, 3) - 15 * {z}) / (384 * pow({df}, 3)) "
         f"+ (79 * pow({z}, 9) + 776 * pow({z}, 7) + 1482 * pow({z}, 5) - 1920 * pow({z}, 3) - 945 * {z}) / (92160 * pow({df}, 4)))"
     )
+
+
+# The weights of a cluster drawn from the md5 ``h``.
+RADEMACHER_SQL = "case when substr(h, 1, 1) in ('0', '2', '4', '6', '8', 'a', 'c', 'e') then 1.0::double else -1.0::double end"
+WEBB_SQL = "[-sqrt(1.5), -1.0, -sqrt(0.5), sqrt(0.5), 1.0, sqrt(1.5)][(('0x' || substr(h, 1, 8))::bigint % 6 + 1)::int]"
+
+
+def wild_ctes(rel: str, y: str, xs: list[str], weight: str, nulls: str = "select 0.0::double as b0", *, tag: str = "w", replicas: int = 999):
+    """CTEs ending in ``{tag}fit`` and ``{tag}t``: (b0, r, t, seen), every replica's statistic under every null value.
+
+    A replica flips whole units; periods and controls are taken out of it again, the controls one at a time by the
+    columns that ``fe_ctes`` leaves of them.
+    """
+    ctes = fe_ctes(rel, y, xs, tag=tag)
+    ks = [f"k{j}" for j in range(len(xs) - 1)]
+    joins = " ".join(f"join {tag}{j} r{j} using (unit, year)" for j in range(len(ks)))
+    basis = "".join(f", r{j}.{c} as k{j}" for j, c in enumerate(xs[1:]))
+    keep = "".join(f", {k}" for k in ks)
+    ctes[f"{tag}x"] = f"select unit, year, f.x, f.y{basis} from {tag}res f {joins}"
+    ctes[f"{tag}nulls"] = nulls
+    ctes[f"{tag}draws"] = (
+        f"select r, unit, {weight} as w from (select r, unit, md5('7|' || r::varchar || '|' || unit::varchar) as h from "
+        f"(select unnest(range(1, {replicas + 1})) as r), (select distinct unit from {tag}x))"
+    )
+    ctes[f"{tag}v"] = f"select b0, r, unit, year, x{keep}, (y - b0 * x) * w as v from {tag}x join {tag}draws using (unit), {tag}nulls"
+    ctes[f"{tag}v0"] = f"select b0, r, unit, year, x{keep}, v - avg(v) over (partition by b0, r, year) as v from {tag}v"
+    for j, k in enumerate(ks, 1):
+        load = f"(sum(v * {k}) over (partition by b0, r) / sum({k} * {k}) over (partition by b0, r))"
+        ctes[f"{tag}v{j}"] = f"select b0, r, unit, year, x{keep}, v - {k} * {load} as v from {tag}v{j - 1}"
+    last = f"{tag}v{len(ks)}"
+    ctes[f"{tag}n"] = f"select b0, r, sum(x * v) / sum(x * x) as n1 from {last} group by 1, 2"
+    ctes[f"{tag}sc"] = f"select b0, r, unit, any_value(n1) as n1, sum(x * (v - n1 * x)) as s from {last} join {tag}n using (b0, r) group by 1, 2, 3"
+    ctes[f"{tag}t"] = (
+        f"select b0, r, any_value(n1) / (sqrt(sum(s * s)) / any_value(sxx)) as t, any_value((b - b0) / (sqrt(meat) / sxx)) as seen "
+        f"from {tag}sc, {tag}b, {tag}m group by 1, 2"
+    )
+    return ctes
+
+
+def wild_row(tag: str = "w") -> str:
+    """One row as ``symmetric_p`` gives it."""
+    return (
+        f"select coef, se, coef / se as t, (select (count(*) filter (where abs(t) >= abs(seen) - 1e-12) + 1)::double / (count(*) + 1) from {tag}t) "
+        f"as p_bootstrap, (select count(*) from {tag}t) as replicas from {tag}fit"
+    )

@@ -14,7 +14,7 @@ from comarca.operators.windows import by_unit
 from comarca.plans.aggregation import ex_section
 from comarca.plans.base import CONTROLS, FIRST_SQL, LAST_SQL, panel, series, span, with_ctes
 from comarca.plans.catalog import query
-from comarca.plans.fe_sql import fe_ctes, t_975_sql, t_two_sided_sql, with_more
+from comarca.plans.fe_sql import RADEMACHER_SQL, WEBB_SQL, fe_ctes, t_975_sql, t_two_sided_sql, wild_ctes, wild_row, with_more
 from comarca.plans.index_base import DISTANCE_CTE, INDEX_SQL, PCA_CTE, index_scores, index_variants
 from comarca.plans.setops import CONTROL_SETS, REGRESSORS, SAMPLES
 from comarca.session import settle
@@ -309,21 +309,17 @@ def _boot_sql(weight: str, replicas: int = 999) -> str:
     (select count(*) from tr) as replicas from k, o"""
 
 
-_RAD = "case when substr(h, 1, 1) in ('0', '2', '4', '6', '8', 'a', 'c', 'e') then 1.0::double else -1.0::double end"
-_WEBB = "[-sqrt(1.5), -1.0, -sqrt(0.5), sqrt(0.5), 1.0, sqrt(1.5)][(('0x' || substr(h, 1, 8))::bigint % 6 + 1)::int]"
-
-
-@query("wild_cluster_bootstrap", _boot_sql(_RAD), coef=8, se=8, t=6, p_bootstrap=6)
+@query("wild_cluster_bootstrap", _boot_sql(RADEMACHER_SQL), coef=8, se=8, t=6, p_bootstrap=6)
 def wild_cluster_bootstrap(spark, d):
     return I.symmetric_p(I.run_replicas(frame(spark, d), "y", ["x"], [], replicas=999))
 
 
-@query("wild_cluster_bootstrap_webb", _boot_sql(_WEBB), coef=8, se=8, t=6, p_bootstrap=6)
+@query("wild_cluster_bootstrap_webb", _boot_sql(WEBB_SQL), coef=8, se=8, t=6, p_bootstrap=6)
 def wild_cluster_bootstrap_webb(spark, d):
     return I.symmetric_p(I.run_replicas(frame(spark, d), "y", ["x"], [], replicas=999, weights="webb"))
 
 
-@query("wild_cluster_bootstrap_controls")
+@query("wild_cluster_bootstrap_controls", with_more(with_ctes("panel"), wild_ctes("panel", "y", X3, RADEMACHER_SQL)) + wild_row(), coef=8, se=8, t=6, p_bootstrap=6)
 def wild_cluster_bootstrap_controls(spark, d):
     """999 replicas with both controls projected out again inside every replica."""
     return I.symmetric_p(I.run_replicas(frame(spark, d), "y", ["x"], CONTROLS, replicas=999))
@@ -340,7 +336,21 @@ def bootstrap_ci(spark, d):
     return I.accepted_interval(rep, 0.90).unionByName(I.accepted_interval(rep, 0.95))
 
 
-@query("bootstrap_tost")
+_TOST = """select unnest([-1.0, 1.0]) * m as b0 from
+    (select k * se + abs(coef) as m from wfit, (select unnest([0.5, 1.5, 3.0]::double[]) as k))"""
+
+
+@query(
+    "bootstrap_tost",
+    with_more(with_ctes("panel"), wild_ctes("panel", "y", X3, RADEMACHER_SQL, _TOST))
+    + """, p as (select abs(b0) as margin, b0 < 0 as lower, (count(*) filter (where if(b0 < 0, t >= seen, t <= seen)) + 1)::double / (count(*) + 1) as p from wt group by 1, 2)
+    select margin, greatest(p_lower, p_upper) as p, p_lower, p_upper, greatest(p_lower, p_upper) < 0.05 as equivalent
+    from (select margin, max(p) filter (where lower) as p_lower, max(p) filter (where not lower) as p_upper from p group by 1)""",
+    margin=8,
+    p=6,
+    p_lower=6,
+    p_upper=6,
+)
 def bootstrap_tost(spark, d):
     """Two one-sided bootstrap tests at three margins (multiples of the standard error)."""
     rep = _control_replicas(spark, d)

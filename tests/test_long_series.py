@@ -38,9 +38,11 @@ def test_pre_trends_on_all_years(spark, tables, monkeypatch):
     replicate = designing.I.replicate
     few = lambda prep, replicas, weights: replicate(prep, replicas=min(replicas, 9), weights=weights)
     monkeypatch.setattr(designing.I, "replicate", few)
-    got = {(r["initial"], r["block"], r["weights"]): r for r in designing.pre_trends(spark, tables).collect()}
-    assert len(got) == 8
-    s = series(spark, tables).select("unit", "year", "y", "x", "log_pc").toPandas()
+    got = {(r["dependent"], r["initial"], r["block"], r["weights"]): r for r in designing.pre_trends(spark, tables).collect()}
+    terms = {(r["dependent"], r["initial"], r["year"]): r for r in designing.pre_trend_terms(spark, tables).collect()}
+    assert len(got) == 16
+    s = series(spark, tables).select("unit", "year", "y", "x", "log_pc", "amount", "amount_lag").toPandas()
+    s["y_total"] = np.log(s.amount.astype(float)) - np.log(s.amount_lag.astype(float))
     base = s[(s.year == 1996) & s.x.notna()].set_index("unit")
     z = (base.x - base.x.mean()) / base.x.std()
     p = s[s.y.notna() & s.unit.isin(base.index)].reset_index(drop=True)
@@ -50,15 +52,20 @@ def test_pre_trends_on_all_years(spark, tables, monkeypatch):
     for a in years:
         p[f"ev_{a}"] = p.unit.map(z) * (p.year == a)
         p[f"i{a}"] = p.unit.map(base.log_pc) * (p.year == a)
-    for initial, extra in (("none", []), ("log_pc", starts)):
+    per_head = p.y.copy()
+    for dependent, initial, extra in [(y, *i) for y in ("y", "y_total") for i in (("none", []), ("log_pc", starts))]:
+        p["y"] = p.y_total if dependent == "y_total" else per_head
         xs = events + extra
         b, _, xt, e, inv = brute(p, xs)
         score = np.array([(xt * e[:, None])[(p.unit == u).to_numpy()].sum(0) for u in p.unit.unique()])
         n, g = len(p), p.unit.nunique()
         v = inv @ (score.T @ score) @ inv * g / (g - 1) * (n - 1) / (n - len(xs) - len(years))
+        for i, name in enumerate(events):
+            r = terms[dependent, initial, int(name[3:])]
+            assert (r["coef"], r["se"], r["n"]) == pytest.approx((b[i], v[i, i] ** 0.5, n), rel=1e-6)
         for block, keep in (("before", lambda a: a < 1998), ("after", lambda a: a > 1998)):
             at = [i for i, c in enumerate(events) if keep(int(c[3:]))]
             f = b[at] @ np.linalg.inv(v[np.ix_(at, at)]) @ b[at] / len(at)
-            r = got[initial, block, "webb"]
+            r = got[dependent, initial, block, "webb"]
             assert r["q"] == len(at) and r["df2"] == g - 1
             assert r["f"] == pytest.approx(f, rel=1e-6)
