@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comarca.llm.common import arrow_batches, documents, held_out
+from comarca.session import settle
 
 BUCKETS = 1 << 20
 #: The sample a machine is fitted on: at most so many labelled documents of each label, whose ids hash lowest.
@@ -90,15 +91,22 @@ def _sigmoid(x):
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, toxic) of the sampled documents.
 
-    Labels that contradict each other for one doc_id count once each; null labels, ids and texts are left out.
+    Labels that contradict each other for one doc_id count once each; null labels, ids and texts are left out. Of
+    each label at most `rows` documents are taken, different texts of one doc_id being documents of their own and
+    repeated rows one.
     """
     marks = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
     marks = marks.where("_id is not null and _toxic in (0, 1)").distinct()
     chosen = [marks.where(f"_toxic = {y}").orderBy(F.xxhash64("_id"), "_id").limit(rows) for y in (0, 1)]
     wanted = chosen[0].unionByName(chosen[1])  # 2 * rows at most
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text"))
-    picked = texts.where("text is not null").join(F.broadcast(wanted), F.col("_doc") == F.col("_id"))
-    return picked.select("text", F.col("_toxic").alias("toxic"))
+    texts = texts.where("text is not null").withColumn("_text", F.xxhash64("text"))
+    keys = texts.select("_doc", "_text").join(F.broadcast(wanted), F.col("_doc") == F.col("_id")).distinct()
+    order = [F.xxhash64("_id"), "_id", "_text"]
+    parts = [keys.where(f"_toxic = {y}").orderBy(*order).limit(rows).select("_doc", "_text", "_toxic") for y in (0, 1)]
+    bounded = settle(parts[0].unionByName(parts[1]), "sample-keys")
+    picked = texts.join(F.broadcast(bounded), ["_doc", "_text"]).dropDuplicates(["_doc", "_text", "_toxic"])
+    return settle(picked.select("text", F.col("_toxic").alias("toxic")), "sample")
 
 
 def telling(examples: DataFrame, kept: int = KEPT) -> tuple[np.ndarray, tuple[int, int]]:
@@ -117,11 +125,11 @@ def telling(examples: DataFrame, kept: int = KEPT) -> tuple[np.ndarray, tuple[in
         )
 
     parts = examples.select("text", "toxic").mapInArrow(run, "bucket long, clean long, toxic long")
-    sums = parts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).cache()
+    sums = parts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sums = settle(sums, "bucket-counts")
     texts = sums.where(F.col("bucket") == BUCKETS).first()
     total = (int(texts["clean"]), int(texts["toxic"])) if texts else (0, 0)
     if not all(total):
-        sums.unpersist()
         return np.zeros(0, np.int64), total
     share = [(F.col(c) + 0.5) / (n + 1.0) for c, n in zip(("clean", "toxic"), total, strict=True)]
     error = F.sqrt(share[0] * (1 - share[0]) / total[0] + share[1] * (1 - share[1]) / total[1])
@@ -133,7 +141,6 @@ def telling(examples: DataFrame, kept: int = KEPT) -> tuple[np.ndarray, tuple[in
         .limit(kept)
     )
     best = np.array([r["bucket"] for r in ranked.collect()], np.int64)  # kept at most
-    sums.unpersist()
     return best, total
 
 

@@ -60,3 +60,12 @@ def test_one_label_only(spark, docs_of):
 def test_terms_do_not_depend_on_case_or_signs():
     assert (np.sort(toxicity.terms("Ab, cdé!")) == np.sort(toxicity.terms("ab   CDÉ"))).all()
     assert len(toxicity.terms("?!")) == len(toxicity.terms(None)) == 0
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark, docs_of):
+    """One labelled doc_id on many documents fills its label's share and no more; repeated rows count once."""
+    docs = docs_of([(1, f"text {i}") for i in range(500)] + [(1, "text 1")] * 50 + [(2, "other")] * 9 + [(3, "third")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 1)], "doc_id long, toxic int")
+    got = [(r["text"], r["toxic"]) for r in toxicity.sample(docs, labels, rows=40).collect()]
+    assert len(got) == len(set(got)) and sum(y for _, y in got) == 40
+    assert sorted(t for t, y in got if y == 0) == ["other", "third"]
