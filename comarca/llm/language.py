@@ -26,7 +26,8 @@ from comarca.session import settle
 SAMPLE_DOCS = 60
 SAMPLE_BYTES = 1024
 PLACES = 8
-LANGUAGES = 512  # languages with a dictionary; more are refused
+LANGUAGES = 512  # languages that give SAMPLE_DOCS texts each; more languages give fewer texts each
+PARTS = 64  # in which the texts of a language are ranked before they are ranked together
 BLOCK = 8192  # bytes encoded at once
 #: Lazy matching with tables fitted to the size of a dictionary: they are set up anew for every block.
 CODER = {
@@ -61,19 +62,27 @@ def pieces(text: Column, size: int, places: int = PLACES) -> Column:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """One raw-content dictionary per value of lang, from rows with a text and a lang; copies count once."""
+    """One raw-content dictionary per value of lang, from rows with a text and a lang; copies count once.
+
+    At most LANGUAGES * sample_docs texts are taken: with more languages than LANGUAGES each gives fewer, but one.
+    """
     rows = (
         docs.select("lang", F.col("text").cast("string").alias("text"))
         .where("lang is not null and text is not null and length(text) > 0")
         .withColumn("_hash", F.xxhash64("text"))
     )
+    # the lowest hashes of each part of a language, then of those: no task orders a whole language
+    part = F.pmod("_hash", F.lit(PARTS))
+    inside = Window.partitionBy("lang", part).orderBy("_hash")
+    chosen = rows.select("lang", "_hash").distinct().withColumn("_nth", F.row_number().over(inside))
+    chosen = chosen.where(F.col("_nth") <= sample_docs).drop("_nth")
     lowest = Window.partitionBy("lang").orderBy("_hash")
-    chosen = rows.select("lang", "_hash").distinct().withColumn("_nth", F.row_number().over(lowest))
-    chosen = settle(chosen.where(F.col("_nth") <= sample_docs), "chosen")
-    if chosen.select("lang").distinct().count() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    chosen = chosen.withColumn("_nth", F.row_number().over(lowest)).where(F.col("_nth") <= sample_docs)
+    chosen = settle(chosen, "chosen")
+    languages = max(1, chosen.select("lang").distinct().count())
+    chosen = chosen.where(F.col("_nth") <= max(1, min(sample_docs, LANGUAGES * sample_docs // languages)))
     sample = (
-        rows.join(F.broadcast(chosen), ["lang", "_hash"])  # LANGUAGES * sample_docs rows at most
+        rows.join(F.broadcast(chosen), ["lang", "_hash"])  # LANGUAGES * sample_docs rows at most, or one a language
         .select("lang", "_nth", pieces(F.col("text"), sample_bytes).alias("pieces"))
         .groupBy("lang", "_nth")
         .agg(F.min("pieces").alias("pieces"))
@@ -129,7 +138,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NA
     arrow_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "lang_score", "lang_rejected")
     at = kept.columns.index("text")
-    raw = docs.sparkSession.sparkContext.broadcast(dictionaries)  # LANGUAGES * SAMPLE_DOCS * SAMPLE_BYTES at most
+    raw = docs.sparkSession.sparkContext.broadcast(dictionaries)  # LANGUAGES * SAMPLE_DOCS * SAMPLE_BYTES, or one text a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = Encoders(raw.value)
