@@ -29,7 +29,6 @@ CAPACITY = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"  # the same vocabulary for the encoder that takes single words fast
-TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the vocabulary's own split of a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 400_000  # words whose ids a task keeps
@@ -169,17 +168,20 @@ class Ids:
     The vocabulary's pattern ends a word wherever white space follows a sign, so the ids of a text are those of
     its parts from one such place to the next; invented or natural, words repeat, and most parts are cached.
     New parts go through the rank form of the vocabulary, whose encoder spends a fraction of the time on a
-    short text; each task holds it against the tokenizer itself first.
+    short text; each task holds it against the tokenizer itself first. Without a folder the vocabularies are those
+    of the installed package.
     """
 
-    def __init__(self, folder: str, vocabulary: str = VOCABULARY, ranks: str = RANKS):
+    def __init__(self, folder: str | None = None, vocabulary: str = VOCABULARY, ranks: str = RANKS):
         import base64
 
+        import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(f"{folder}/{vocabulary}")
-        with open(f"{folder}/{ranks}", "rb") as lines:
+        place = public_tokenizers.path if folder is None else (lambda name: f"{folder}/{name}")
+        self.tokenizer = Tokenizer.from_file(place(vocabulary))
+        with open(place(ranks), "rb") as lines:
             known = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self.words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
         self.known: dict[str, bytes] = {}
@@ -226,7 +228,7 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(
     docs: DataFrame,
     capacity: int = CAPACITY,
-    folder: str = TOKENIZERS,
+    folder: str | None = None,
     vocabulary: str = VOCABULARY,
     end: int = END,
 ) -> DataFrame:
@@ -253,7 +255,7 @@ def pieces(
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """Place every piece of every document in a sequence of at most `capacity` tokens.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty texts are one piece

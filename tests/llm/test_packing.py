@@ -54,7 +54,7 @@ def test_reduction_keeps_the_fewest_sequences(items):
 
 
 def test_parts_have_the_ids_of_the_whole_text():
-    coder = packing.Ids(packing.TOKENIZERS, packing.VOCABULARY)
+    coder = packing.Ids()
     texts = [
         "", " ", "a", "It's a test, isn't it?", "two  blanks", " lead", "trail ", "a\n\nb \n c", "x\t y z    w",
         "été 中文 123 4,5", "<|endoftext|> in the text", "tab\tand\x1cseparator \x1c x", "\U0001f600 \U0001f600\U0001f600",
@@ -66,7 +66,7 @@ def test_parts_have_the_ids_of_the_whole_text():
 def test_pack_places_every_token_once(docs_of, rows):
     texts = {1: "some words here", 2: None, 3: "", 4: "long text " * 900, 5: "some words here"}
     found = packing.pack(docs_of([*texts.items(), (None, "no id"), (5, "some words here")])).collect()
-    coder = packing.Ids(packing.TOKENIZERS, packing.VOCABULARY)
+    coder = packing.Ids()
     end = np.array([packing.END], "<u4").tobytes()
     for r in found:
         text = "no id" if r["doc_id"] is None else texts[r["doc_id"]]
