@@ -473,7 +473,7 @@ def _spec_sql() -> str:
             ctes |= fe_ctes("spec", "y", ["v", *ctl], tag=tag, group="g", time=time)
             parts.append(
                 f"select string_split(g, '|')[1] as regressor, '{name}' as controls, string_split(g, '|')[2] as sample, '{effects}' as effects, "
-                f"coef, se, n, units, sd_identifying, coef * sd_identifying * 100 as coef_pp from {tag}fit"
+                f"coef, se, n, units, sd_identifying, coef * sd_identifying * 100 as coef_pp, n < 40 or units < 10 as small from {tag}fit"
             )
     return with_more(_INDEXED + _LAGGED + ", " + _SPEC_LONG, ctes) + " union all ".join(parts)
 
@@ -512,6 +512,7 @@ def spec_fits(spark, d):
                     "units",
                     "sd_identifying",
                     (F.col("coef") * F.col("sd_identifying") * 100).alias("coef_pp"),
+                    F.expr("n < 40 or units < 10").alias("small"),  # kept, but too few rows to lean on
                 )
             )
             out = rows if out is None else out.unionByName(rows)
@@ -533,7 +534,7 @@ def spec_curve_summary(spark, d):
         .groupBy("effects")
         .agg(
             F.count("*").alias("specifications"),
-            F.count_if(F.expr("n < 40 or units < 10")).alias("small"),
+            F.count_if("small").alias("small"),
             F.count_if(F.col("p") < 0.05).alias("significant"),
             F.round(F.avg((F.col("p") < 0.05).cast("int")), 4).alias("share"),
             F.round(F.median("coef"), 6).alias("median_coef"),  # at most one row per specification

@@ -11,7 +11,7 @@ write_partitioned latest_pull load_by_name variant_long melt_year_columns export
 join_null_safe join_full_outer splice_priority shared_boundary_edges annualize median_by_group quantile_summary column_profile
 cum_deflator rank_topk holm_adjust running_index union_all_blocks union_distinct_codes date_spine expect_total_equals_members
 table_diff_tolerance build_index distance_to_ideal fe_fit_terms spec_curve wild_cluster_bootstrap placebo_permute
-pesaran_cd rolling_origin quality_gate scenario_fanout stream_annualize stream_ingest_once stream_upsert_current""".split()
+pesaran_cd rolling_origin quality_gate scenario_fanout stream_annualize stream_ingest_once stream_upsert_current fc_arma exposure_placebo quadratic_bootstrap panel_with_vintage""".split()
 
 
 def names():
