@@ -33,7 +33,7 @@ BLANKS = b" \t\n\x0b\x0c\r"
 SLOTS = 4  # fingerprints of a bucket
 KICKS = 500
 SHARD_KEYS = 50_000  # keys of a filter shard, about
-FILTER_BYTES = 64 << 20  # filters up to this size are sent to every task; beyond it they are not consulted
+SALT_REFS = 500_000  # references that meet one copy of their shard's filter; a shard with more is split
 
 REFS = "shard int, key binary, doc_id long"
 COUNTS = "shard int, key binary, n_docs long, keeper long"
@@ -266,33 +266,64 @@ def _moved(index: LineIndex, refs: DataFrame, merged: DataFrame) -> LineIndex:
     )
 
 
+def _sides(index: LineIndex) -> DataFrame:
+    """References and the filters of their shards in one table, placed by (shard, salt) with the filter first.
+
+    A shard of many references is split by document, and every part gets a copy of the filter.
+    """
+    sizes = index.refs.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SALT_REFS)
+    salts = settle(sizes.select("shard", F.ceil(F.col("n") / SALT_REFS).cast("int").alias("salts")), "line-salts")
+    salts_of = F.coalesce("salts", F.lit(1))
+    refs = index.refs.join(salts, "shard", "left").select(
+        "shard",
+        F.pmod(F.xxhash64("doc_id"), salts_of).cast("int").alias("salt"),
+        "key",
+        "doc_id",
+        F.lit(None).cast("binary").alias("slots"),
+        F.lit(None).cast("int").alias("buckets"),
+    )
+    filters = index.filters.join(salts, "shard", "left").select(
+        "shard",
+        F.explode(F.sequence(F.lit(0), salts_of - 1)).alias("salt"),
+        F.lit(None).cast("binary").alias("key"),
+        F.lit(None).cast("long").alias("doc_id"),
+        "slots",
+        "buckets",
+    )
+    placed = refs.unionByName(filters).repartition("shard", "salt")
+    return placed.sortWithinPartitions("shard", "salt", F.col("slots").isNull())
+
+
+def passed(index: LineIndex) -> DataFrame:
+    """(key, doc_id) of the references that the filter of their shard lets through; a task holds one filter at a time."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, ready = None, None
+        for batch in batches:
+            shard, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys, sent = batch.column(2), batch.column(4)
+            cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1])) + 1
+            hit = np.zeros(len(shard), bool)
+            for start, end in zip([0, *cuts], [*cuts, len(shard)], strict=True):
+                if start == end:
+                    continue
+                if place != (shard[start], salt[start]):
+                    place, ready = (shard[start], salt[start]), None
+                if sent[start].is_valid:
+                    ready = Cuckoo.read(sent[start].as_py(), batch.column(5)[start].as_py())
+                    start += 1
+                if ready is not None and start < end:
+                    hit[start:end] = ready.holds(key_hashes(keys[start:end].to_pylist()))
+            yield batch.select(["key", "doc_id"]).filter(pa.array(hit))
+
+    return _sides(index).mapInArrow(probe, "key binary, doc_id long")
+
+
 def droppable(index: LineIndex) -> DataFrame:
     """(doc_id, keys): the repeated keys that each document must give up."""
-    size = index.filters.agg(F.coalesce(F.sum(F.octet_length("slots")), F.lit(0))).first()[0]
-    refs = index.refs
-    if size <= FILTER_BYTES:
-        blobs = {r["shard"]: (r["slots"], r["buckets"]) for r in index.filters.toLocalIterator()}
-        sent = refs.sparkSession.sparkContext.broadcast(blobs)  # FILTER_BYTES at most
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ready: dict[int, Cuckoo] = {}
-            for batch in batches:
-                shard = batch.column(0).to_numpy()
-                hashes = key_hashes(batch.column(1).to_pylist()) if len(shard) else np.zeros(0, np.uint64)
-                hit = np.zeros(len(shard), bool)
-                for one in np.unique(shard):
-                    if one not in sent.value:
-                        continue
-                    if one not in ready:
-                        ready[one] = Cuckoo.read(*sent.value[one])
-                    rows = np.flatnonzero(shard == one)
-                    hit[rows] = ready[one].holds(hashes[rows])
-                yield batch.filter(pa.array(hit))
-
-        refs = refs.select("shard", "key", "doc_id").mapInArrow(probe, REFS)
     often = index.counts.where(F.col("n_docs") >= index.min_docs).select("key", "keeper")
     return (
-        refs.select("key", "doc_id")
+        passed(index)
         .join(often, "key")
         .where("doc_id <> keeper")
         .groupBy("doc_id")

@@ -72,10 +72,24 @@ def test_the_filters_follow_the_threshold(spark, docs_of):
         assert not np.frombuffer(f["slots"], np.uint16).any()
 
 
-def test_the_exact_table_decides_without_filters(monkeypatch, docs_of, rows, table):
-    monkeypatch.setattr(L, "FILTER_BYTES", -1)
+@pytest.mark.parametrize("refs", [1, 7, 1000])
+def test_split_shards_give_the_same(monkeypatch, docs_of, rows, table, refs):
+    monkeypatch.setattr(L, "SALT_REFS", refs)
     docs = docs_of(table)
-    assert rows(L.clean(docs, L.index_of(docs)), "doc_id", "n_lines", "n_dropped", "text") == expected(table)
+    index = L.index_of(docs)
+    assert rows(L.clean(docs, index), "doc_id", "n_lines", "n_dropped", "text") == expected(table)
+    # one copy of a filter for each part of its shard, in front of its references
+    parts = L._sides(index).where("slots is not null").groupBy("shard", "salt").count()
+    assert parts.count() > 0 and parts.where("count > 1").count() == 0
+
+
+def test_the_filters_pass_repeated_keys_and_few_others(docs_of, rows, table):
+    index = L.index_of(docs_of(table))
+    often = {r["key"] for r in index.counts.where("n_docs >= 5").collect()}
+    found = rows(L.passed(index), "key", "doc_id")
+    every = rows(index.refs, "key", "doc_id")
+    assert [r for r in every if r[0] in often] == [r for r in found if r[0] in often]
+    assert len(found) < len(every) / 10
 
 
 def test_cuckoo_never_misses_and_deletes():
