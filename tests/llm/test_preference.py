@@ -65,3 +65,45 @@ def test_swapped_replies(spark, rows):
         key=repr,
     )
     assert P.format_pairs(*P.swapped_replies(turns.limit(0))).collect() == []
+
+
+def test_gapped_and_text_ids_follow_each_other(spark, rows):
+    ids = [(i,) for i in (70, 10, 5, 1000)]
+    found = rows(P.successors(spark.createDataFrame(ids, "pair_id long")))
+    assert found == sorted([(5, 10), (10, 70), (70, 1000), (1000, None)], key=repr)
+    turns = [("b", 0, "user", "q"), ("b", 1, "assistant", "yes"), ("d", 0, "assistant", "no"), ("c", 0, "user", "?")]
+    turns = spark.createDataFrame(turns, "conv_id string, turn long, role string, text string")
+    found = P.paired(P.format_pairs(*P.swapped_replies(turns)))
+    yes, no = shown("assistant", "yes"), shown("assistant", "no")
+    assert rows(found) == sorted(
+        [
+            ("b", 0, shown("user", "q"), yes, no, f"22-{len(yes)}", f"22-{len(no)}"),
+            ("d", 0, "", no, "", f"22-{len(no)}", ""),
+        ],
+        key=repr,
+    )
+
+
+def test_joined_texts_and_spans_in_pieces(monkeypatch, spark, rows):
+    monkeypatch.setattr(P, "PIECE_TURNS", 4)
+    roles = ["system", "user", "assistant", "user", "assistant", "tool", "assistant"]
+    chosen = [(1, n, r, f"{r} \u00e9\U0001f600 {n}") for n, r in enumerate(roles)]
+    rejected = [*chosen[:2], (1, 2, "assistant", ""), (1, 3, "user", None), (2, -1, "assistant", "w " * 50_000)]
+    found = rows(P.paired(P.format_pairs(frame(spark, chosen), frame(spark, rejected))))
+    whole = {}
+    for part, turns in (("prompt", chosen[:2]), ("chosen", chosen[2:]), ("rejected", rejected[2:])):
+        for pair, n, role, text in turns:
+            texts, spans = whole.setdefault((pair, n // 4), {}).setdefault(part, ([], []))
+            at = sum(map(len, texts))
+            texts.append(shown(role, text or ""))
+            if part != "prompt" and role == "assistant":
+                spans.append(f"{at + 22}-{at + len(texts[-1])}")
+    none = ([], [])
+    expected = [
+        (*key, *["".join(parts.get(p, none)[0]) for p in ("prompt", "chosen", "rejected")],
+         *[",".join(parts.get(p, none)[1]) for p in ("chosen", "rejected")])
+        for key, parts in whole.items()
+    ]
+    assert found == sorted(expected, key=repr)
+    assert {r[:2] for r in found} == {(1, 0), (1, 1), (2, -1)}
+    assert P.paired(P.format_pairs(frame(spark, []), frame(spark, []))).collect() == []
