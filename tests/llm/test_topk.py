@@ -53,19 +53,37 @@ def test_few_candidates_and_empty(spark, rows):
 
 
 def test_queries_in_several_passes(monkeypatch, spark, rows):
-    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 100)
     vectors = table(200, 4, 2)
     assert run(spark, rows, vectors, 3) == expected(vectors, set(range(0, 200, 20)), 3)
 
 
-def test_most_vectors_are_not_read():
+def test_few_exact_vectors_are_read(spark):
+    df = spark.createDataFrame([(i, v, 0, 0.0, 1) for i, v in table(4000, 16, 3)], SCHEMA).repartition(4)
+    asked = topk.settle(topk.packed(df.where("vec_id % 400 = 0")).withColumn("query", topk.F.col("vec_id")), "asked")
+    file = topk.index_of(df)
+    assert "body" not in file.cells.columns and "embedding" not in file.cells.columns
+    found = topk.candidates(file, asked, 10)
+    read = topk.read_in_order(file, asked, found, 10)
+    assert 100 <= read.count() <= found.count() < 0.1 * 10 * 4000
+
+
+def test_scores_beyond_64_bits_keep_their_rank(spark, rows):
+    vectors = [(0, [3e9, 1.0]), (1, [3e9, 2.0]), (2, [3e9, 2.0]), (3, [-3e9, 0.0]), (4, [1.0, 1.0]), (5, [3e30, 0.0])]
+    full = expected(vectors, {0}, 5)
+    assert [r[2] for r in full] == [5, 1, 2, 4, 3]
+    fits = lambda s: s if -(1 << 63) <= s < 1 << 63 else None
+    assert run(spark, rows, vectors, 5) == [(q, n, i, fits(s)) for q, n, i, s in full]
+
+
+def test_cells_bound_the_scores():
     import numpy as np
 
     draw = np.random.default_rng(0)
-    body = np.floor(draw.normal(0, 100, (4000, 16))).astype(np.int64)
-    block = topk.Cells(np.arange(4000), body, topk.BITS)
-    query = body[:1]
-    upper = block.upper(query.astype(float))[0]
-    scores = body @ query[0]
-    assert (upper >= scores).all()
-    assert (upper >= np.sort(scores)[-10]).sum() < 400
+    for dim, scale in ((1, 3), (5, 1e3), (7, 1e12)):
+        body = np.floor(draw.normal(0, scale, (300, dim)))
+        low, width, codes = topk.cells_of(body)
+        assert (topk.unpack(topk.pack(codes), len(body), dim) == codes).all()
+        lower, upper = topk.bounds_of(body[:20], low, width, codes)
+        scores = body[:20] @ body.T
+        assert (lower <= scores).all() and (scores <= upper).all()
