@@ -39,7 +39,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end at the next one of their kind.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
-ASIDE_TAGS = frozenset("nav aside footer form menu dialog button".split())
+ASIDE_TAGS = frozenset("nav aside footer menu dialog button".split())
 MAIN_TAGS = frozenset("article main".split())
 #: Words in class, id and role that name what stands beside an article.
 ASIDE_WORDS = frozenset(
@@ -54,6 +54,21 @@ ASIDE_WORDS = frozenset(
 MAIN_WORDS = frozenset("article articlebody body content entry main post story text".split())
 COMMENT_WORDS = frozenset("comment comments reply replies respond responses".split())
 NOT_ITSELF = frozenset("has with no without is".split())  # "has-sidebar" is not the sidebar
+#: Of the words above, those that mean the same whatever stands before them: "weather-widget", not "travel-warning".
+UNMISTAKABLE = frozenset(
+    "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments cookie cookies "
+    "disqus footer menu menubar modal nav navbar navigation newsletter outbrain pagination paywall popup promo sharing "
+    "sidebar sidebars signup sponsored subscribe subscription taboola toolbar topbar widget widgets".split()
+)
+#: Words of layout that say nothing about the content.
+LAYOUT = frozenset(
+    "area bar block bottom box button buttons card col column container elements global group holder icons inner item items "
+    "js layout left link links list module outer page panel placeholder posts primary right row secondary section site slot "
+    "small large sticky top unit wide wrap wrapper zone".split()
+)
+FORM_SHARE = 0.6  # of a page's words: a form with more, in plain blocks, is the page's frame
+FRAME_TAGS = frozenset("article main h1".split())
+PLAIN_WORDS = 15  # of a plain block in such a form, two of them at least
 
 
 @dataclass
@@ -78,30 +93,52 @@ def element_hint(tag: str, attributes: str, around: int) -> int:
         return -2
     if tag in ("html", "body"):
         return 0
-    words: set[str] = set()
+    names: list[str] = []
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
-            for one in value.split():
-                parts = [p.lower() for p in PART.findall(one)]
-                words.update([] if parts and parts[0] in NOT_ITSELF else parts)
+            names += value.split()
         elif name == "itemprop":
-            words.add(value.lower())
+            names.append(value.lower())
         elif (
             name == "hidden"
             or name == "aria-hidden" and value == "true"
             or name == "style" and "display:none" in value.replace(" ", "").lower()
         ):
             return -2
+    verdicts = {named(one) for one in names}
     titled = around > 0 and (tag in HEADINGS or tag == "header")  # an article's own head is part of it
-    beside = words & ASIDE_WORDS
-    if beside and not titled:
-        return 1 if tag in MAIN_TAGS and not beside & COMMENT_WORDS else -1
+    if not titled and verdicts & {"aside", "comment"}:
+        return 1 if tag in MAIN_TAGS and "comment" not in verdicts else -1
     if tag == "header":
         return around if around > 0 else -1
     if tag in MAIN_TAGS:
         return 1
-    return 1 if around == 0 and words & MAIN_WORDS else around
+    return 1 if around == 0 and "main" in verdicts else around
+
+
+def named(token: str) -> str:
+    """`aside`, `comment`, `main` or nothing: what a name in class, id or role says about its element.
+
+    The whole name counts first. Of a compound, parts count only together: one that has no other words than such
+    of layout and of articles ("site-footer", "comment-body"), or whose last word is beyond doubt
+    ("weather-widget"). "social-science" and "news-alert-body" say nothing against their content.
+    """
+    whole = token.lower()
+    if whole in COMMENT_WORDS:
+        return "comment"
+    if whole in ASIDE_WORDS:
+        return "aside"
+    if whole in MAIN_WORDS:
+        return "main"
+    parts = [p.lower() for p in PART.findall(token)]
+    if not parts or parts[0] in NOT_ITSELF:
+        return ""
+    core = [p for p in parts if p not in LAYOUT and not p.isdigit() and len(p) > 1]
+    beside = [p for p in core if p in ASIDE_WORDS]
+    if beside and (all(p in ASIDE_WORDS or p in MAIN_WORDS for p in core) or core[-1] in UNMISTAKABLE):
+        return "comment" if set(beside) & COMMENT_WORDS else "aside"
+    return "main" if core and core[-1] in MAIN_WORDS else ""
 
 
 def blocks(page: str) -> list[Block]:
@@ -109,15 +146,16 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
     pieces: list[str] = []
-    plain = linked = 0
-    links = 0
+    linked = links = 0
     state = {"heading": False}
+    forms: list[tuple[int, int, bool]] = []  # first block, block after the last, holds an article
+    opened: list[list] = []  # of the forms around: first block, holds an article
 
     def hint() -> int:
         return stack[-1][1] if stack else 0
 
     def text(raw: str) -> None:
-        nonlocal plain, linked
+        nonlocal linked
         if raw:
             decoded = entities.unescape(raw) if "&" in raw else raw
             pieces.append(decoded)
@@ -167,6 +205,14 @@ def blocks(page: str) -> list[Block]:
             continue  # inline markup parts no words; its class is not asked for
         flush()
         links = 0
+        if tag in FRAME_TAGS:
+            for one in opened:
+                one[1] = True
+        if tag == "form" and not closing:
+            opened.append([len(out), False])
+        elif tag == "form" and opened:
+            first, frame = opened.pop()
+            forms.append((first, len(out), frame))
         if closing:
             if any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
@@ -187,6 +233,14 @@ def blocks(page: str) -> list[Block]:
         state["heading"] = tag in HEADINGS
         stack.append((tag, element_hint(tag, m[3], hint())))
     flush()
+    forms += [(first, len(out), frame) for first, frame in opened]
+    total = sum(b.words for b in out)
+    for first, end, frame in forms:
+        inside = out[first:end]
+        plain = sum(b.words >= PLAIN_WORDS and b.density < 0.3 for b in inside)
+        if not frame and (plain < 2 or sum(b.words for b in inside) <= FORM_SHARE * total):
+            for b in inside:
+                b.hint = -1
     return out
 
 
@@ -227,6 +281,20 @@ LABELLED: list[list[tuple[int, int, int, int, int]]] = [
     [(8, 0, 0, 1, 1), (30, 1, 0, 0, 1), (28, 0, 0, 0, 1), (26, 0, 0, 0, 1), (3, 3, 0, 0, 0), (3, 3, 0, 0, 0)],
     [(16, 12, 0, 0, 0), (30, 25, 0, 0, 0), (22, 11, 0, 0, 0), (40, 22, 0, 0, 0), (10, 0, 0, 1, 1), (95, 9, 0, 0, 1),
      (55, 12, 0, 0, 1), (6, 3, 0, 0, 0)],
+    # linked blocks of an article: between plain ones they are text, in a row of links they are not
+    [(9, 0, 1, 1, 1), (55, 1, 1, 0, 1), (40, 40, 1, 0, 1), (62, 0, 1, 0, 1), (38, 0, 1, 0, 1), (20, 20, 1, 0, 1),
+     (47, 2, 1, 0, 1), (6, 6, -1, 0, 0)],
+    [(30, 0, 1, 0, 1), (25, 25, 1, 0, 1), (28, 0, 1, 0, 1), (33, 20, 1, 0, 1), (41, 3, 1, 0, 1)],
+    [(18, 0, 1, 0, 1), (18, 18, 1, 0, 1), (18, 0, 1, 0, 1), (15, 15, 1, 0, 1), (16, 0, 1, 0, 1)],
+    [(90, 4, 1, 0, 1), (16, 16, 1, 0, 1), (75, 0, 1, 0, 1), (60, 50, 1, 0, 1), (120, 0, 1, 0, 1)],
+    [(40, 0, 1, 0, 1), (20, 20, 1, 0, 0), (25, 25, 1, 0, 0), (30, 30, 1, 0, 0), (22, 22, 1, 0, 0)],
+    [(50, 2, 1, 0, 1), (7, 7, 1, 0, 0), (8, 8, 1, 0, 0), (40, 40, 1, 0, 0), (9, 0, -1, 0, 0)],
+    # no hints and little text: a short block without links around it is what the page says
+    [(10, 0, 0, 0, 1)],
+    [(6, 0, 0, 0, 1)],
+    [(14, 0, 0, 0, 1), (9, 0, 0, 0, 1)],
+    [(12, 1, 0, 0, 1), (11, 0, 0, 0, 1), (10, 0, 0, 0, 1)],
+    [(5, 0, 0, 1, 1), (10, 0, 0, 0, 1)],
 ]
 
 

@@ -18,6 +18,14 @@ PAGES = [
     (f"<article><p><b>Unclosed<p>{LONG}", f"Unclosed {LONG}"),
     (f"<ul><li><a>One</a><li><a>Two</a></ul><div><p>{LONG} {LONG}</p><p>{LONG}</p></div><p><a>Next page</a></p>",
      f"{LONG} {LONG} {LONG}"),
+    (f'<div class="social-science"><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG} {LONG}"),
+    (f"<body><form id=aspnetForm><nav><a>Home</a></nav><article><p>{LONG}</p></article></form></body>", LONG),
+    (f"<form><input><div><p>{LONG}</p><p>{LONG}</p></div></form><p><a>Imprint</a></p>", f"{LONG} {LONG}"),
+    (f"<article><p>{LONG}</p><p><a href=x>{LONG}</a></p><p>{LONG}</p></article>", f"{LONG} {LONG} {LONG}"),
+    (f'<article><p>{LONG}</p><div class="news-alert-body"><p>{LONG}</p></div></article>', f"{LONG} {LONG}"),
+    ("<div><p>A page with ten plain words in one short paragraph.</p></div>", "A page with ten plain words in one short paragraph."),
+    (f'<main><p>{LONG}</p></main><div class="user-comments"><div class="comment-body"><p>{LONG}</p></div></div>', LONG),
+    (f'<div class="sponsored-content"><p>{LONG}</p></div><article>{LONG}</article><div id=site-footer>{LONG}</div>', LONG),
     ("<nav><a>only</a></nav>", ""),
     ("<article>cut <a hre", "cut"),
     ("", ""),
@@ -30,6 +38,19 @@ def test_articles(page, text):
     assert H.main_text(page, TREE) == text
 
 
+NAMES = {
+    "social-science": "", "newsAlertBody": "main", "has-sidebar": "", "travel-warning": "", "header-image": "", "x2": "",
+    "sidebar-left": "aside", "siteFooter": "aside", "cookie-notice": "aside", "weather-widget": "aside", "ad-slot-3": "aside",
+    "sponsored-content": "aside", "post-comments": "comment", "comment-body": "comment", "user-comments": "comment",
+    "entry-content": "main", "article": "main", "Nav": "aside",
+}
+
+
+@pytest.mark.parametrize("token, says", NAMES.items())
+def test_names(token, says):
+    assert H.named(token) == says
+
+
 def test_the_tree_fits_its_table():
     rows = [(page, row) for page in H.LABELLED for row in page]
     right = 0
