@@ -170,11 +170,11 @@ shown AS (
     '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered
   FROM parts WHERE role IS NOT NULL),
 placed AS (
-  SELECT *, sum(length(rendered)) OVER (PARTITION BY conv_id, piece, part ORDER BY turn) - length(rendered) AS at
+  SELECT *, sum(length(rendered)) OVER (PARTITION BY conv_id, piece, part ORDER BY turn) - length(rendered) AS begun
   FROM shown),
 spans AS (
-  SELECT *, CASE WHEN role = 'assistant' THEN CAST(at + 13 + length(role) AS BIGINT) || '-'
-    || CAST(at + length(rendered) AS BIGINT) END AS span FROM placed)
+  SELECT *, CASE WHEN role = 'assistant' THEN CAST(begun + 13 + length(role) AS BIGINT) || '-'
+    || CAST(begun + length(rendered) AS BIGINT) END AS span FROM placed)
 SELECT conv_id, piece,
   coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (WHERE part = 'prompt'), '') AS prompt,
   coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (WHERE part = 'chosen'), '') AS chosen,
