@@ -63,3 +63,9 @@ def test_every_stage_against_brute_force(spark, tmp_path):
         seen[name] = frame.count()
     assert {r["doc_id"] for r in frame.collect()} == {i for i, _ in rows}
     assert C.run(spark, folder).count() == seen["packing"]
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    write(spark, folder, [], [])
+    assert C.run(spark, folder).collect() == []
