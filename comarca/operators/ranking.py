@@ -62,11 +62,13 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     A sketch brackets each quantile, by five times its rank error. Counts merged from partial aggregates say
     how many rows lie below and inside a bracket; one that misses a wanted rank, as in a group of few rows, is
     opened to that side. Only rows inside the brackets are grouped and ordered: no task holds a group.
+    The values are written first, since they are read three times: sums of doubles computed anew may differ in
+    their last bits and then miss their own bracket.
     """
     eps = 5.0 / ACCURACY
     names, k = list(probs), len(probs)
     edges = [max(0.0, p - eps) for p in probs.values()] + [min(1.0, p + eps) for p in probs.values()]
-    present = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    present = settle(df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")), "values")
     sketch = settle(
         present.groupBy(*by).agg(
             F.count("*").alias("_total"),

@@ -13,6 +13,7 @@ from comarca.plans.aggregation import RULES, _long
 from comarca.plans.base import annual, moves, panel, quarterly, series, table, with_ctes
 from comarca.plans.catalog import query
 from comarca.plans.index_base import INDEX_SQL, index_scores
+from comarca.session import settle
 
 
 @query(
@@ -166,7 +167,7 @@ def expect_overlap_small(spark, d):
         F.sum("amount").alias("old_value"), F.sum(F.col("amount") * factor).alias("new_value")
     )
     gap = F.abs(F.col("new_value") - F.col("old_value")) / F.abs("old_value")
-    gaps = pairs.filter("old_value <> 0").select("unit", gap.alias("gap"))
+    gaps = settle(pairs.filter("old_value <> 0").select("unit", gap.alias("gap")), "gaps")
     stats = gaps.groupBy("unit").agg(F.count("*").alias("pairs"), F.max("gap").alias("max_gap"))
     both = stats.join(exact_quantiles(gaps, ["unit"], "gap", {"median_gap": 0.5}), "unit")
     return both.filter("median_gap > 0.02 or max_gap > 0.10")
