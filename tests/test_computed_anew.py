@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from comarca.operators import ranking
+from comarca.plans import CATALOG, ingestion
 
 
 @pytest.fixture
@@ -20,3 +21,11 @@ def test_quantiles_lose_no_group(spark, anew):
     df = spark.createDataFrame(rows, "g int, v double").select("g", anew("v").alias("v"))
     got = {r["g"]: r["m"] for r in ranking.exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
     assert got == pytest.approx({g: 0.1 if g % 2 else 0.3 for g in range(40)}, rel=1e-9)
+
+
+def test_vintages_share_their_sums(spark, anew, monkeypatch):
+    rows = [(u, y, q, 1000.0 * u + y + q) for u in range(3) for y in range(1994, 2002) for q in range(1, 5)]
+    facts = spark.createDataFrame(rows, "unit int, year int, quarter int, amount double")
+    monkeypatch.setattr(ingestion, "quarterly", lambda spark, d: facts.withColumn("amount", anew("amount")))
+    got = {(r["unit"], r["year"], r["quarter"]) for r in CATALOG["snapshot_diff"].run(spark, "").collect()}
+    assert got == {(u, *at) for u in range(3) for at in ((1995, 1), (2000, 2), (2002, 1))}
