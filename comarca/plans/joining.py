@@ -188,12 +188,13 @@ def two_sources_long(spark, d):
     total=2,
 )
 def join_variable_map(spark, d):
+    """Columns are summed before they meet their variables, so that the join has a row per source and column."""
     vmap = S.variable_map(variables(spark), {"old_column": "old", "new_column": "new"})
+    sums = two_sources_long(spark, d).groupBy("source", "column").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return (
-        two_sources_long(spark, d)
-        .join(vmap, ["source", "column"])
+        sums.join(vmap, ["source", "column"])
         .groupBy("variable", "source")
-        .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+        .agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     )
 
 

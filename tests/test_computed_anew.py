@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from comarca.operators import ranking
-from comarca.plans import CATALOG, ingestion
+from comarca.plans import CATALOG, ingestion, joining
 
 
 @pytest.fixture
@@ -29,3 +29,15 @@ def test_vintages_share_their_sums(spark, anew, monkeypatch):
     monkeypatch.setattr(ingestion, "quarterly", lambda spark, d: facts.withColumn("amount", anew("amount")))
     got = {(r["unit"], r["year"], r["quarter"]) for r in CATALOG["snapshot_diff"].run(spark, "").collect()}
     assert got == {(u, *at) for u in range(3) for at in ((1995, 1), (2000, 2), (2002, 1))}
+
+
+def test_columns_are_summed_before_they_meet_their_variables(spark, monkeypatch):
+    rows = [("old", "l_quantity", 1.5), ("old", "l_quantity", None), ("old", "x", 9.0), ("new", "qty", 2.0), ("new", "qty", 4.0)]
+    long = spark.createDataFrame(rows, "source string, column string, value double")
+    monkeypatch.setattr(joining, "two_sources_long", lambda spark, d: long)
+    monkeypatch.setattr(joining, "VARIABLES", [*joining.VARIABLES, ("again", "l_quantity", "")])
+    df = joining.join_variable_map(spark, "")
+    want = {("quantity_total", "old", 2, 1.5), ("again", "old", 2, 1.5), ("quantity_total", "new", 2, 6.0)}
+    assert {(r["variable"], r["source"], r["n"], r["total"]) for r in df.collect()} == want
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert next(i for i, x in enumerate(lines) if "Join" in x) < max(i for i, x in enumerate(lines) if "Aggregate" in x)
