@@ -32,11 +32,11 @@ BAND = 1.5  # ratio of the bands of set sizes; a partner lies in the same band o
 SKETCH = 8  # 64-bit words of a set's bitmap; sets whose bitmaps differ in more bits than allowed can't be linked
 NEIGHBOURED = 6  # first segments that index their one-deletion neighbourhoods
 BUCKET = 250_000  # signatures that are grouped in one go, about
-FLUSH = 1_500_000  # signatures that a task holds before it hands them on
+FLUSH = 500_000  # signatures that a task holds before it hands them on
 HUB_ROUNDS, HUBS = 2, 2  # rounds in which so many likely partners of a set are tried before the exhaustive search
 STEPS = np.array([1, 2, 3, 5, 8, 13])  # how far before a set its likely partners stand in a meeting
-SENT_BYTES = 64 << 20  # hashes sent to every task up to this size
-SENT_ROWS = 2_000_000  # set ids sent to every task up to this count; beyond it they are joined by shuffle
+SENT_BYTES = 16 << 20  # hashes sent to every task up to this size
+SENT_ROWS = 500_000  # set ids sent to every task up to this count; beyond it they are joined by shuffle
 
 U = np.uint64
 ODD = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)]
@@ -51,25 +51,54 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
+#: What a byte adds to its word: A-Z count as a-z, blanks as nothing.
+BYTE = np.array([0 if b == 32 or 9 <= b <= 13 else b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], U)
+BLANK = BYTE == 0
+BACK = U(pow(int(BASE), -1, 1 << 64))
+CHUNK = 1 << 16
+_POWERS: dict[np.uint64, np.ndarray] = {}
+
+
+def powers(base: np.uint64, at: np.ndarray) -> np.ndarray:
+    """base to the power of each place, mod 2^64: two short tables serve texts of any length below 2^32 bytes."""
+    if base not in _POWERS:
+        with np.errstate(over="ignore"):
+            small = np.cumprod(np.concatenate([[U(1)], np.full(CHUNK, base, U)]))
+            _POWERS[base] = np.concatenate([small[:-1], np.cumprod(np.concatenate([[U(1)], np.full(CHUNK - 1, small[-1], U)]))])
+    table = _POWERS[base]
+    if not len(at) or at[-1] < CHUNK:  # places rise
+        return table[at]
+    with np.errstate(over="ignore"):
+        return table[at % CHUNK] * table[CHUNK + at // CHUNK]
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    hashes = np.sort(hashes)
+    new = np.ones(len(hashes), bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+    return hashes[new]
+
+
 def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the shingles of a text; a shorter text is one shingle."""
-    raw = np.frombuffer(b" " + (text or "").encode("utf-8", "surrogatepass").lower() + b" ", np.uint8)
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    """The sorted distinct 64-bit hashes of the shingles of a text; a shorter text is one shingle.
+
+    A word is hashed as a polynomial in BASE. Its bytes are multiplied by the powers of their places in the text,
+    and the sum is moved back to one place before the word, as BASE is odd and has an inverse.
+    """
+    raw = np.frombuffer(b" " + (text or "").encode("utf-8", "surrogatepass") + b" ", np.uint8)
+    blank = BLANK[raw]
     starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     if not len(starts):
         return np.zeros(0, U)
     with np.errstate(over="ignore"):
-        first = np.zeros(len(raw), np.int64)
-        first[starts] = starts
-        place = np.arange(len(raw)) - np.maximum.accumulate(first)
-        place[blank] = 0
-        powers = np.cumprod(np.full(int(place.max()) + 1, BASE, U))
-        words = mix(np.add.reduceat(np.where(blank, U(0), (raw.astype(U) + U(1)) * powers[place]), starts))
+        sums = BYTE[raw] * powers(BASE, np.arange(len(raw)))
+        words = mix(np.add.reduceat(sums, starts) * powers(BACK, starts - 1))
         n = max(1, len(words) - WORDS + 1)
         total = np.full(n, U(len(words) if len(words) < WORDS else WORDS))
         for i in range(min(WORDS, len(words))):
             total += words[i : i + n] * ODD[i]
-    return np.unique(mix(total))
+    return distinct(mix(total))
 
 
 # ------------------------------------------------------------------------------------------------- size bands
@@ -126,7 +155,9 @@ def signatures(hashes: np.ndarray, band: int, below: int) -> tuple[np.ndarray, n
         first = BANDS.neighboured(band)
         within = int(np.searchsorted(segment, first))
         less = np.repeat(sums, np.diff(np.append(at, len(segment))))[:within] - hashes[:within]
-        empty = np.setdiff1d(np.arange(first, dtype=U), present)
+        missing = np.ones(first, bool)
+        missing[present[present < U(first)].astype(np.int64)] = False
+        empty = np.flatnonzero(missing).astype(U)
         signs = mix(np.concatenate([sums + salt(present), less + salt(segment[:within]), salt(empty)]))
     kinds = [(present, EXACT), (segment[:within], DELETED), (empty, EMPTY)]
     return signs, np.concatenate([s.astype(np.uint32) * 8 + below * 4 + kind for s, kind in kinds]).astype(np.uint32)
@@ -172,7 +203,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 h = shingles(text.as_py())
                 row = [doc_id, key, len(h), set_id(h) if len(h) else None, None, None, None, None, None]
                 for band, below in BANDS.schemes(len(h)) if len(h) else []:
-                    row[4 + 2 * below] = len(np.unique(segment_of(h, BANDS.segments(band))))
+                    row[4 + 2 * below] = len(distinct(segment_of(h, BANDS.segments(band))))
                     row[5 + 2 * below] = BANDS.neighboured(band)
                     row[8] = BANDS.tops[band] if below else None
                 rows.append([*row, *(bitmap(h) if len(h) else [None] * SKETCH)])
@@ -276,8 +307,8 @@ def meetings(packed: DataFrame) -> DataFrame:
 BODIES = "set_id long, body binary"
 
 
-def bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The hashes of the wanted sets."""
+def bodies(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The hashes of the wanted sets. Of the texts with a wanted set one is hashed, told by its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,9 +322,11 @@ def bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 names=["set_id", "body"],
             )
 
-    sent = F.broadcast(wanted) if wanted.count() <= SENT_ROWS else wanted
-    every = docs.select("text").mapInArrow(run, BODIES)
-    return every.join(sent, "set_id", "left_semi").dropDuplicates(["set_id"])
+    texts = sets.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("row").alias("wanted_row"))
+    texts = settle(texts.select("wanted_row").distinct(), "wanted-texts")
+    sent = F.broadcast(texts) if texts.count() <= SENT_ROWS else texts
+    every = docs.join(sent, F.xxhash64("text") == F.col("wanted_row"), "left_semi").select("text").mapInArrow(run, BODIES)
+    return every.dropDuplicates(["set_id"])
 
 
 def sketched(facts: DataFrame, side: str) -> DataFrame:
@@ -383,7 +416,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     size = facts.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(64, math.ceil(size * 0.6 / BUCKET))
     met = settle(meetings(packed_signatures(docs, buckets)), "meetings")
-    links = linked_sets(docs, facts, met)
+    links = linked_sets(docs, sets, facts, met)
     roots = components(links)
     rooted = facts.select("set_id", "smallest").join(roots, F.col("set_id") == F.col("node"), "left")
     rooted = rooted.select("set_id", "smallest", F.coalesce("root", "set_id").alias("root"))
@@ -398,7 +431,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     )
 
 
-def linked_sets(docs: DataFrame, facts: DataFrame, met: DataFrame) -> DataFrame:
+def linked_sets(docs: DataFrame, sets: DataFrame, facts: DataFrame, met: DataFrame) -> DataFrame:
     """Links (a, b) between sets, enough to connect all sets that similarity connects."""
     code = F.col("code")
     met = met.select(
@@ -418,7 +451,7 @@ def linked_sets(docs: DataFrame, facts: DataFrame, met: DataFrame) -> DataFrame:
     roles = settle(roles, "roles")
     key = ["set_id", "below"]
     met, live = _peeled(met, roles, "set_id")
-    known = settle(bodies(docs, live.select("set_id").distinct()), "bodies")
+    known = settle(bodies(docs, sets, live.select("set_id").distinct()), "bodies")
 
     # the set that stands before a set most often is tried first
     tries = met.where(f"kind = {EXACT} and earlier is not null").groupBy("set_id", "earlier").agg(F.count("*").alias("c"))

@@ -95,6 +95,43 @@ def test_shuffled_hashes_give_the_same(monkeypatch, docs_of, rows):
     check(docs_of, rows, list(enumerate(copies(8, 10, 4, [12, 40], 0.05))))
 
 
+def test_only_wanted_texts_are_hashed_again(docs_of):
+    docs = docs_of([(i, f"a b c d e f {i}") for i in range(9)] + [(20, "a b c d e f 3"), (21, None)]).select("doc_id", "text")
+    sets = J.sets_of(docs)
+    wanted = sets.where("doc_id in (3, 5)").select("set_id")
+    found = J.bodies(docs, sets, wanted)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("LeftSemi")
+    got = {r["set_id"]: bytes(r["body"]) for r in found.collect()}
+    hashes = [J.shingles(f"a b c d e f {i}") for i in (3, 5)]
+    assert got == {J.set_id(h): h.tobytes() for h in hashes}
+
+
+def test_tens_of_megabytes_of_hashes_are_not_sent(spark):
+    known = spark.range(20_000).selectExpr("id as set_id", "cast(repeat('x', 1000) as binary) as body")
+    pairs = spark.range(19_999).selectExpr("id as a", "id + 1 as b")
+    assert "broadcast" not in J.verified(pairs, known)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("text", ["One two  THREE\tfour five six", "x" * 70_000 + " é \x1c y", "late " * 40_000 + "Wörd"])
+def test_words_are_hashed_as_polynomials(text):
+    m = 1 << 64
+    words = [b for b in text.encode().lower().split()]
+    sums = []
+    for w in words:
+        at, total = 1, 0
+        for b in w:
+            at = at * int(J.BASE) % m
+            total = (total + (b + 1) * at) % m
+        sums.append(total)
+    sums = J.mix(np.array(sums, np.uint64))
+    n = max(1, len(words) - 4)
+    k = min(5, len(words))
+    with np.errstate(over="ignore"):
+        whole = [np.uint64(k) + np.sum(sums[i : i + k] * np.array(J.ODD[:k]), dtype=np.uint64) for i in range(n)]
+    assert (J.shingles(text) == np.unique(J.mix(np.array(whole, np.uint64)))).all()
+
+
 def test_empty_table(docs_of):
     assert J.join(docs_of([])).collect() == []
 
