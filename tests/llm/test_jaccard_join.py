@@ -107,6 +107,13 @@ def test_only_wanted_texts_are_hashed_again(docs_of):
     assert got == {J.set_id(h): h.tobytes() for h in hashes}
 
 
+def test_signatures_are_handed_on_in_small_batches(spark):
+    texts = [(" ".join(f"{i}x{j}" for j in range(12_000)),) for i in range(200)]
+    packed = J.packed_signatures(spark.createDataFrame(texts, "text string").coalesce(1), 1)
+    held = [r[0] // 4 for r in packed.selectExpr("octet_length(signs)").collect()]
+    assert sum(held) > 600_000 and max(held) < 600_000
+
+
 def test_tens_of_megabytes_of_hashes_are_not_sent(spark):
     known = spark.range(20_000).selectExpr("id as set_id", "cast(repeat('x', 1000) as binary) as body")
     pairs = spark.range(19_999).selectExpr("id as a", "id + 1 as b")
