@@ -29,7 +29,7 @@ WORDS = 5
 #: Linked at 100 * intersection >= 80 * union; sets of l and s then differ in (l + s) // 9 hashes at most.
 SHARE, WHOLE = 80, 100
 BAND = 1.5  # ratio of the bands of set sizes; a partner lies in the same band or the next
-SKETCH = 8  # 64-bit words of a set's bitmap; sets whose bitmaps differ in more bits than allowed can't be linked
+SKETCH = 16  # 64-bit words of a set's parities; sets whose parities differ in more bits than allowed can't be linked
 NEIGHBOURED = 6  # first segments that index their one-deletion neighbourhoods
 BUCKET = 250_000  # signatures that are grouped in one go, about
 FLUSH = 500_000  # signatures that a task holds before it hands them on
@@ -136,6 +136,7 @@ class Bands:
 
 BANDS = Bands()
 EXACT, DELETED, EMPTY = 0, 1, 2  # kinds of a signature
+KIND, BELOW, SEGMENT = "code % 4", "shiftright(code, 2) % 2", "shiftright(code, 3)"  # what a code tells, in SQL
 
 
 def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
@@ -166,17 +167,17 @@ def signatures(hashes: np.ndarray, band: int, below: int) -> tuple[np.ndarray, n
 # ------------------------------------------------------------------------------------------------------ passes
 
 BITS = [f"bits{i}" for i in range(SKETCH)]
-SETS = (
-    "doc_id long, row long, n_shingles long, set_id long, own int, own_first int, low int, low_first int, low_top long, "
-    + ", ".join(f"{b} long" for b in BITS)
-)
+SETS = "doc_id long, row long, n_shingles long, set_id long, own int, own_first int, low int, low_first int, low_top long"
 
 
-def bitmap(hashes: np.ndarray) -> list[int]:
-    """Every hash sets one bit: two sets differ in at least as many hashes as their bitmaps in bits."""
-    marks = np.zeros(64 * SKETCH, np.uint8)
-    marks[(mix(hashes ^ ODD[3]) % U(64 * SKETCH)).astype(np.int64)] = 1
-    return np.packbits(marks).view(np.int64).tolist()
+def parities(hashes: np.ndarray) -> list[int]:
+    """Every hash flips one bit: two sets differ in at least as many hashes as their parities in bits.
+
+    What two sets share leaves no trace in the difference, so that it tells sets apart that fill all bits.
+    """
+    places = (mix(hashes ^ ODD[3]) % U(64 * SKETCH)).astype(np.int64)
+    flips = np.bincount(places, minlength=64 * SKETCH) % 2
+    return np.packbits(flips.astype(np.uint8)).view(np.int64).tolist()
 
 
 def plausible(a: str, b: str) -> str:
@@ -206,11 +207,10 @@ def sets_of(docs: DataFrame) -> DataFrame:
                     row[4 + 2 * below] = len(distinct(segment_of(h, BANDS.segments(band))))
                     row[5 + 2 * below] = BANDS.neighboured(band)
                     row[8] = BANDS.tops[band] if below else None
-                rows.append([*row, *(bitmap(h) if len(h) else [None] * SKETCH)])
+                rows.append(row)
             schema = pa.schema(
                 [("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("own", pa.int32()),
-                 ("own_first", pa.int32()), ("low", pa.int32()), ("low_first", pa.int32()), ("low_top", pa.int64()),
-                 *((b, pa.int64()) for b in BITS)]
+                 ("own_first", pa.int32()), ("low", pa.int32()), ("low_first", pa.int32()), ("low_top", pa.int64())]
             )
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays(
@@ -304,11 +304,11 @@ def meetings(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(group, MET)
 
 
-BODIES = "set_id long, body binary"
+BODIES = "set_id long, body binary, n long, " + ", ".join(f"{b} long" for b in BITS)
 
 
 def bodies(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The hashes of the wanted sets. Of the texts with a wanted set one is hashed, told by its hash."""
+    """The hashes of the wanted sets, their sizes and parities. Of the texts with a wanted set one is hashed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,10 +316,12 @@ def bodies(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
             for text in batch.column(0):
                 h = shingles(text.as_py())
                 if len(h):
-                    found[set_id(h)] = h.tobytes()
+                    found[set_id(h)] = (h.tobytes(), len(h), *parities(h))
+            columns = list(zip(*found.values(), strict=True)) if found else [[]] * (2 + SKETCH)
+            kinds = [pa.binary(), *[pa.int64()] * (1 + SKETCH)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())],
-                names=["set_id", "body"],
+                [pa.array(list(found), pa.int64()), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]],
+                names=["set_id", "body", "n", *BITS],
             )
 
     texts = sets.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("row").alias("wanted_row"))
@@ -329,18 +331,14 @@ def bodies(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return every.dropDuplicates(["set_id"])
 
 
-def sketched(facts: DataFrame, side: str) -> DataFrame:
-    """set_id as {side}, its size and its bitmap."""
-    return facts.select(
-        F.col("set_id").alias(side),
-        F.col("n_shingles").alias(f"{side}_n"),
-        *[F.col(b).alias(f"{side}_{b}") for b in BITS],
-    )
+def sketched(sketches: DataFrame, side: str) -> DataFrame:
+    """set_id as {side}, its size and its parities."""
+    return sketches.select(F.col("set_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *BITS)])
 
 
-def likely(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """The pairs that sizes and bitmaps do not rule out."""
-    both = pairs.join(sketched(facts, "a"), "a").join(sketched(facts, "b"), "b")
+def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs that sizes and parities do not rule out."""
+    both = pairs.join(sketched(sketches, "a"), "a").join(sketched(sketches, "b"), "b")
     return both.where(plausible("a_", "b_")).select("a", "b")
 
 
@@ -410,7 +408,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     sets = settle(sets_of(docs), "sets")
     facts = sets.where("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("smallest"),
-        *[F.first(c).alias(c) for c in ("n_shingles", "own", "own_first", "low", "low_first", "low_top", *BITS)],
+        *[F.first(c).alias(c) for c in ("n_shingles", "own", "own_first", "low", "low_first", "low_top")],
     )
     facts = settle(facts, "set-facts")
     size = facts.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
@@ -433,11 +431,6 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 def linked_sets(docs: DataFrame, sets: DataFrame, facts: DataFrame, met: DataFrame) -> DataFrame:
     """Links (a, b) between sets, enough to connect all sets that similarity connects."""
-    code = F.col("code")
-    met = met.select(
-        "set_id", "meeting", "earlier",
-        F.shiftright(code, 3).alias("segment"), (F.shiftright(code, 2) % 2).alias("below"), (code % 4).alias("kind"),
-    )
     n = F.col("n_shingles")
     allowed = lambda other: F.floor((n + other) / 9) + 1  # noqa: E731  units that no partner can take
     larger = F.floor(n * WHOLE / SHARE)
@@ -450,50 +443,59 @@ def linked_sets(docs: DataFrame, sets: DataFrame, facts: DataFrame, met: DataFra
     )
     roles = settle(roles, "roles")
     key = ["set_id", "below"]
-    met, live = _peeled(met, roles, "set_id")
-    known = settle(bodies(docs, sets, live.select("set_id").distinct()), "bodies")
+    narrow = met.select("set_id", "meeting", "code")
+    live = settle(_live(narrow, roles), "live-sets")
+    member = settle(_mixed(_of(narrow, live.select(*key)).drop("below"), "set_id"), "live-meetings")
+    wanted = settle(live.select("set_id").distinct(), "wanted-sets")
+    known = settle(bodies(docs, sets, wanted), "bodies")
+    sketches = settle(known.select("set_id", "n", *BITS), "sketches")
 
     # the set that stands before a set most often is tried first
-    tries = met.where(f"kind = {EXACT} and earlier is not null").groupBy("set_id", "earlier").agg(F.count("*").alias("c"))
+    tries = (
+        met.where(f"{KIND} = {EXACT} and earlier is not null")
+        .join(wanted, "set_id", "left_semi")
+        .join(wanted.withColumnRenamed("set_id", "earlier"), "earlier", "left_semi")
+        .groupBy("set_id", "earlier")
+        .agg(F.count("*").alias("c"))
+    )
     best = tries.groupBy("set_id").agg(F.max_by("earlier", F.struct("c", "earlier")).alias("earlier"))
     best = best.select(F.col("set_id").alias("a"), F.col("earlier").alias("b"))
-    roots = components(verified(likely(best, facts), known))
+    roots = components(verified(likely(best, sketches), known))
     # then the hubs of the meetings that still join several components: copies lie nearer to what they were
-    # copied from than to each other, and that shares most of their meetings
+    # copied from than to each other, and that shares most of their meetings; components only grow, so that a
+    # meeting within one never counts again
     for _ in range(HUB_ROUNDS):
-        member, _live = _peeled(_rooted(met, roots), roles, "root", 1)
-        apart = settle(likely(_hub_tries(member), facts), "hub-tries")
+        member = settle(_mixed(_rooted(member, roots), "root"), "mixed-meetings")
+        apart = settle(likely(_hub_tries(member), sketches), "hub-tries")
         if not apart.take(1):
             break
         roots = components(roots.toDF("a", "b").unionByName(verified(apart, known)))
 
     # meetings within one component cost nothing any more
-    member, live = _peeled(_rooted(met, roots), roles, "root")
-    there = member.groupBy("meeting", "root").agg(F.count("*").alias("c"))
-    sizes = there.groupBy("meeting").agg(F.sum("c").alias("all"), F.max_by("root", F.struct("c", "root")).alias("major"))
-    member = settle(
-        member.join(sizes, "meeting").withColumn("is_major", F.col("root") == F.col("major")), "costed-members"
-    )
+    member = settle(_mixed(_rooted(member, roots), "root"), "mixed-meetings")
+    live = settle(_live(member, roles), "live-sets")
+    member = settle(_costed(_of(member, live.select(*key)).drop("below")), "costed-members")
     short = live.join(_dear(member), key).withColumn("lacks", F.col("asks") - _free()).where("lacks > 0")
     # units to buy are a set's cheapest mixed segments; if all do not suffice, neighbourhoods as well
     all_of_them = (F.col("filled") < F.col("asks")).alias("all_of_them")
     enough = F.col("filled") + F.col("first") >= F.col("asks")
-    short = short.withColumn(
-        "lacks", F.when(enough, F.col("lacks")).otherwise(F.raise_error(F.lit("a set fills too few segments")))
-    ).select(*key, "lacks", all_of_them)
-    cheapest = Window.partitionBy(*key).orderBy((F.col("kind") != EXACT).cast("int"), "all", "meeting")
+    short = settle(
+        short.withColumn(
+            "lacks", F.when(enough, F.col("lacks")).otherwise(F.raise_error(F.lit("a set fills too few segments")))
+        ).select(*key, "lacks", all_of_them),
+        "short-sets",
+    )
+    cheapest = Window.partitionBy(*key).orderBy(F.expr(f"{KIND} <> {EXACT}"), "all", "meeting")
     bought = (
-        member.join(short, key)
+        _of(member, short)
         .withColumn("nth", F.row_number().over(cheapest))
-        .where(f"all_of_them or (kind = {EXACT} and nth <= lacks)")
-        .select(
-            F.col("set_id").alias("a"), "meeting", F.col("root").alias("a_root"), F.col("is_major").alias("a_major")
-        )
-        .join(sketched(facts, "a"), "a")
-    )
-    held = member.where("below = 0").select(
-        F.col("set_id").alias("b"), "meeting", F.col("root").alias("b_root"), F.col("is_major").alias("b_major")
-    ).join(sketched(facts, "b"), "b")
+        .where(f"all_of_them or {KIND} = {EXACT} and nth <= lacks")
+    )
+    # dealt by meeting while the rows are narrow
+    side = lambda rows, a: rows.select(
+        F.col("set_id").alias(a), "meeting", F.col("root").alias(f"{a}_root"), F.col("is_major").alias(f"{a}_major")
+    ).repartition("meeting").join(sketched(sketches, a), a)
+    bought, held = side(bought, "a"), side(member.where(f"{BELOW} = 0"), "b")
     # the largest component of a meeting is never joined with itself
     wanted = f"a_root <> b_root and (b_n < a_n or b_n = a_n and b < a) and {plausible('a_', 'b_')}"
     pairs = (
@@ -506,8 +508,8 @@ def linked_sets(docs: DataFrame, sets: DataFrame, facts: DataFrame, met: DataFra
 
 
 def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
-    found = met.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
-    return found.drop("node", "earlier")
+    found = met.select("set_id", "meeting", "code").join(roots, F.col("set_id") == F.col("node"), "left")
+    return found.withColumn("root", F.coalesce("root", "set_id")).drop("node")
 
 
 def _hub_tries(member: DataFrame) -> DataFrame:
@@ -515,42 +517,46 @@ def _hub_tries(member: DataFrame) -> DataFrame:
 
     A set weighs as much as its meetings have members; the heaviest set of a meeting is its hub.
     """
-    sizes = member.groupBy("meeting").agg(F.count("*").alias("size"))
-    weights = member.join(sizes, "meeting").groupBy("set_id").agg(F.sum("size").alias("weight"))
-    hubs = (
-        member.join(weights, "set_id")
-        .groupBy("meeting")
-        .agg(F.max(F.struct("weight", F.col("set_id").alias("hub"), F.col("root").alias("hub_root"))).alias("h"))
-        .select("meeting", "h.hub", "h.hub_root")
+    weights = settle(member.groupBy("set_id").agg(F.sum("all").alias("weight")), "weights")
+    heaviest = F.max(F.struct("weight", F.col("set_id").alias("hub"), F.col("root").alias("hub_root")))
+    found = member.join(weights, "set_id").select(
+        "set_id", "root", heaviest.over(Window.partitionBy("meeting")).alias("h")
     )
-    tries = member.join(hubs, "meeting").where("root <> hub_root").groupBy("set_id", "hub").agg(F.count("*").alias("c"))
+    tries = found.where("root <> h.hub_root").groupBy("set_id", F.col("h.hub").alias("hub")).agg(F.count("*").alias("c"))
     nth = Window.partitionBy("set_id").orderBy(F.desc("c"), "hub")
     best = tries.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= HUBS)
     return best.select(F.col("set_id").alias("a"), F.col("hub").alias("b"))
 
 
-def _peeled(met: DataFrame, roles: DataFrame, apart: str, times: int = 2) -> tuple[DataFrame, DataFrame]:
-    """The meetings of sets that differ in `apart`, and the sets that may still have a partner there.
+def _mixed(met: DataFrame, apart: str) -> DataFrame:
+    """The meetings of sets that differ in `apart`, with the number of their members as `all`."""
+    there = Window.partitionBy("meeting")
+    ends = {"low": F.min(apart).over(there), "high": F.max(apart).over(there), "all": F.count("*").over(there)}
+    return met.withColumns(ends).where("low < high").drop("low", "high")
 
-    A set whose free units exceed the differences allowed has none in the scheme and leaves; meetings that then
-    join nothing are free in turn, so this is done a few times over.
-    """
-    key = ["set_id", "below"]
-    for turn in range(times + 1):
-        ends = met.groupBy("meeting").agg(F.min(apart).alias("low"), F.max(apart).alias("high")).where("low < high")
-        met = met.join(ends.select("meeting"), "meeting")
-        if turn == times:
-            break
-        live = settle(roles.join(_dear(met), key).where(_free() < F.col("keeps")).drop("dear", "near"), "live-sets")
-        met = settle(met.join(live.select(*key), key), "live-meetings")
-    return settle(met, "live-meetings"), live
+
+def _costed(met: DataFrame) -> DataFrame:
+    """The mixed meetings, with the component that has most members there marked as major."""
+    of_root = _mixed(met.drop("all"), "root").withColumn("c", F.count("*").over(Window.partitionBy("meeting", "root")))
+    most = F.max(F.struct("c", "root")).over(Window.partitionBy("meeting"))
+    return of_root.withColumn("most", most).withColumn("is_major", F.expr("root = most.root")).drop("c", "most")
+
+
+def _live(met: DataFrame, roles: DataFrame) -> DataFrame:
+    """The roles of sets that may still have a partner: others have more free units than differences allowed."""
+    return roles.join(_dear(met), ["set_id", "below"]).where(_free() < F.col("keeps")).drop("dear", "near")
+
+
+def _of(met: DataFrame, roles: DataFrame) -> DataFrame:
+    """The meetings of the given roles. Those that then join nothing are free in turn."""
+    return met.withColumn("below", F.expr(BELOW)).join(roles, ["set_id", "below"])
 
 
 def _dear(met: DataFrame) -> DataFrame:
     """For each set and scheme, its segments that meet others and its first ones that do so in any way."""
-    return met.groupBy("set_id", "below").agg(
-        F.count_if(F.col("kind") == EXACT).alias("dear"),
-        F.size(F.collect_set(F.when(F.col("segment") < NEIGHBOURED, F.col("segment")))).alias("near"),
+    first = F.expr(f"if({SEGMENT} < {NEIGHBOURED}, shiftleft(1, {SEGMENT}), 0)")
+    return met.groupBy("set_id", F.expr(BELOW).alias("below")).agg(
+        F.count_if(F.expr(f"{KIND} = {EXACT}")).alias("dear"), F.bit_count(F.bit_or(first)).alias("near")
     )
 
 

@@ -139,6 +139,46 @@ def test_words_are_hashed_as_polynomials(text):
     assert (J.shingles(text) == np.unique(J.mix(np.array(whole, np.uint64)))).all()
 
 
+def test_a_family_short_of_the_threshold_gives_few_pairs(monkeypatch, docs_of, rows):
+    draw = random.Random(12)
+    base = [f"b{i}" for i in range(400)]
+    texts = []
+    for m in range(40):  # each lacks a tenth of the shingles of the base, two of them about a fifth of each other's
+        own = list(base)
+        for at in draw.sample(range(0, 400, 5), 9 if m else 0):
+            own[at] = f"m{m}x{at}"
+        texts.append(" ".join(own))
+    seen = []
+    verify = J.verified
+    monkeypatch.setattr(J, "verified", lambda pairs, known: seen.append(pairs.distinct().count()) or verify(pairs, known))
+    check(docs_of, rows, list(enumerate(texts[1:])))
+    assert sum(seen) < 39 * 38 // 2 // 4
+
+
+def test_parities_never_rule_out_a_link():
+    draw = np.random.default_rng(3)
+    for size in (3, 40, 400, 4000):
+        x = np.unique(J.mix(draw.integers(0, 2**63, size).astype(np.uint64)))
+        y = np.unique(np.concatenate([x[size // 10 :], J.mix(draw.integers(0, 2**63, size // 10).astype(np.uint64))]))
+        bits = lambda h: np.unpackbits(np.array(J.parities(h), np.int64).view(np.uint8))
+        assert len(bits(x)) == 64 * J.SKETCH
+        assert (bits(x) != bits(y)).sum() <= len(np.setxor1d(x, y))
+        assert (bits(x) == bits(x[::-1])).all()
+
+
+def test_meetings_are_dealt_once_to_be_costed(spark):
+    rows = [(1, 7, 0, 1), (2, 7, 8, 1), (3, 7, 0, 3), (1, 9, 16, 1), (2, 9, 16, 1), (3, 8, 0, 3), (4, 8, 0, 4), (5, 8, 0, 4)]
+    met = spark.createDataFrame(rows, "set_id long, meeting long, code int, root long")
+    mixed = J._mixed(met, "root")
+    costed = J._costed(mixed)
+    assert sorted((r.set_id, r.meeting, r.all, r.is_major) for r in costed.collect()) == [
+        (1, 7, 3, True), (2, 7, 3, True), (3, 7, 3, False), (3, 8, 3, False), (4, 8, 3, True), (5, 8, 3, True),
+    ]
+    for df in (mixed, costed):
+        assert df._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+        assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("hashpartitioning(") == 1
+
+
 def test_empty_table(docs_of):
     assert J.join(docs_of([])).collect() == []
 
